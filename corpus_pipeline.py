@@ -1,6 +1,77 @@
-STAGES = []
+"""A training-data pipeline over `documents`: language, near duplicates, repeated passages, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
+next stage's docs. All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.llm import _text, language_id, packing, pii, simhash, substring_dedup, token_rollup
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+#: Documents whose likeliest language has a smaller probability are rejected.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter or a clear language; `lang` becomes the language found. Without any labelled document all go."""
+    model = language_id.fit(docs)
+    found = language_id.predict(docs, model, keep=COLUMNS)
+    clear = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return clear.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group, that with the smallest doc_id; of rows that share it, the first by a hash of the text.
+
+    A row without a doc_id stands behind all others, under a number made of its text.
+    """
+    from pyspark.sql import Window
+
+    key = F.coalesce("doc_id", F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+    rows = docs.select(*COLUMNS, key.alias("row_key"))
+    keepers = simhash.near_duplicates(rows, key="row_key").select(F.col("component_id").alias("row_key")).distinct()
+    first = Window.partitionBy("row_key").orderBy(F.xxhash64("text"), "lang", "source", "n_chars")
+    kept = rows.join(keepers, "row_key", "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1")
+    return kept.select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out passages of 50 words and more that stand in a smaller document; a document of which nothing is left goes."""
+    found = substring_dedup.deduplicated(docs, keep=("text", "lang", "source", "n_chars"))
+    cut = F.col("n_removed") > 0
+    return found.where((F.col("n_words") > F.col("n_removed")) | ~cut).select(
+        "doc_id", F.when(cut, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    )
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind, in angle brackets, in place of personal data."""
+    found = pii.find(docs, pii.fit(docs), keep=COLUMNS).withColumn("clean", pii.masked(F.col("text"), F.col("spans")))
+    some = F.size("spans") > 0
+    return found.select("doc_id", F.col("clean").alias("text"), "lang", "source", F.when(some, F.length("clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences, by words."""
+    return packing.pack_documents(docs, token_rollup.words_count(F.col("text")), keep=("lang", "source"))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("personal_data", personal_data), ("packing", packed)]
+
+#: The language model and the field over spans are fitted models, so SQL can't express the result.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written to the shared folder and read again."""
+    folder = _text.shared_dir(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import _text, fingerprints, language_id, quality_gam, quality_rules, sentencepiece_codec, simhash, substring_dedup
+from folioscope.llm import _text, fingerprints, language_id, packing, pii, quality_gam, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_rollup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_text.crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    base = F.filter("spans", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long")
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digests(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +62,35 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, as pieces in sequences of up to 2,048 words."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, token_rollup.words_count(F.col("text")))
+
+
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches over all documents, one of them sent twice.
+
+    All documents come in under words-1; the toxic ones go; the poor ones are recounted by the other tokenizer's rule;
+    what isn't toxic comes in under alnum-1 too.
+    """
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    folder = _text.shared_dir(spark, "token-rollup")
+    docs.select("doc_id", "source", "lang", token_rollup.words_count(F.col("text")).alias("words"), token_rollup.alnum_count(F.col("text")).alias("alnum")).join(marks, "doc_id", "left").write.parquet(f"{folder}/counts")
+    counts = spark.read.parquet(f"{folder}/counts")
+    toxic, poor = F.coalesce(F.col("toxic") == 1, F.lit(False)), F.coalesce(F.col("quality") == 0, F.lit(False))
+    words, alnum = F.col("words"), F.col("alnum")
+    store = token_rollup.Rollup(spark, f"{folder}/store")
+    load = token_rollup.inserted(counts, words, "words-1")
+    store.commit("load", load)
+    store.commit("takedown", token_rollup.deleted(counts.where(toxic), words, "words-1"))
+    store.commit("load", load)
+    store.commit("recount", token_rollup.revised(counts.where(poor & ~toxic), words, alnum, "words-1"))
+    store.commit("second", token_rollup.inserted(counts.where(~toxic), alnum, "alnum-1"))
+    return store.totals().select("source", "lang", "tokenizer", F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents by a model of the rows that aren't held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -64,12 +101,55 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_gam": op1_quality_gam,
+    "op2_pii": op2_pii,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
     "op6_fingerprints": op6_fingerprints,
     "op7_simhash": op7_simhash,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_token_rollup": op9_token_rollup,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls
+  FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(ws[i : i + 7], chr(10)) AS gram
+  FROM w, unnest(range(1, greatest(len(ws) - 6, 1))) AS u(i)
+), d AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1
+), r AS (
+  SELECT doc_id, CAST(sum(least(8, coalesce(nxt - i, 8))) AS BIGINT) AS n
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM d) GROUP BY doc_id
+), b AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+         len(string_split(t, chr(10))) AS n_lines, length(t) - length(replace(t, '!', '')) AS shouts
+  FROM w LEFT JOIN r ON w.doc_id = r.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR n_symbols * 10 > n_words * 3 OR word_chars < n_words * 2
+            OR word_chars > n_words * 15 OR n_dup_lines * 10 > n_lines * 3 OR shouts * 10 > n_words * 5) AS kept
+FROM b""",
+    "op9_token_rollup": r"""
+WITH m AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+c AS (
+  SELECT source, lang, coalesce(toxic = 1, false) AS gone, coalesce(quality = 0, false) AS poor,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')) AS alnum
+  FROM documents LEFT JOIN m ON documents.doc_id = m.doc_id
+)
+SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
+FROM (
+  SELECT source, lang, 'words-1' AS tokenizer, CASE WHEN poor THEN alnum ELSE words END AS n FROM c WHERE NOT gone
+  UNION ALL
+  SELECT source, lang, 'alnum-1', alnum FROM c WHERE NOT gone
+)
+GROUP BY source, lang, tokenizer""",
+}
