@@ -271,7 +271,7 @@ def required_literal(branch: str) -> str:
 
 def lowered(text: Column) -> Column:
     """A text in which a required literal stands wherever a pattern may match without regard to case."""
-    return F.lower(F.upper(text))
+    return F.replace(F.replace(F.lower(text), F.lit("ſ"), F.lit("s")), F.lit("ı"), F.lit("i"))
 
 
 def holds(text: Column, alternatives: tuple[str, ...], low: Column | None = None) -> Column:
