@@ -81,6 +81,57 @@ def verify(df: DataFrame, growth: DataFrame, screened: DataFrame | None = None,
     return checked(one, checks)
 
 
+def _all(frame: DataFrame, name: str, condition: Column) -> DataFrame:
+    """(name, passed, detail): whether a condition holds in every row; detail is the number of rows."""
+    return frame.agg(F.coalesce(F.bool_and(condition), F.lit(True)).alias("passed"), F.count(F.lit(1)).cast("string").alias("detail")).select(F.lit(name).alias("name"), "passed", "detail")
+
+
+def identities(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, passed, detail) of what the analysis' tables must satisfy among themselves; each is a small aggregate."""
+    near = lambda a, b, t: F.abs(a - b) <= t
+    c = F.col
+    out: list[DataFrame] = []
+    for name in ("records_by_decade", "methodology_overall", "source_overlap", "author_count_distribution"):
+        whole = tables[name].agg(F.sum("pct").alias("pct"), F.count(F.lit(1)).alias("k")).where("k > 0")
+        out.append(_all(whole, f"{name}: shares sum to 100", near(c("pct"), F.lit(100), 0.05 * c("k") + 0.01)))
+    for name, by in (("methodology_by_year", "year"), ("methodology_by_decade", "decade")):
+        whole = tables[name].groupBy(by).agg(F.sum("pct").alias("pct"), F.count(F.lit(1)).alias("k"))
+        out.append(_all(whole, f"{name}: shares sum to 100 in each {by}", near(c("pct"), F.lit(100), 0.05 * c("k") + 0.01)))
+    for name in ("collaboration_by_year", "collaboration_by_decade"):
+        out.append(_all(tables[name], f"{name}: single and multi sum to 100", near(c("pct_single_authored") + c("pct_multi_authored"), F.lit(100), 0.11)))
+        out.append(_all(tables[name], f"{name}: a mean of one author at least", c("mean_authors") >= 1))
+    for name in ("empiricism_by_year", "empiricism_by_decade"):
+        out.append(_all(tables[name], f"{name}: part within whole", c("n_empirical") <= c("n_total")))
+        out.append(_all(tables[name], f"{name}: share follows from counts", near(c("pct_empirical"), 100.0 * c("n_empirical") / c("n_total"), 0.051)))
+    head = tables["empiricism_headline"]
+    out.append(_all(head, "empiricism_headline: parts sum to the whole", c("n_empirical") + c("n_non_empirical") + c("n_unknown") == c("n_scientific")))
+    out.append(_all(head, "empiricism_headline: the share of all is the smaller", F.coalesce(c("pct_of_all") <= c("pct_of_known"), F.lit(True))))
+    for name in ("citation_summary", "specialty_vs_dispersed"):
+        out.append(_all(tables[name], f"{name}: cited and uncited sum to 100", near(c("pct_uncited") + c("pct_cited_at_least_once"), F.lit(100), 0.011)))
+        out.append(_all(tables[name], f"{name}: quantiles rise to the maximum", (c("median_citations") <= c("p90")) & (c("p90") <= c("p99")) & (c("p99") <= c("max"))))
+        out.append(_all(tables[name], f"{name}: the total holds the maximum", c("total_citations") >= c("max")))
+    parts = tables["specialty_vs_dispersed"].agg(F.coalesce(F.sum("n_papers"), F.lit(0)).alias("parts"), F.coalesce(F.sum("total_citations"), F.lit(0)).alias("cites"))
+    both = parts.join(tables["citation_summary"].agg(F.coalesce(F.sum("n_papers"), F.lit(0)).alias("whole"), F.coalesce(F.sum("total_citations"), F.lit(0)).alias("all_cites")))
+    out.append(_all(both, "specialty_vs_dispersed: papers sum to the summary's", c("parts") == c("whole")))
+    out.append(_all(both, "specialty_vs_dispersed: citations sum to the summary's", c("cites") == c("all_cites")))
+    out.append(_all(tables["citations_by_methodology"], "citations_by_methodology: cited and uncited sum to 100", near(c("pct_uncited") + c("pct_cited"), F.lit(100), 0.011)))
+    out.append(_all(tables["uncited_by_year"], "uncited_by_year: shares lie in 0 to 100", c("pct_uncited").between(0, 100)))
+    out.append(_all(tables["dispersion_by_year"], "dispersion_by_year: both shares sum to 100", near(c("pct_specialty") + c("pct_dispersed"), F.lit(100), 0.011)))
+    out.append(_all(tables["dispersion_by_year"], "dispersion_by_year: part within whole", c("n_specialty") <= c("n_total")))
+    out.append(_all(tables["top_journals"], "top_journals: first year before last", c("first_year") <= c("last_year")))
+    grown = tables["growth_by_year"].agg(F.sum("n_articles").alias("n"), F.min("year").alias("a"), F.max("year").alias("b"))
+    out.append(_all(grown.join(tables["growth_summary"]), "growth_summary: totals and ends are the years' own", (c("n") == c("total_articles_in_window")) & (c("a") == c("first_year")) & (c("b") == c("last_year"))))
+    out.append(_all(tables["growth_by_year"], "growth_by_year: no more venues than records", c("n_journals") <= c("n_articles")))
+    counted = tables["corpus"].join(tables["records_by_decade"].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("decades"))).join(tables["source_overlap"].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sourced")))
+    out.append(_all(counted, "records_by_decade: decades sum to the corpus", c("decades") == c("n_records")))
+    out.append(_all(counted, "source_overlap: combinations sum to the corpus", c("sourced") <= c("n_records")))
+    out.append(_all(tables["corpus"], "corpus: tiers sum to no more than the whole", c("n_core_a") + c("n_adjacent_b") + c("n_dispersed") <= c("n_records")))
+    out.append(_all(tables["corpus"], "corpus: coverages lie in 0 to 100", c("doi_coverage_pct").between(0, 100) & c("citation_coverage_pct").between(0, 100)))
+    for name in sorted(k for k in tables if k.endswith("_by_decade") and "denominator" in tables[k].columns):
+        out.append(_all(tables[name], f"{name}: no label has more records than its decade", c("n") <= c("denominator")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def degenerate(distribution: DataFrame, by: list[str], most: float = 97.0) -> DataFrame:
     """Groups where one class holds over `most` per cent: a kappa there says little."""
     return distribution.groupBy(*by).agg(F.max("pct").alias("modal_pct")).where(F.col("modal_pct") > most)

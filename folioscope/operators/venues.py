@@ -32,8 +32,8 @@ def learn(records: DataFrame, venue: str = "journal_raw", issn: str = "issn_l")
 def resolve(records: DataFrame, by_issn: DataFrame, by_key: DataFrame, venue: str = "journal_raw", issn: str = "issn_l", fuzzy: bool = True) -> DataFrame:
     """With journal_canonical, venue_method (issn, exact_key, fuzzy_auto, fuzzy_review, new, unresolved) and venue_score.
 
-    Likeness is only asked for keys that nothing knows, once for each distinct key, against known keys that share a
-    word with it; the smaller tables are joined, and the optimiser broadcasts them if their measured size allows it.
+    Likeness is only asked for keys that nothing knows, once for each distinct key, against known keys of a length in
+    reach; the optimiser broadcasts the learnt tables if their measured size allows it.
     A title whose key is empty stays as it is.
     """
     raw = F.trim(F.coalesce(F.col(venue), F.lit("")))

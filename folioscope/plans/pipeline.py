@@ -82,4 +82,5 @@ def run(spark: SparkSession, shard_folder: str, channels: list[str] | None = Non
     relational.register(spark, relational.frames(records))
     tables = analyse(records, cfg)
     done.reports["verification"] = quality.verify(records, tables["growth_by_year"], done.records)
+    done.reports["identities"] = quality.identities(tables)
     return records, tables, done.reports

@@ -51,6 +51,8 @@ def test_whole_way(spark, run):
     assert all(frame.columns for frame in tables.values())
     assert tables["sdoh_domain_by_decade"].count() > 0 and tables["top_journals"].count() == 2
     assert all(r["passed"] for r in reports["verification"].collect())
+    checks = {r["name"]: r["passed"] for r in reports["identities"].collect()}
+    assert len(checks) >= 36 and all(checks.values()), [k for k, ok in checks.items() if not ok]
     assert reports["qa"].first()["hard_failures"] == []
 
 
