@@ -134,6 +134,19 @@ def crc_mod(column, modulus: int):
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+#: Rows of an Arrow batch, at most: a batch of long texts lies in the JVM and in the Python worker at once.
+BATCH_ROWS = 1_000
+
+
+def bounded(df):
+    """The frame itself, after holding its session's Arrow batches to BATCH_ROWS rows; a smaller setting stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = int(conf.get(name))
+    if own <= 0 or own > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def shared_dir(spark, name: str) -> str:
     """A new folder's path under spark.checkpoint.dir, which the driver and all executors share.
 

@@ -100,7 +100,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], ["lang", "bucket", "n"])
 
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = _text.bounded(sample).select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
     counts = np.zeros((buckets, len(languages)))
     number = {x: k for k, x in enumerate(languages)}
@@ -127,5 +127,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 langs = [x if k else UNKNOWN for x, k in zip(langs, letters.tolist())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in range(len(names))), pa.array(langs, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())], [*names, "lang_pred", "score"])
 
-    out = docs.select(*(F.col(c).alias(n) for n, c in zip(names, keep)), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    out = _text.bounded(docs).select(*(F.col(c).alias(n) for n, c in zip(names, keep)), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "lang_pred", "score")

@@ -32,7 +32,7 @@ FIT_ZONE_CHARS = 4_000
 #: Characters around a trigger that belong to its zone.
 AROUND = 40
 #: What an added span must be better by than the best division without it, in log odds.
-MARGIN = 2.0
+MARGIN = 1.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -251,7 +251,7 @@ def _variants(zone: str, gold: list[tuple[int, int, str]], rng: random.Random) -
         return rng.choice((digits(10), digits(7), f"{digits(4)}-{digits(4)}", f"{digits(3)}, {digits(3)}, {digits(4)}", f"{digits(4)} {digits(4)} {digits(4)}", f"({digits(4)})", f"{digits(1)},{digits(3)},{digits(3)}.{digits(2)}"))
 
     out = []
-    for change, keeps in ((other, True), (spoilt, False)):
+    for change, keeps in ((other, True), (spoilt, False)) * 2:
         text, spans, last = "", [], 0
         for a, b, kind in gold:
             if a < last:
@@ -334,7 +334,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", fit_zones_most
 
     def cut(batches):
         for batch in batches:
-            got = [(z.text, hash_of(z.text)) for t in batch.column(0).to_pylist() for z in zones(t) if len(z.text) <= FIT_ZONE_CHARS]
+            got = [(z.text, hash_of(z.text)) for t in batch.column(0) for z in zones(t.as_py()) if len(z.text) <= FIT_ZONE_CHARS]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64())], ["zone", "h"])
 
     def hash_of(s: str) -> int:
@@ -342,7 +342,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", fit_zones_most
 
         return xxhash.xxh64_intdigest(s) >> 1
 
-    found = drawn.select("text").mapInArrow(cut, "zone string, h long").orderBy("h", "zone").limit(fit_zones_most)
+    found = _text.bounded(drawn).select("text").mapInArrow(cut, "zone string, h long").orderBy("h", "zone").limit(fit_zones_most)
     return fit_zones([r["zone"] for r in found.collect()])
 
 
@@ -387,16 +387,16 @@ def find(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...
     def run(batches):
         for batch in batches:
             data, offsets = _text.flat(batch.column(len(names)))
-            total = np.zeros(len(data) + 1, dtype=np.int64)
-            np.cumsum(hot[data], out=total[1:])
-            some = (total[offsets[1:]] > total[offsets[:-1]]).tolist()
-            out = []
-            for d in range(len(some)):
-                found = all_spans(bytes(data[offsets[d] : offsets[d + 1]]).decode("utf-8", "replace"), sent.value) if some[d] else []
-                out.append([{"kind": k, "start": a, "end": b, "base": own} for a, b, k, own in found])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(names))), pa.array(out, struct)], [*names, "spans"])
-
-    out = docs.select(*(F.col(c).alias(n) for n, c in zip(names, keep)), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{kinds}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
+            for i, j in _text.pieces(offsets):
+                places = np.flatnonzero(hot[data[offsets[i] : offsets[j]]]) + offsets[i]
+                some = np.diff(np.searchsorted(places, offsets[i : j + 1])) > 0
+                out = []
+                for d, holds in zip(range(i, j), some.tolist()):
+                    found = all_spans(bytes(data[offsets[d] : offsets[d + 1]]).decode("utf-8", "replace"), sent.value) if holds else []
+                    out.append([{"kind": k, "start": a, "end": b, "base": own} for a, b, k, own in found])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in range(len(names))), pa.array(out, struct)], [*names, "spans"])
+
+    out = _text.bounded(docs).select(*(F.col(c).alias(n) for n, c in zip(names, keep)), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{kinds}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "spans")
 
 

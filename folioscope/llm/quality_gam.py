@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     if not n:
         return Model(0.0)
     drawn = marked.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < min(1.0, fit_rows / n) * 1_000_000).groupBy("key").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), "key").select("y", "text").mapInArrow(_featured, f"y double, {', '.join(f'{c} double' for c in FEATURES)}").toPandas()
+    rows = _text.bounded(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), "key").select("y", "text").mapInArrow(_featured, f"y double, {', '.join(f'{c} double' for c in FEATURES)}").toPandas()
     rows = rows.sort_values(list(rows.columns))  # the model doesn't hang on the order of rows
     return fit_arrays(rows[list(FEATURES)].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float))
 
@@ -220,5 +220,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                 x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in range(len(names))), pa.array(sent.value.score(x))], [*names, "score"])
 
-    out = docs.select(*(F.col(c).alias(n) for n, c in zip(names, keep)), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{kinds}, score double")
+    out = _text.bounded(docs).select(*(F.col(c).alias(n) for n, c in zip(names, keep)), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{kinds}, score double")
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "score")

@@ -337,4 +337,4 @@ def _run(df, column: str, key: str, run, fields: str):
 
     kind = df.schema[key].dataType.simpleString()
     names = [f.split()[0] for f in fields.split(", ")]
-    return df.select(F.col(key).alias("key"), F.col(column).alias("value")).mapInArrow(run, f"key {kind}, {fields}").select(F.col("key").alias(key), *names)
+    return _text.bounded(df).select(F.col(key).alias("key"), F.col(column).alias("value")).mapInArrow(run, f"key {kind}, {fields}").select(F.col("key").alias(key), *names)

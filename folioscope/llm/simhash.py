@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(fp.view(np.int64))], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp long").select(F.col("key").alias(key), "fp")
+    return _text.bounded(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp long").select(F.col("key").alias(key), "fp")
 
 
 def _blocks(distance: int) -> list[tuple[int, int]]:

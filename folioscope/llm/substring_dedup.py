@@ -26,7 +26,7 @@ from folioscope.llm import _text
 
 WINDOW = 50
 #: Bytes of text in a chunk, and hashes in a range, about. Larger ones mean fewer, longer rows; memory of a task grows with either.
-CHUNK_BYTES, RANGE_HASHES = 12 << 20, 2_000_000
+CHUNK_BYTES, RANGE_HASHES = 6 << 20, 2_000_000
 
 _LAST = np.iinfo(np.int64).max
 _PACKED = "bucket int, chunk int, n int, body binary"
@@ -280,7 +280,7 @@ def _dedup(docs: DataFrame, text: str, key: str, window: int, text_out: bool, ke
     if window < 2:
         raise ValueError("a window has two words at least")
     block = (window + 1) // 2
-    size = _text.text_bytes(docs, text)
+    size = _text.text_bytes(_text.bounded(docs), text)
     chunks = _text.parts(docs, size, CHUNK_BYTES)
     ranges = _text.parts(docs, size // 5, RANGE_HASHES)
     few = _text.parts(docs, size // 20, RANGE_HASHES)
