@@ -98,17 +98,18 @@ def pack_documents(docs: DataFrame, length: Column, key: str = "doc_id", capacit
     longest = max(capacities)
     if min(capacities) < 1:
         raise ValueError("a capacity must be positive")
-    rows = _text.checkpointed(docs.select(F.col(key).alias("key"), F.coalesce(length.cast("long"), F.lit(0)).alias("size"), *keep))
+    own = [f"k{i}" for i in range(len(keep))]  # names of their own, whatever the columns are called
+    rows = _text.checkpointed(docs.select(F.col(key).alias("key"), F.coalesce(length.cast("long"), F.lit(0)).alias("size"), *(F.col(c).alias(n) for c, n in zip(keep, own))))
     total = rows.agg(F.sum("size")).first()[0] or 0
     shards = _text.parts(rows, total, SHARD_TOKENS)
     rows = rows.withColumn("shard", F.pmod(F.when(F.col("key").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("key")), F.lit(shards)).cast("int"))
     cuts = F.when(F.col("size") > 0, F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(longest).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     pieces = rows.select("*", F.posexplode(cuts).alias("piece", "start")).withColumn("n", F.least(F.col("size") - F.col("start"), F.lit(longest)).cast("int"))
-    pieces = pieces.select("shard", "n", "key", "piece", "start", *keep)
+    pieces = pieces.select("shard", "n", "key", "piece", "start", *own)
     dealt = pieces.repartition(shards, "shard").sortWithinPartitions("shard", F.desc("n"), F.asc_nulls_last("key"), "piece")
-    names = ["key", "piece", "start", "n_tokens", "bin_id", "bin_offset", "bin_capacity", *keep]
+    names = ["key", "piece", "start", "n_tokens", "bin_id", "bin_offset", "bin_capacity", *own]
     kind = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
-    schema = f"key {kind['key']}, piece int, start long, n_tokens int, bin_id long, bin_offset int, bin_capacity int" + "".join(f", `{c}` {kind[c]}" for c in keep)
+    schema = f"key {kind['key']}, piece int, start long, n_tokens int, bin_id long, bin_offset int, bin_capacity int" + "".join(f", {c} {kind[c]}" for c in own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, opened = [], 0, {}
@@ -128,7 +129,8 @@ def pack_documents(docs: DataFrame, length: Column, key: str = "doc_id", capacit
         if held:
             yield from _group(held, opened, names, capacities)
 
-    return dealt.mapInArrow(run, schema).withColumnRenamed("key", key)
+    packed = dealt.mapInArrow(run, schema)
+    return packed.select(F.col("key").alias(key), *names[1:7], *(F.col(n).alias(c) for c, n in zip(keep, own)))
 
 
 def _group(held: list[pa.RecordBatch], opened: dict[int, int], names: list[str], capacities: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
