@@ -1,20 +1,14 @@
 from __future__ import annotations
 
 import random
-import re
+import sys
+from pathlib import Path
 
 import pytest
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def words(text):
-    return WORD.findall(text or "")
-
-
-def prose(rng, n, alphabet="aeinorst"):
-    return " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 7))) for _ in range(n))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from plain import prose, words  # noqa: E402
 
 @pytest.fixture(scope="session")
 def corpus():

@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import prose, words
+from plain import prose, words
 from pyspark.sql import functions as F
 
 from folioscope.llm import _text, language_id, packing, pii, quality_gam, sentencepiece_codec, token_rollup

@@ -7,7 +7,7 @@ import random
 from pathlib import Path
 
 import pytest
-from conftest import prose
+from plain import prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline

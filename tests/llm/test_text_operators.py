@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from conftest import prose, words
+from plain import prose, words
 from pyspark.sql import functions as F
 
 from folioscope.llm import _text, fingerprints, quality_rules, simhash, substring_dedup
