@@ -25,7 +25,9 @@ def words(text: Column) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns q_words, q_word_chars, q_symbols, q_dup_lines and q_repeat_words (all long); a null text counts as empty.
+    """docs with the columns q_words, q_word_chars, q_symbols, q_dup_lines, q_echo_words and q_repeat_words (all long); a null text counts as empty.
+
+    q_echo_words: words equal to the one before them. Columns that docs has under q_ names are replaced.
 
     q_repeat_words: words covered by 8-word windows that occur twice or more in the text. A text without repeated
     windows, the usual one, is told by a distinct count over window hashes; only others sort their windows.
@@ -39,6 +41,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "q_word_chars": F.length("q_text").cast("long"),
         "q_symbols": (F.length("q_text") - F.length(F.translate("q_text", SYMBOLS, ""))).cast("long"),
         "q_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
+        "q_echo_words": F.size(F.filter("q_w", lambda w, i: (i > 0) & (F.get("q_w", i - 1) == w))).cast("long"),
         "q_grams": F.when(F.size("q_w") > 8, F.transform(F.sequence(F.lit(1), F.size("q_w") - 7), lambda i: F.xxhash64(F.slice("q_w", i, F.lit(8))))),
     }).drop("q_text", "q_lines", "q_w")
     at = F.array_sort(F.transform("q_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -67,7 +70,8 @@ def rules(text: str = "text") -> dict[str, Column]:
         "symbols": F.col("q_symbols") * 10 > F.col("q_words") * 3,
         "short_words": F.col("q_word_chars") < F.col("q_words") * 2,
         "long_words": F.col("q_word_chars") > F.col("q_words") * 15,
-        "repeated_lines": F.col("q_dup_lines") * 10 > F.size(F.split(own, "\n", -1)) * 3,
+        "echoes": F.col("q_echo_words") * 10 > F.col("q_words") * 3,
+        "repeated_lines": F.col("q_dup_lines") * 2 > F.size(F.split(own, "\n", -1)),
         "shouting": F.length(F.regexp_replace(own, "[^!]", "")) * 10 > F.col("q_words") * 5,
     }
 

@@ -130,13 +130,13 @@ WITH w AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-         len(string_split(t, chr(10))) AS n_lines, length(t) - length(replace(t, '!', '')) AS shouts
+         len(string_split(t, chr(10))) AS n_lines, len([i for i in range(2, len(ws) + 1) if ws[i] = ws[i - 1]]) AS echoes, length(t) - length(replace(t, '!', '')) AS shouts
   FROM w LEFT JOIN r ON w.doc_id = r.doc_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR n_symbols * 10 > n_words * 3 OR word_chars < n_words * 2
-            OR word_chars > n_words * 15 OR n_dup_lines * 10 > n_lines * 3 OR shouts * 10 > n_words * 5) AS kept
+            OR word_chars > n_words * 15 OR n_dup_lines * 2 > n_lines OR echoes * 10 > n_words * 3 OR shouts * 10 > n_words * 5) AS kept
 FROM b""",
     "op9_token_rollup": r"""
 WITH m AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
