@@ -42,10 +42,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out passages of 50 words and more that stand in a smaller document; a document of which nothing is left goes."""
-    found = substring_dedup.deduplicated(docs, keep=("text", "lang", "source", "n_chars"))
+    marked = docs.withColumn("had_text", F.col("text").isNotNull())
+    found = substring_dedup.deduplicated(marked, keep=("had_text", "lang", "source", "n_chars"), untouched=True)
     cut = F.col("n_removed") > 0
     return found.where((F.col("n_words") > F.col("n_removed")) | ~cut).select(
-        "doc_id", F.when(cut, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+        "doc_id", F.when(F.col("had_text"), F.col("kept_text")).alias("text"), "lang", "source", F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     )
 
 

@@ -229,7 +229,7 @@ def _answer_windows(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([o[k] for o in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], schema=_PACKED_ARROW)
 
 
-def _cover(docs: pa.Table, answers: pa.Table, window: int, text_out: bool) -> pa.Table:
+def _cover(docs: pa.Table, answers: pa.Table, window: int, text_out: bool, whole: bool) -> pa.Table:
     """The result of a chunk's documents: words, removed words and the kept words, as text or digest, then the columns from the fifth on."""
     carried = docs.column_names[4:]
     names = ["id", "real", "n_words", "n_removed", "kept", *carried]
@@ -270,13 +270,13 @@ def _cover(docs: pa.Table, answers: pa.Table, window: int, text_out: bool) -> pa
         else:
             lost = 0
         removed.append(lost)
-        joined = b" ".join(own)
+        joined = raw[at[d] : at[d + 1]] if whole and not lost else b" ".join(own)
         kept.append(joined.decode("utf-8", "replace") if text_out else hashlib.sha256(joined).hexdigest())
     real = docs.column("real").combine_chunks()
     return pa.table([pa.array(ids), real, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *(docs.column(c) for c in carried)], names=names)
 
 
-def _dedup(docs: DataFrame, text: str, key: str, window: int, text_out: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+def _dedup(docs: DataFrame, text: str, key: str, window: int, text_out: bool, keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     if window < 2:
         raise ValueError("a window has two words at least")
     block = (window + 1) // 2
@@ -288,26 +288,26 @@ def _dedup(docs: DataFrame, text: str, key: str, window: int, text_out: bool, ke
     own = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(n) for c, n in zip(keep, names)))
     # a null key counts as the largest, and its rows spread by their text
     chunk = F.pmod(F.when(F.col("key").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("key")), F.lit(chunks)).cast("int")
-    wide = own.select(F.coalesce("key", F.lit(_LAST)).alias("id"), F.col("key").isNotNull().alias("real"), "text", chunk.alias("chunk"), *names)
-    rows = wide.select("id", "real", "text", "chunk")
+    # all passes read the same columns, so that they read one shuffle
+    rows = own.select(F.coalesce("key", F.lit(_LAST)).alias("id"), F.col("key").isNotNull().alias("real"), "text", chunk.alias("chunk"), *names)
     packed = rows.groupBy("chunk").applyInArrow(lambda t: _anchors(t, block, ranges), _PACKED)
     answered = packed.groupBy("bucket").applyInArrow(_answer_anchors, _PACKED)
     found = rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(lambda a, b: _windows(a, b, window, block, ranges, few), _PACKED)
     judged = found.groupBy("bucket").applyInArrow(_answer_windows, _PACKED)
-    carried = "".join(f", {n} {wide.schema[n].dataType.simpleString()}" for n in names)
-    out = wide.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(lambda a, b: _cover(a, b, window, text_out), f"id long, real boolean, n_words long, n_removed long, kept string{carried}")
+    carried = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    out = rows.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(lambda a, b: _cover(a, b, window, text_out, whole), f"id long, real boolean, n_words long, n_removed long, kept string{carried}")
     return out.select(F.when(F.col("real"), F.col("id")).alias(key), "n_words", "n_removed", F.col("kept").alias("kept_text" if text_out else "kept_sha256"), *(F.col(n).alias(c) for c, n in zip(keep, names)))
 
 
-def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, keep: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
     """(key, n_words, n_removed, kept_text, *keep): each row's words without those that a smaller document's passages cover.
 
     A word goes if some window of `window` words around it also starts in a document with a smaller key. The smallest
     document that holds a passage keeps it; rows with one key keep their common passages; rows with a null key count
     as larger than all others and keep what only they hold. Words are split at ASCII white space and rejoined by one
-    space. Null texts are empty. Keys must be integers.
+    space; with `untouched`, a text that loses nothing stays as it is. Null texts are empty. Keys must be integers.
     """
-    return _dedup(docs, text, key, window, True, keep)
+    return _dedup(docs, text, key, window, True, keep, untouched)
 
 
 def dedup_digests(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
