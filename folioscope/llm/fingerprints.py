@@ -13,54 +13,77 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters that the folding of Unicode leaves alone: most Latin, Greek and Cyrillic letters and common signs.
 _PLAIN = "[^\\x00-\\x9F¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ǃΑ-Ωα-ωЀ-џ‐‒-―‘-‟€]"
+#: Ranges of keys, at most: their openings are part of the plan.
+MOST_RANGES = 4_096
 _HANGUL_BASE, _HANGUL_N = 0xAC00, 11172
 
 
+@dataclass(frozen=True)
+class _Tables:
+    """single: characters that fold to one other (from, to); several: to more than one; split: canonical parts; joined: by class of mark, what may stand between, and (letter, mark, whole); marks: (mark, its class as a letter)."""
+
+    single: tuple[str, str]
+    several: list[tuple[str, str]]
+    split: list[tuple[str, str]]
+    joined: list[tuple[str, list[tuple[str, str, str]]]]
+    hangul: list[tuple[str, str]]
+    marks: tuple[str, str]
+
+
+def _escaped(chars) -> str:
+    """Characters for a pattern or its brackets, runs of code points as ranges."""
+    codes, out, k = sorted(map(ord, chars)), [], 0
+    while k < len(codes):
+        j = k
+        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
+            j += 1
+        out.append(f"\\x{{{codes[k]:X}}}" + (f"-\\x{{{codes[j]:X}}}" if j > k else ""))
+        k = j + 1
+    return "".join(out)
+
+
 @lru_cache(maxsize=1)
-def _tables() -> tuple:
-    """(from, to) of characters that fold to one; pairs that fold to several; compositions; compositions of Hangul; patterns that put marks in order."""
-    source, target, several, composed = [], [], [], []
+def _tables() -> _Tables:
+    single, several, split = [], [], []
+    joined: dict[int, list[tuple[int, str, str, str]]] = {}
+    marks = [chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))]
     for c in range(0xA0, sys.maxunicode + 1):
         if 0xD800 <= c < 0xE000 or _HANGUL_BASE <= c < _HANGUL_BASE + _HANGUL_N:
             continue
         ch = chr(c)
-        if not unicodedata.decomposition(ch):
+        parts = unicodedata.decomposition(ch)
+        if not parts:
             continue
         folded = unicodedata.normalize("NFKC", ch)
-        if len(folded) == 1 and folded != ch:
-            source.append(ch)
-            target.append(folded)
-        elif len(folded) > 1:
-            several.append((ch, folded))
-        if folded == ch:
-            parts = unicodedata.decomposition(ch).split()
-            composed.append((len(unicodedata.normalize("NFD", ch)), chr(int(parts[0], 16)) + chr(int(parts[1], 16)), ch))
-    composed = [(a, b) for _, a, b in sorted(composed)]
+        if folded != ch:
+            (single if len(folded) == 1 else several).append((ch, folded))
+        elif not parts.startswith("<"):
+            split.append((ch, unicodedata.normalize("NFD", ch)))
+            base, mark = (chr(int(x, 16)) for x in parts.split())
+            joined.setdefault(unicodedata.combining(mark), []).append((len(unicodedata.normalize("NFD", ch)), _escaped(base), _escaped(mark), ch))
+    by_class = []
+    for k in sorted(joined):
+        lower = _escaped(m for m in marks if unicodedata.combining(m) < k)
+        by_class.append((f"([{lower}]*)" if k and lower else "()", [row[1:] for row in sorted(joined[k])]))
     hangul = []
     for k in range(_HANGUL_N):
         s = chr(_HANGUL_BASE + k)
         if k % 28 == 0:
-            hangul.append((unicodedata.normalize("NFD", s), s))
-    for k in range(_HANGUL_N):
-        if k % 28:
-            hangul.append((chr(_HANGUL_BASE + k - k % 28) + unicodedata.normalize("NFD", chr(_HANGUL_BASE + k))[-1], chr(_HANGUL_BASE + k)))
-    classes: dict[int, list[str]] = {}
-    for c in range(0x300, sys.maxunicode + 1):
-        if k := unicodedata.combining(chr(c)):
-            classes.setdefault(k, []).append(f"\\x{{{c:X}}}")
-    swaps = []
-    for k in sorted(classes):
-        above = "".join(x for j in classes if j > k for x in classes[j])
-        if above:
-            swaps.append((f"([{above}]+)([{''.join(classes[k])}]+)", "$2$1"))
-    return "".join(source), "".join(target), several, composed, hangul, swaps
+            hangul.insert(k // 28, (unicodedata.normalize("NFD", s), s))
+        else:
+            hangul.append((chr(_HANGUL_BASE + k - k % 28) + unicodedata.normalize("NFD", s)[-1], s))
+    return _Tables(
+        ("".join(a for a, _ in single), "".join(b for _, b in single)), several, split, by_class, hangul,
+        ("".join(marks), "".join(chr(0x4E00 + unicodedata.combining(m)) for m in marks)),
+    )
 
 
 def _pairs(rows: list[tuple[str, str]]) -> Column:
@@ -83,16 +106,43 @@ def _where(value: Column, pattern: str, change) -> Column:
     return _let(value, lambda t: F.when(t.rlike(pattern), change(t)).otherwise(t))
 
 
+def _in_order(text: Column, marks: tuple[str, str]) -> Column:
+    """Marks in a row by their class, equal classes as they stand."""
+    own = _escaped(marks[0])
+    runs = F.regexp_extract_all(text, F.lit(f"([{own}]+|[^{own}]+)"), 1)
+
+    def ordered(run: Column) -> Column:
+        chars = F.regexp_extract_all(run, F.lit("(?s)(.)"), 1)
+        keyed = F.transform(chars, lambda c, i: F.struct(F.translate(c, *marks).alias("k"), i.alias("i"), c.alias("c")))
+        return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), "")
+
+    return F.array_join(F.transform(runs, lambda r: F.when((F.length(r) > 1) & r.rlike(f"^[{own}]"), ordered(r)).otherwise(r)), "")
+
+
+def _join_class(text: Column, joined: tuple[str, list[tuple[str, str, str]]]) -> Column:
+    """Letters joined with the marks of one class that follow them, across marks of lower classes."""
+    between, rows = joined
+    table = F.split(F.lit("\x01".join("\x02".join(r) for r in rows)), "\x01", -1)
+    part = lambda p, k: F.get(F.split(p, "\x02", -1), k)
+    return F.aggregate(table, text, lambda s, p: F.regexp_replace(s, F.concat(part(p, 0), F.lit(between), part(p, 1)), F.concat(part(p, 2), F.lit("$1"))))
+
+
 def folded_unicode(text: Column) -> Column:
-    """Compatibility composition; plain texts are told by one scan and pass unchanged."""
-    source, target, several, composed, hangul, swaps = _tables()
-    odd = "[" + "".join(f"\\x{{{ord(a):X}}}" for a, _ in several) + "]"
+    """Compatibility composition; plain texts are told by one scan and pass unchanged.
+
+    Texts with marks are taken apart, their marks ordered and joined to the letters again, a mark's class after another.
+    """
+    t = _tables()
+    odd = f"[{_escaped(a for a, _ in t.several)}]"
+
+    def composed(text: Column) -> Column:
+        x = _in_order(_replace_all(text, t.split, F.replace), t.marks)
+        return reduce(_join_class, t.joined, x)
 
     def fold(text: Column) -> Column:
-        t = _where(F.translate(text, source, target), odd, lambda t: _replace_all(t, several, F.replace))
-        t = _where(t, "\\p{M}{2}", lambda t: _replace_all(t, swaps, F.regexp_replace))
-        t = _where(t, "\\p{M}", lambda t: _replace_all(t, composed, F.replace))
-        return _where(t, "[\\x{1100}-\\x{11FF}]", lambda t: _replace_all(t, hangul, F.replace))
+        x = _where(F.translate(text, *t.single), odd, lambda x: _replace_all(x, t.several, F.replace))
+        x = _where(x, f"[{_escaped(t.marks[0])}]", composed)
+        return _where(x, "[\\x{1100}-\\x{11FF}]", lambda x: _replace_all(x, t.hangul, F.replace))
 
     return F.when((F.octet_length(text) > F.length(text)) & text.rlike(_PLAIN), fold(text)).otherwise(text)
 
@@ -100,7 +150,8 @@ def folded_unicode(text: Column) -> Column:
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null counts as empty."""
     t = _let(F.coalesce(text.cast("string"), F.lit("")), folded_unicode)
-    t = F.replace(F.lower(F.upper(t)), F.lit("ς"), F.lit("σ"))
+    # upper, then lower: one letter may fold to two; the replacement keeps the optimiser from dropping upper()
+    t = F.replace(F.lower(F.replace(F.upper(t), F.lit("ẞ"), F.lit("SS"))), F.lit("ς"), F.lit("σ"))
     return F.trim(F.regexp_replace(t, "[\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+", " "))
 
 
@@ -142,14 +193,15 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", buckets:
 
     Keys are cut into ranges at quantiles that are keys themselves. The document that opens a range is sent to the
     range before it too, so that every range finds its last row's successor at home: one shuffle, no single task.
-    Rows with a null key come last; rows with one key stand in the order of their texts' hashes. The one row of a
+    Ranges grow once there are MOST_RANGES of them; a task sorts its range with spilling and holds two rows at a time.
+    Keys must be numbers. Rows with a null key come last; rows with one key stand in the order of their texts' hashes. The one row of a
     table of one row is its own successor.
     """
     from folioscope.llm import _text
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    n = buckets or max(_text.parts(rows, _text.text_bytes(rows, "text"), 32 << 20), 1)
-    found = rows.agg(F.max("key").alias("top"), F.percentile_approx("key", [k / n for k in range(1, n)] or [0.5], 10_000).alias("cuts")).first()
+    n = buckets or min(_text.parts(rows, _text.text_bytes(rows, "text"), 32 << 20), MOST_RANGES)
+    found = rows.agg(F.max("key").alias("top"), F.percentile_approx("key", [k / n for k in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("cuts")).first()
     opens = sorted({found["top"], *(found["cuts"] or [])} - {None}, reverse=True) or [None]
     if opens == [None]:
         bucket, ghost = F.lit(0), F.when(F.col("key").isNull(), F.lit(0))
