@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import _text, language_id, packing, pii, simhash, substring_dedup, token_rollup
+from folioscope.llm import _text, language_id, minhash, packing, pii, substring_dedup, token_rollup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,17 +26,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, that with the smallest doc_id; of rows that share it, the first by a hash of the text.
+    """Keeps one document of each group of near copies (similarity 0.8 of 5-word shingles): the smallest doc_id, then the first by a hash of the text.
 
-    A row without a doc_id stands behind all others, under a number made of its text.
+    Groups are of texts, so rows that share a doc_id stand for themselves. A row without a doc_id stands behind all
+    others, under a number made of its text. Texts without words are one group.
     """
     from pyspark.sql import Window
 
     key = F.coalesce("doc_id", F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
-    rows = docs.select(*COLUMNS, key.alias("row_key"))
-    keepers = simhash.near_duplicates(rows, key="row_key").select(F.col("component_id").alias("row_key")).distinct()
-    first = Window.partitionBy("row_key").orderBy(F.xxhash64("text"), "lang", "source", "n_chars")
-    kept = rows.join(keepers, "row_key", "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1")
+    rows = docs.select(*COLUMNS, key.alias("row_key"), minhash.text_node(F.col("text")).alias("node"))
+    firsts = rows.groupBy("node").agg(F.min("row_key").alias("row_key")).join(minhash.linked(rows), "node", "left")
+    keepers = firsts.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("row_key", "node")).alias("x")).select("x.*")
+    first = Window.partitionBy("row_key", "node").orderBy("lang", "source", "n_chars")
+    kept = rows.join(keepers, ["row_key", "node"], "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1")
     return kept.select(*COLUMNS)
 
 

@@ -1,0 +1,93 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, the shingles themselves decide.
+
+A text's signature is the least value of each of BANDS x ROWS hashes over its shingles; texts that agree in all rows of a
+band share a bucket. Two texts of similarity s meet with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9995 at 0.8.
+
+Every pair that meets is compared by its whole sets of shingles unless links join its ends already. So that a large
+group of copies costs links in proportion, each bucket's members are first compared with one of them, twice; what a
+bucket then still holds of several components is compared pair by pair, without a limit on its size.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from folioscope.llm import _text, simhash
+
+WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 6
+
+_ODD = (_text.splitmix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_PLUS = (_text.splitmix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+
+def text_node(text: Column) -> Column:
+    """A number of the whole text; 0 for all texts without words, null ones among them."""
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+
+
+def _mapped(texts: DataFrame, column: str, values) -> DataFrame:
+    """(node, column): lists of numbers made of each text's shingle hashes."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = _text.flat(batch.column(1))
+            for i, j in _text.pieces(offsets, 1 << 19):
+                flat, ends = values(*simhash._hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], WORDS))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], lists], ["node", column])
+
+    return _text.bounded(texts).select("node", "text").mapInArrow(run, f"node long, {column} array<long>")
+
+
+def _buckets(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(begin) - 1
+    out = np.zeros((n, BANDS), dtype=np.uint64)
+    some = np.flatnonzero(np.diff(begin) > 0)
+    if len(some):
+        low, first = (h >> np.uint64(32)).astype(np.uint32), begin[some]
+        for k in range(BANDS):
+            value = np.full(len(some), k + 1, dtype=np.uint64)
+            for r in range(k * ROWS, (k + 1) * ROWS):
+                value = _text.splitmix(value ^ np.minimum.reduceat(low * _ODD[r] + _PLUS[r], first).astype(np.uint64))
+            out[some, k] = value
+    return out.ravel(), np.arange(n + 1) * BANDS
+
+
+def _sets(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.unique(h[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+    return np.concatenate([np.zeros(0, np.uint64), *parts]), np.cumsum([0, *map(len, parts)])
+
+
+def linked(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of the texts that have a near copy. `texts` has node (see text_node) and text; nodes may repeat."""
+    worded = texts.where("node <> 0")
+    signed = _text.checkpointed(_mapped(worded, "buckets", _buckets)).select("node", F.explode("buckets").alias("bucket"))
+    shared = signed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
+    met = _text.checkpointed(signed.join(shared, "bucket").distinct())
+    held = worded.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sets = _text.checkpointed(_mapped(held, "shingles", _sets))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return _text.checkpointed(both.select("a", "b", (common >= similarity * (F.size("x") + F.size("y") - common)).alias("near")))
+
+    done, found = None, None
+    for step in ("least", "hashed", "all"):
+        own = met.withColumn("root", F.col("node")) if found is None else met.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root"), F.col("node") if step == "least" else F.xxhash64("node")).alias("hub")).where("low < high")
+        if step == "all":
+            open_ = own.join(mixed.select("bucket"), "bucket", "left_semi")
+            pairs = open_.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")).join(open_.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb")), "bucket").where("a < b and ra <> rb")
+        else:
+            pairs = own.join(mixed.select("bucket", "hub"), "bucket").where("root <> hub.root").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+        pairs = pairs.select("a", "b").distinct()
+        if done is not None:
+            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        new = compared(pairs)
+        done = new if done is None else done.unionByName(new)
+        found = simhash.components(done.where("near").select("a", "b"))
+    return found

@@ -89,3 +89,21 @@ def test_held_out_accuracy(spark):
     assert said.where("lang_pred = lang").count() >= 0.95 * said.count()
     judged = queries.op1_quality_gam(spark, DATA).join(labels, "doc_id")
     assert judged.where("predicted = quality").count() >= 0.9 * judged.count()
+
+
+def _near(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+
+
+def test_near_copies_from_similarity_of_four_fifths_go(spark):
+    rng = random.Random(21)
+    clean = [prose(rng, 100) for _ in range(60)]
+    copies = []
+    for t in clean:
+        words = t.split()
+        for places in ([50], [30, 70]):  # 5 and 10 of 96 shingles changed: similarities 91/101 and 86/106
+            copies.append(" ".join("zz" if k in places else w for k, w in enumerate(words)))
+    other = " ".join("zz" if k in (15, 40, 65, 90) else w for k, w in enumerate(clean[0].split()))  # 76/116
+    rows = [*enumerate(clean), *enumerate(copies, 100), (900, other)]
+    assert _near(spark, rows) == [*enumerate(clean), (900, other)]
