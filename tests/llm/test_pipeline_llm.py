@@ -107,3 +107,10 @@ def test_near_copies_from_similarity_of_four_fifths_go(spark):
     other = " ".join("zz" if k in (15, 40, 65, 90) else w for k, w in enumerate(clean[0].split()))  # 76/116
     rows = [*enumerate(clean), *enumerate(copies, 100), (900, other)]
     assert _near(spark, rows) == [*enumerate(clean), (900, other)]
+
+
+def test_rows_that_share_an_id_stand_for_their_own_texts(spark):
+    rng = random.Random(22)
+    a, b = prose(rng, 100), prose(rng, 100)
+    near = " ".join("zz" if k == 50 else w for k, w in enumerate(a.split()))
+    assert _near(spark, [(3, near), (4, a), (4, b)]) == [(3, near), (4, b)]
