@@ -136,3 +136,16 @@ def test_stream(spark, tmp_path):
     (src / "b.ndjson").write_text(json.dumps({"source": "p", "doi": "10.1/a", "title": "T"}) + "\n" + json.dumps({"source": "q", "pmid": "4", "title": "U"}) + "\n")
     ingest.ingest(spark, *paths).awaitTermination()
     assert sorted(r["record_id"] for r in spark.read.parquet(paths[1]).collect()) == ["doi:10.1/a", "pmid:4"]
+
+
+def test_stream_keeps_late_records(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    paths = [str(src), str(tmp_path / "out"), str(tmp_path / "check")]
+    line = lambda doi, ts: json.dumps({"source": "p", "doi": doi, "title": "T", "harvest_ts": ts}) + "\n"
+    for name, rows in (("a", line("10.1/a", "2026-06-01T00:00:00Z")), ("b", line("10.1/b", "2026-06-02T00:00:00Z")), ("c", line("10.1/c", "2025-11-01T00:00:00Z") + line("10.1/a", "2025-10-01T00:00:00Z"))):
+        (src / f"{name}.ndjson").write_text(rows)
+        ingest.ingest(spark, *paths).awaitTermination()
+    assert sorted(r["record_id"] for r in spark.read.parquet(paths[1]).collect()) == ["doi:10.1/a", "doi:10.1/b", "doi:10.1/c"]
+    ingest.ingest(spark, *paths[:2], str(tmp_path / "check2")).awaitTermination()
+    assert spark.read.parquet(paths[1]).count() == 3
