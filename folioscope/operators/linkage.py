@@ -87,28 +87,30 @@ def survivors(records: DataFrame, cluster: str = "cluster") -> DataFrame:
     return merged.withColumnRenamed("_source", "source")
 
 
-def _sides(records: DataFrame, side: str) -> DataFrame:
-    return records.select(*(F.col(c).alias(f"{side}_{c}") for c in records.columns if c != "block"), "block")
-
-
 def comparable(records: DataFrame) -> DataFrame:
     """What pass 2 needs of each record."""
     own = keyed(records)
     return own.select("row_id", "block", "id_doi", "id_pmid", text.title_norm(F.col("title")).alias("title"), F.nullif("issn_l", F.lit("")).alias("issn"), text.title_norm(F.col("journal_raw")).alias("venue"), text.first_author_key(F.col("authors")).alias("author"))
 
 
-def candidate_pairs(records: DataFrame, least: float = REVIEW_FROM, largest_block: int | None = LARGEST_BLOCK) -> DataFrame:
+def candidate_pairs(records: DataFrame, least: float = REVIEW_FROM, largest_block: int | None = None) -> DataFrame:
     """(block, l_, r_, score): pairs of a block whose titles score `least` or more and whose identifiers don't conflict.
 
-    Blocks larger than `largest_block` aren't compared; null compares all. Titles under 15 characters aren't compared.
-    Native bounds on the edit distance rule most pairs out before any reaches Python.
+    All blocks are compared; one of over LARGEST_BLOCK records is cut into parts by a hash, which meet two by two. Only for
+    the reference's result, LARGEST_BLOCK as `largest_block` leaves larger blocks out. Titles under 15 characters aren't
+    compared. Native bounds on the edit distance rule most pairs out before any reaches Python.
     """
     own = comparable(records)
     if largest_block is not None:
         sizes = own.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= largest_block)).select("block")
         own = own.join(sizes, "block", "left_semi")
     own = own.where(F.length("title") >= LEAST_TITLE)
-    pairs = _sides(own, "l").join(_sides(own, "r"), "block").where("l_row_id < r_row_id")
+    sized = own.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / LARGEST_BLOCK).cast("int").alias("cuts"))
+    parts = own.join(sized, "block").withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("cuts")).cast("int"))
+    # part p meets part q in the cell (min, max); within a cell of two parts only records of unlike parts are pairs
+    cells = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("cuts", "other")
+    sides = [cells.select(*(F.col(c).alias(f"{side}_{c}") for c in [*own.columns, "part"] if c != "block"), "block", "low", "high") for side in "lr"]
+    pairs = sides[0].join(sides[1], ["block", "low", "high"]).where("l_row_id < r_row_id and (low = high or l_part <> r_part)").drop("low", "high", "l_part", "r_part")
     differ = lambda c: F.coalesce(F.col(f"l_{c}") != F.col(f"r_{c}"), F.lit(False))
     pairs = pairs.where(~differ("id_doi") & ~differ("id_pmid")).where(similarity.may_reach(F.col("l_title"), F.col("r_title"), least))
     return pairs.withColumn("score", similarity.token_sort_ratio(F.col("l_title"), F.col("r_title"))).where(F.col("score") >= least)
@@ -122,7 +124,7 @@ def corroborated(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("corroborated", F.when(both("issn"), same("issn")).when(both("venue"), venue).when(both("author"), same("author")).otherwise(True))
 
 
-def fuzzy_matches(records: DataFrame, largest_block: int | None = LARGEST_BLOCK) -> DataFrame:
+def fuzzy_matches(records: DataFrame, largest_block: int | None = None) -> DataFrame:
     """(block, a, b, score, corroborated, verdict): merge from 90 with a second signal, else review."""
     pairs = corroborated(candidate_pairs(records, largest_block=largest_block))
     verdict = F.when((F.col("score") >= AUTO_ACCEPT) & F.col("corroborated"), "merge").otherwise("review")
@@ -133,7 +135,7 @@ def fuzzy_clusters(matches: DataFrame) -> DataFrame:
     """(row_id, cluster) of records that merge, block by block in order of row_id.
 
     A merge that would put two unlike DOIs or PMIDs into one cluster is refused, though each pair alone was free of
-    conflict. Only the pairs of a block meet in one task; blocks are bounded by `largest_block`.
+    conflict. Only pairs that links join meet in one task, since others never share a cluster.
     """
     kind = dict(matches.dtypes)["a"]
 
@@ -160,10 +162,12 @@ def fuzzy_clusters(matches: DataFrame) -> DataFrame:
         nodes = list(parent)
         return pd.DataFrame({"row_id": nodes, "cluster": [root(n) for n in nodes]})
 
-    return matches.where("verdict = 'merge'").groupBy("block").applyInPandas(resolve, f"row_id {kind}, cluster {kind}")
+    merges = matches.where("verdict = 'merge'")
+    joined = merges.join(graph.components(merges.select("a", "b")), F.col("a") == F.col("node"))
+    return joined.drop("node").groupBy("root").applyInPandas(resolve, f"row_id {kind}, cluster {kind}")
 
 
-def deduplicate(records: DataFrame, largest_block: int | None = LARGEST_BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+def deduplicate(records: DataFrame, largest_block: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(works, review, report): one record a work with record_id, pairs for people to judge, and one row of counts."""
     own = keyed(records)
     edges = graph.checkpointed(identifier_edges(own))
@@ -201,10 +205,10 @@ def review_sample(review: DataFrame, n: int = 500) -> DataFrame:
     return review.orderBy(F.desc("score"), "a", "b").limit(n)
 
 
-def blocks(records: DataFrame) -> DataFrame:
+def blocks(records: DataFrame, largest_block: int | None = None) -> DataFrame:
     """(block, n, compared): the size of each block and whether pass 2 compares it."""
     sized = keyed(records).groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    return sized.withColumn("compared", (F.col("n") > 1) & (F.col("n") <= LARGEST_BLOCK))
+    return sized.withColumn("compared", (F.col("n") > 1) & (F.lit(largest_block is None) | (F.col("n") <= F.lit(largest_block))))
 
 
 def first_by(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -81,6 +81,17 @@ def test_large_blocks_are_told(frame):
     assert linkage.candidate_pairs(frame(*rows), largest_block=None).count() > 100
 
 
+def test_large_blocks_are_compared_whole(frame):
+    rows = [paper(f"r{i:03d}", title=f"Study {i * 7919 % 1000003:06d} {'abcdefghij'[i % 10] * (10 + i // 10)}") for i in range(410)]
+    rows += [paper("x1", title="Study of near copies that stand in a hot block"), paper("x2", title="Study of near copies that stand in a hot blocks")]
+    pairs = {(r["l_row_id"], r["r_row_id"]): r["score"] for r in linkage.candidate_pairs(frame(*rows)).collect()}
+    assert ("x1", "x2") in pairs
+    whole = linkage.candidate_pairs(frame(*rows), largest_block=1000).collect()
+    assert len(whole) == len(pairs)
+    got, _, _ = works(frame, *rows[-2:], *rows[:405])
+    assert not {"x1", "x2"} <= {w["row_id"] for w in got}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (11, 12), (12, 13), (13, 14), (20, 20)] + [(100, 101 + i) for i in range(50)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
