@@ -402,10 +402,10 @@ def fuzzy_dedupe_indel(spark, d):
 
 @query()
 def linkage_works(spark, d):
-    """The whole of entity resolution over documents as records: each text a title with its provider."""
+    """The whole of entity resolution over documents as records: each whole text a title with its provider."""
     docs = table(spark, d, "documents")
     records = docs.select(
-        F.col("doc_id").alias("row_id"), "source", F.col("doc_id").cast("string").alias("source_id"), _title().alias("title"), (F.col("n_chars") % 30 + 1990).cast("int").alias("year"),
+        F.col("doc_id").alias("row_id"), "source", F.col("doc_id").cast("string").alias("source_id"), F.col("text").alias("title"), (F.col("n_chars") % 30 + 1990).cast("int").alias("year"),
         F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("pmid"), F.concat(F.lit("Journal of "), "lang").alias("journal_raw"), F.lit(None).cast("string").alias("issn_l"),
         F.lit(None).cast("array<struct<name:string>>").alias("authors"), F.lit(None).cast("string").alias("venue_tier"),
     )

@@ -113,3 +113,13 @@ def test_venues(spark):
     late = {r["journal_raw"]: (r["journal_canonical"], r["venue_method"]) for r in venues.resolve(new, by_issn, by_key).collect()}
     assert late["Journal of Afective Disorders"][1] == "fuzzy_auto" and late["Annals of Unknown Matters"] == ("Annals of Unknown Matters", "new")
     assert venues.normalisation_log(venues.resolve(df, by_issn, by_key)).agg(F.sum("n")).first()[0] == 10
+
+
+def test_works_of_one_opening_and_unlike_bodies_stay_apart(spark, tmp_path):
+    from folioscope.plans import catalogue
+
+    opening = "This text is licensed under the terms that stand in the file next to it, and so on. "
+    rows = [(i, opening + " ".join(f"{w}{i}" for w in ("river", "stone", "cloud", "meadow", "harbour") * 12), "en", "s", 30) for i in range(2)]
+    rows += [(2, rows[0][1], "en", "s", 30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r["row_id"] for r in catalogue.linkage_works(spark, str(tmp_path)).collect()) == [0, 1]
