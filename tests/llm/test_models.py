@@ -172,6 +172,41 @@ def test_sentencepiece(spark, docs, corpus, empty, library):
     assert trip[3]["decoded"] == back[3]["text"] and trip[3]["n_tokens"] == len(got[3]["ids"]) and sentencepiece_codec.round_trip_digests(empty).count() == 0
 
 
+def test_sentencepiece_unbroken(library):
+    """Long texts without a space, as the library has them, in bounded time; digests part by part are those of the whole."""
+    import base64
+    import hashlib
+    import time
+
+    rng = random.Random(16)
+    codec = sentencepiece_codec.codec("piece_bpe_32k.model")
+    pieces = [p.replace("▁", "") for p in codec.normal if p.strip("▁")]
+    texts = [
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), base64.b64encode(rng.randbytes(150_000)).decode(), "".join(rng.choice("中文日本語的是不") for _ in range(100_000)),
+        "ab" * 100_000, "a" * 100_001, "-" * 99_999, "".join(rng.choice(pieces) for _ in range(40_000)), "".join(rng.choice(("the", "he", "er", "in", "ing", "th", "re")) for _ in range(40_000)),
+    ]
+    began = time.perf_counter()
+    got = codec.digests(texts)
+    assert time.perf_counter() - began < 30
+    want = library.encode(texts, add_eos=True)
+    assert got == ([len(x) for x in want], [" ".join(map(str, x)) for x in want], [library.decode(x) for x in want])
+    assert all(codec._queued([int(codec.char_symbol[ord(c)]) for c in "▁" + t[:3_000]]) == library.encode(t[:3_000]) for t in texts if t.isascii())
+    spaced = " ".join(rng.choice(pieces) for _ in range(200_000)) + "  \n x ▁ ▁  y" * 30_000
+    _, ids, plain = codec.digests([spaced])
+    sentencepiece_codec.PART_CHARS, most = 50_000, sentencepiece_codec.PART_CHARS
+    try:
+        assert codec.hashed(spaced)[1:] == (hashlib.sha256(ids[0].encode()).hexdigest(), hashlib.sha256(plain[0].encode()).hexdigest())
+    finally:
+        sentencepiece_codec.PART_CHARS = most
+
+
+def test_sentencepiece_repeats_and_null_keys(spark):
+    """Repeated rows are encoded each; null keys and null texts stay rows."""
+    df = spark.createDataFrame([(1, "ab c"), (1, "ab c"), (None, "ab c"), (2, None), (None, None)], "doc_id long, text string")
+    got = sorted(map(tuple, sentencepiece_codec.round_trip_digests(df).collect()), key=str)
+    assert len(got) == 5 and len({r[1:] for r in got}) == 2 and {r[1] for r in got if r[0] == 2} == {1}
+
+
 def test_decoding_any_ids(library):
     rng = random.Random(7)
     codec = sentencepiece_codec.codec("piece_bpe_32k.model")
