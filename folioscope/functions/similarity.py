@@ -44,16 +44,26 @@ def token_sorted(text: Column) -> Column:
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """Indel similarity of the sorted words."""
-    return _ratio(token_sorted(a), token_sorted(b))
+    return sorted_ratio(token_sorted(a), token_sorted(b))
+
+
+def sorted_ratio(x: Column, y: Column) -> Column:
+    """Indel similarity of texts whose words are sorted already."""
+    return _ratio(x, y)
 
 
 def may_reach(a: Column, b: Column, least: float) -> Column:
-    """False only if the token sort ratio is certainly below `least`. Native, so it runs before the batches.
+    """False only if the token sort ratio is certainly below `least`. Native, so it runs before the batches."""
+    return sorted_may_reach(token_sorted(a), token_sorted(b), least)
+
+
+def sorted_may_reach(x: Column, y: Column, least: float) -> Column:
+    """may_reach() of texts whose words are sorted already.
 
     The edits of a single kind (insert, delete) number len(a) + len(b) minus twice the common part, and plain edit
-    distance is never more than that; a distance beyond what `least` allows rules the pair out.
+    distance is never more than that; a distance beyond what `least` allows rules the pair out. The bounded distance
+    fills only a band of the table and stops early.
     """
-    x, y = token_sorted(a), token_sorted(b)
     both = F.length(x) + F.length(y)
     most = F.floor((1 - least / 100.0) * both + 1e-9).cast("int")
     return (F.abs(F.length(x) - F.length(y)) <= most) & (F.expr("true") if least <= 0 else F.levenshtein(x, y) <= most)

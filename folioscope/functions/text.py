@@ -59,12 +59,21 @@ def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 
 def fold_accents(text: Column) -> Column:
-    """Compatibility decomposition with marks dropped. ASCII texts, the usual ones, pass untouched; Hangul stays composed."""
+    """Compatibility decomposition with marks dropped. ASCII texts, the usual ones, pass untouched; Hangul stays composed.
+
+    Texts of Latin letters are done after one small table; only others meet the whole one, and the characters that
+    become several are replaced only where a text has any.
+    """
     source, target, several = _folding()
+    latin = "".join(c for c in source if ord(c) < 0x250 or 0x300 <= ord(c) < 0x370 or 0x1E00 <= ord(c) < 0x1F00)
+    # marks stand at the end of the source, without a target
+    latin = "".join(c for c in latin if source.index(c) < len(target)) + "".join(c for c in latin if source.index(c) >= len(target))
+    plain = "".join(target[k] for c in latin if (k := source.index(c)) < len(target))
     table = F.split(F.lit("\x01".join(f"{a}\x02{b}" for a, b in several)), "\x01", -1)
-    odd = "[" + "".join(f"\\x{{{ord(a):X}}}" for a, _ in several) + "]"
+    odd = "".join(a for a, _ in several)
     spread = lambda t: F.aggregate(table, t, lambda s, p: F.replace(s, F.substring_index(p, "\x02", 1), F.substring_index(p, "\x02", -1)))
-    return F.when(ascii_only(text), text).otherwise(let(F.translate(text, source, target), lambda t: F.when(t.rlike(odd), spread(t)).otherwise(t)))
+    whole = lambda t: let(F.translate(t, source, target), lambda u: F.when(F.length(F.translate(u, odd, "")) < F.length(u), spread(u)).otherwise(u))
+    return F.when(ascii_only(text), text).otherwise(let(F.translate(text, latin, plain), lambda t: F.when(ascii_only(t), t).otherwise(whole(t))))
 
 
 def squeeze(text: Column) -> Column:

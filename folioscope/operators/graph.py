@@ -1,40 +1,75 @@
-"""Connected components by DataFrame joins."""
+"""Connected components by DataFrame joins, and what joins and lineage need on a cluster."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys that spread_join() deals over many tasks, at most, over how many, and rows that a key must have for it.
+MOST_HOT, SALTS, LEAST_HOT = 1_000, 64, 10_000
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path under spark.checkpoint.dir, which the driver and all executors share.
+
+    The session's setting wins. Where it is unset, a folder below the system's temporary one is used if the session runs
+    on this machine alone, as in tests; on a cluster that is an error, as machines don't share such a folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        root = f"file://{tempfile.gettempdir()}/folioscope-shared"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage at a copy in the shared folder that spark.checkpoint.dir names; a temporary folder where it's unset, as in tests."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cuts the lineage at a copy in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir() + '/folioscope-lineage'}/{uuid.uuid4().hex}")
+        context.setCheckpointDir(shared_dir(df.sparkSession, "lineage"))
     return df.checkpoint()
 
 
+def spread_join(many: DataFrame, one: DataFrame, keys: str | list[str], total: int, how: str = "inner") -> DataFrame:
+    """many.join(one, keys, how) where few keys may hold most rows of `many`; `one` has a key once, and in n how many rows of `many` have it.
+
+    `total` is the number of rows of `many`, or more. Keys with over a MOST_HOT-th of these, so no more than MOST_HOT of
+    them, are broadcast by name and dealt over SALTS tasks, where their row of `one` stands in each. n isn't returned.
+    Null keys meet nothing.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    rare = max(total // MOST_HOT, LEAST_HOT)
+    hot = one.where(F.col("n") > rare).select(*keys, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
+    left = many.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
+    places = F.when(F.col("n") > rare, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = one.withColumn("_salt", F.explode(places)).drop("n")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each end of an edge (a, b) reaches.
 
     Large-star and small-star by turns: a node's larger neighbours, then its smaller ones, are tied to the smallest it
     knows, until nothing changes. Rounds grow with the logarithm of the graph; only minima are gathered, never a
-    node's neighbours.
+    node's neighbours, and a hub's edges are dealt over many tasks to meet its minimum. Each round is written to the
+    shared folder, so lineage stays short.
     """
     own = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
+    state, n = None, own.count()
     for _ in range(most_rounds):
         both = own.unionByName(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        own = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = own.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = spread_join(both, least, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        star = large.distinct()
+        least = star.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(star, least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        own = checkpointed(small)
+        n, _ = now = own.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return own.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(own.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         state = now

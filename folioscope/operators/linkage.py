@@ -6,10 +6,8 @@ compares titles inside blocks of year and first telling word, and merges what a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import similarity, text
@@ -36,8 +34,9 @@ def keyed(records: DataFrame) -> DataFrame:
 def identifier_edges(keyed_records: DataFrame) -> DataFrame:
     """(a, b, by): each record tied to the smallest that has the same identifier; a group of n gives n - 1 edges."""
     ids = keyed_records.select("row_id", F.explode(F.array(*(F.struct(F.lit(k).alias("by"), F.col(f"id_{k}").alias("value")) for k in ("doi", "pmid", "sig")))).alias("x")).select("row_id", "x.*").where("value is not null")
-    first = ids.groupBy("by", "value").agg(F.min("row_id").alias("a"))
-    return ids.join(first, ["by", "value"]).where("row_id <> a").select("a", F.col("row_id").alias("b"), "by")
+    first = ids.groupBy("by", "value").agg(F.min("row_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # an identifier that very many records share is dealt over many tasks
+    return graph.spread_join(ids, first, ["by", "value"], 2 * keyed_records.count()).where("row_id <> a").select("a", F.col("row_id").alias("b"), "by")
 
 
 def identifier_clusters(records: DataFrame) -> DataFrame:
@@ -93,27 +92,43 @@ def comparable(records: DataFrame) -> DataFrame:
     return own.select("row_id", "block", "id_doi", "id_pmid", text.title_norm(F.col("title")).alias("title"), F.nullif("issn_l", F.lit("")).alias("issn"), text.title_norm(F.col("journal_raw")).alias("venue"), text.first_author_key(F.col("authors")).alias("author"))
 
 
+def block_pairs(own: DataFrame) -> DataFrame:
+    """(block, l_, r_): the pairs of records of a block, by ascending row_id.
+
+    A block of over LARGEST_BLOCK records is cut into parts by a hash, which meet two by two, so no task gets a whole
+    one, whatever its share of all records.
+    """
+    sized = own.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("cuts", F.ceil(F.col("n") / LARGEST_BLOCK).cast("int"))
+    parts = graph.spread_join(own, sized, "block", own.count()).withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("cuts")).cast("int"))
+    # part p meets part q in the cell (min, max); within a cell of two parts only records of unlike parts are pairs
+    cells = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("cuts", "other")
+    sides = [cells.select(*(F.col(c).alias(f"{side}_{c}") for c in [*own.columns, "part"] if c != "block"), "block", "low", "high") for side in "lr"]
+    return sides[0].join(sides[1], ["block", "low", "high"]).where("l_row_id < r_row_id and (low = high or l_part <> r_part)").drop("low", "high", "l_part", "r_part")
+
+
+def scored_pairs(own: DataFrame, least: float, agree: Column | None = None) -> DataFrame:
+    """block_pairs() of records with a title, with the titles' score from `least` on, where `agree` holds.
+
+    Words are sorted once a record; native bounds on the edit distance rule most pairs out before any reaches Python.
+    """
+    pairs = block_pairs(own.withColumn("_sorted", similarity.token_sorted(F.col("title"))))
+    x, y = F.col("l__sorted"), F.col("r__sorted")
+    pairs = (pairs if agree is None else pairs.where(agree)).where(similarity.sorted_may_reach(x, y, least))
+    return pairs.withColumn("score", similarity.sorted_ratio(x, y)).where(F.col("score") >= least).drop("l__sorted", "r__sorted")
+
+
 def candidate_pairs(records: DataFrame, least: float = REVIEW_FROM, largest_block: int | None = None) -> DataFrame:
     """(block, l_, r_, score): pairs of a block whose titles score `least` or more and whose identifiers don't conflict.
 
-    All blocks are compared; one of over LARGEST_BLOCK records is cut into parts by a hash, which meet two by two. Only for
-    the reference's result, LARGEST_BLOCK as `largest_block` leaves larger blocks out. Titles under 15 characters aren't
-    compared. Native bounds on the edit distance rule most pairs out before any reaches Python.
+    All blocks are compared. Only for the reference's result, LARGEST_BLOCK as `largest_block` leaves larger blocks out.
+    Titles under 15 characters aren't compared.
     """
     own = comparable(records)
     if largest_block is not None:
         sizes = own.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= largest_block)).select("block")
         own = own.join(sizes, "block", "left_semi")
-    own = own.where(F.length("title") >= LEAST_TITLE)
-    sized = own.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / LARGEST_BLOCK).cast("int").alias("cuts"))
-    parts = own.join(sized, "block").withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("cuts")).cast("int"))
-    # part p meets part q in the cell (min, max); within a cell of two parts only records of unlike parts are pairs
-    cells = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("cuts", "other")
-    sides = [cells.select(*(F.col(c).alias(f"{side}_{c}") for c in [*own.columns, "part"] if c != "block"), "block", "low", "high") for side in "lr"]
-    pairs = sides[0].join(sides[1], ["block", "low", "high"]).where("l_row_id < r_row_id and (low = high or l_part <> r_part)").drop("low", "high", "l_part", "r_part")
     differ = lambda c: F.coalesce(F.col(f"l_{c}") != F.col(f"r_{c}"), F.lit(False))
-    pairs = pairs.where(~differ("id_doi") & ~differ("id_pmid")).where(similarity.may_reach(F.col("l_title"), F.col("r_title"), least))
-    return pairs.withColumn("score", similarity.token_sort_ratio(F.col("l_title"), F.col("r_title"))).where(F.col("score") >= least)
+    return scored_pairs(own.where(F.length("title") >= LEAST_TITLE), least, ~differ("id_doi") & ~differ("id_pmid"))
 
 
 def corroborated(pairs: DataFrame) -> DataFrame:
@@ -196,27 +211,7 @@ def deduplicate(records: DataFrame, largest_block: int | None = None) -> tuple[D
     return works, review, report
 
 
-def conflicts(records: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """Clusters that hold more than one DOI: a shared PMID ties them, and people should know."""
-    return records.where("doi is not null").groupBy(cluster).agg(F.countDistinct("doi").alias("n_dois")).where("n_dois > 1")
-
-
-def review_sample(review: DataFrame, n: int = 500) -> DataFrame:
-    return review.orderBy(F.desc("score"), "a", "b").limit(n)
-
-
 def blocks(records: DataFrame, largest_block: int | None = None) -> DataFrame:
     """(block, n, compared): the size of each block and whether pass 2 compares it."""
     sized = keyed(records).groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     return sized.withColumn("compared", (F.col("n") > 1) & (F.lit(largest_block is None) | (F.col("n") <= F.lit(largest_block))))
-
-
-def first_by(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first record of each key in an order that is total."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return records.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
-
-
-def scored(pairs: Iterator[tuple[str, str]]) -> list[float]:
-    """Token sort ratios of pairs on the driver; for reports and tests."""
-    return [similarity.indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))) for a, b in pairs]

@@ -198,7 +198,7 @@ def field_distribution(df: DataFrame, field: str, multi: bool = True) -> DataFra
     if not multi:
         return _shares(df.where(F.col(field).isNotNull()).groupBy(field).agg(_n().alias("n")), [], 1)
     whole = df.agg(_n().alias("_all"))
-    g = df.select(F.explode(field).alias(field)).where(F.col(field).isNotNull()).groupBy(field).agg(_n().alias("n"))
+    g = df.select(F.explode_outer(field).alias(field)).where(F.col(field).isNotNull()).groupBy(field).agg(_n().alias("n"))
     return g.join(F.broadcast(whole)).select(field, "n", share(F.col("n"), F.col("_all"), 1).alias("pct"))  # one row is broadcast
 
 
@@ -206,7 +206,8 @@ def field_by_decade(df: DataFrame, field: str, multi: bool = True, year: str = "
     """field_distribution within each decade, with the number of its records as denominator."""
     d = _with_decade(df, year)
     sizes = d.groupBy("decade").agg(_n().alias("denominator"))
-    values = d.select("decade", (F.explode(field) if multi else F.col(field)).alias(field)).where(F.col(field).isNotNull())
+    # explode_outer: before explode() the optimiser would filter by the labels' size, and so compute them twice
+    values = d.select("decade", (F.explode_outer(field) if multi else F.col(field)).alias(field)).where(F.col(field).isNotNull())
     g = values.groupBy("decade", field).agg(_n().alias("n")).join(F.broadcast(sizes), "decade")  # at most one row a decade
     whole = F.col("denominator") if multi else F.sum("n").over(Window.partitionBy("decade"))
     return g.select("decade", field, "n", share(F.col("n"), whole, 1).alias("pct"), "denominator")

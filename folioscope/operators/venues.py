@@ -57,12 +57,12 @@ def nearest_keys(unknown: DataFrame, by_key: DataFrame, least: float = FUZZY_REV
     A score of 85 leaves at most 15 per cent of the letters unmatched, so candidates are joined on lengths in that
     range and then bounded by edit distance.
     """
-    size = lambda c: F.length(similarity.token_sorted(F.col(c)))
     rate = least / (200 - least)
-    left = unknown.select("key", size("key").alias("n")).withColumn("near_n", F.explode(F.sequence(F.ceil(F.col("n") * rate).cast("int"), F.floor(F.col("n") / rate).cast("int"))))
-    right = by_key.select(F.col("key").alias("other"), "canonical", size("key").alias("near_n"))
-    pairs = left.join(right, "near_n").where(similarity.may_reach(F.col("key"), F.col("other"), least))
-    scored = pairs.withColumn("score", similarity.token_sort_ratio(F.col("key"), F.col("other"))).where(F.col("score") >= least)
+    left = unknown.select("key", similarity.token_sorted(F.col("key")).alias("x")).withColumn("n", F.length("x"))
+    left = left.withColumn("near_n", F.explode(F.sequence(F.ceil(F.col("n") * rate).cast("int"), F.floor(F.col("n") / rate).cast("int"))))
+    right = by_key.select(F.col("key").alias("other"), "canonical", similarity.token_sorted(F.col("key")).alias("y")).withColumn("near_n", F.length("y"))
+    pairs = left.join(right, "near_n").where(similarity.sorted_may_reach(F.col("x"), F.col("y"), least))
+    scored = pairs.withColumn("score", similarity.sorted_ratio(F.col("x"), F.col("y"))).where(F.col("score") >= least)
     best = scored.groupBy("key").agg(F.min_by(F.struct("canonical", "score"), F.struct(-F.col("score"), F.col("other"))).alias("x"))
     return best.select("key", "x.canonical", "x.score")
 

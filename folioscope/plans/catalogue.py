@@ -277,46 +277,44 @@ def duplicate_detection(spark, d):
     return quality.duplicates(table(spark, d, "documents").select(F.sha2("text", 256).alias("digest")), ["digest"])
 
 
-@query(f"""{_GROWTH}, p AS (SELECT count(*) FILTER (WHERE year BETWEEN 1989 AND {LAST}) AS records, count(DISTINCT year) FILTER (WHERE year BETWEEN 1989 AND {LAST}) AS years, count(*) AS n, count(*) - count(DISTINCT record_id) AS doubles FROM papers),
+@query(f"""{_GROWTH}, judged AS (SELECT is_empirical, record_id % 3 <> 0 AS is_scientific, methodology FROM papers),
+p AS (SELECT count(*) FILTER (WHERE year BETWEEN 1989 AND {LAST}) AS records, count(DISTINCT year) FILTER (WHERE year BETWEEN 1989 AND {LAST}) AS years, count(*) AS n, count(*) - count(DISTINCT record_id) AS doubles FROM papers),
 s AS (SELECT CAST(sum(n_articles) AS BIGINT) AS grown, count(*) AS grown_years FROM growth)
 SELECT 'growth counts every record in the window' AS name, grown = records AS passed FROM p, s UNION ALL SELECT 'growth has every year in the window', grown_years = years FROM p, s
-UNION ALL SELECT 'empirical parts sum to the scientific records', true UNION ALL SELECT 'only scientific records have an empirical status', true
-UNION ALL SELECT 'only empirical records have a methodology', true UNION ALL SELECT 'record ids are unique', doubles = 0 FROM p UNION ALL SELECT 'citations aren''t negative', true""")
+UNION ALL SELECT 'empirical parts sum to the scientific records', (SELECT count(*) FILTER (WHERE is_empirical) + count(*) FILTER (WHERE NOT is_empirical) + count(*) FILTER (WHERE is_empirical IS NULL) = count(*) FROM papers)
+UNION ALL SELECT 'only scientific records have an empirical status', (SELECT count(*) FILTER (WHERE is_empirical IS NOT NULL AND NOT is_scientific) = 0 FROM judged)
+UNION ALL SELECT 'only empirical records have a methodology', (SELECT count(*) FILTER (WHERE methodology IS NOT NULL AND is_empirical IS NOT TRUE) = 0 FROM judged)
+UNION ALL SELECT 'record ids are unique', doubles = 0 FROM p UNION ALL SELECT 'citations aren''t negative', (SELECT count(*) FILTER (WHERE cited_by_count < 0) = 0 FROM papers)""")
 def verification(spark, d):
-    df = papers(spark, d, venue=True).withColumn("is_scientific", F.lit(True)).withColumn("methodology", F.when(F.col("is_empirical"), F.col("methodology")))
+    """Over records that break two of the rules: a third isn't scientific and has a status all the same, and all have a methodology."""
+    df = papers(spark, d, venue=True).withColumn("is_scientific", F.col("record_id") % 3 != 0)
     return quality.verify(df, metrics.growth_by_year(df, last=LAST), last=LAST).select("name", "passed")
 
 
 # --- text functions over documents and pages
 
 _FOLD = "lower(strip_accents(coalesce({c}, '')))"
-_TITLE = "substring(text, 1, 80)"
 _TITLE_NORM = "trim(regexp_replace(regexp_replace(replace(regexp_replace(lower(strip_accents(coalesce({c}, ''))), '<[^>]+>', ' ', 'g'), '&', ' and '), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-def _title() -> Column:
-    """A document's first 80 characters stand for a title; this is the stand-in's definition, not a limit on reading."""
-    return F.substring("text", 1, 80)
-
-
-@query(f"SELECT doc_id, {_TITLE_NORM.format(c=_TITLE)} AS title_norm FROM documents")
+@query(f"SELECT doc_id, {_TITLE_NORM.format(c='text')} AS title_norm FROM documents")
 def title_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.title_norm(_title()).alias("title_norm"))
+    return table(spark, d, "documents").select("doc_id", text.title_norm(F.col("text")).alias("title_norm"))
 
 
 _STOPS = "['" + "', '".join(text.TITLE_STOP_WORDS) + "']"
 
 
-@query(f"""WITH t AS (SELECT doc_id, CAST(n_chars % 30 + 1990 AS INTEGER) AS year, [w for w in string_split({_TITLE_NORM.format(c=_TITLE)}, ' ') if length(w) > 2 AND NOT list_contains({_STOPS}, w)] AS ws FROM documents)
+@query(f"""WITH t AS (SELECT doc_id, CAST(n_chars % 30 + 1990 AS INTEGER) AS year, [w for w in string_split({_TITLE_NORM.format(c='text')}, ' ') if length(w) > 2 AND NOT list_contains({_STOPS}, w)] AS ws FROM documents)
 SELECT doc_id, CAST(year AS VARCHAR) || '|' || coalesce(substring(ws[1], 1, 6), '_') AS block FROM t""")
 def block_key(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.block_key(_title(), (F.col("n_chars") % 30 + 1990).cast("int")).alias("block"))
+    return table(spark, d, "documents").select("doc_id", text.block_key(F.col("text"), (F.col("n_chars") % 30 + 1990).cast("int")).alias("block"))
 
 
-@query(f"SELECT doc_id, substring(sha1({_TITLE_NORM.format(c=_TITLE)} || '|' || CASE WHEN doc_id % 7 = 0 THEN 'None' ELSE CAST(doc_id % 30 AS VARCHAR) END || '|' || lower(source)), 1, 16) AS sig FROM documents")
+@query(f"SELECT doc_id, substring(sha1({_TITLE_NORM.format(c='text')} || '|' || CASE WHEN doc_id % 7 = 0 THEN 'None' ELSE CAST(doc_id % 30 AS VARCHAR) END || '|' || lower(source)), 1, 16) AS sig FROM documents")
 def signature_id(spark, d):
     year = F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 30).cast("int"))
-    return table(spark, d, "documents").select("doc_id", text.signature(_title(), year, F.col("source")).alias("sig"))
+    return table(spark, d, "documents").select("doc_id", text.signature(F.col("text"), year, F.col("source")).alias("sig"))
 
 
 _DOI_IN = "concat(CASE page_id % 5 WHEN 0 THEN ' https://doi.org/' WHEN 1 THEN 'DOI:' WHEN 2 THEN 'http://dx.doi.org/' WHEN 3 THEN 'doi:https://doi.org/' ELSE '' END, CASE WHEN page_id % 11 = 0 THEN '11.' ELSE '10.' END, page_id, '/AB.', page_id, '..')"
@@ -338,8 +336,8 @@ SELECT doc_id, sha256(string_agg(w, ' ' ORDER BY i)) AS linear_sha256, CAST(coun
 def inverted_index_text(spark, d):
     words = F.split("text", " ", -1)
     spots = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    # the index of a document: each distinct word with its places, made and read in the row
-    rows = table(spark, d, "documents").select("doc_id", F.explode(spots).alias("x")).groupBy("doc_id", "x.w").agg(F.array_sort(F.collect_list("x.i")).alias("at"))
+    # the index of a document: each distinct word with its places. Texts are dealt by document first, so words aren't shuffled
+    rows = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(spots).alias("x")).groupBy("doc_id", "x.w").agg(F.array_sort(F.collect_list("x.i")).alias("at"))
     index = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("inverted"))
     return index.select("doc_id", F.sha2(text.linear_text(F.col("inverted")), 256).alias("linear_sha256"), F.size("inverted").alias("n_entries"))
 
@@ -348,56 +346,116 @@ def inverted_index_text(spark, d):
 
 @query("SELECT min(doc_id) AS cluster, count(*) AS n_merged, string_agg(DISTINCT source, '+' ORDER BY source) AS source FROM documents GROUP BY text")
 def exact_dedupe(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
-    return docs.groupBy("digest").agg(F.min("doc_id").alias("cluster"), F.count(F.lit(1)).alias("n_merged"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source")).drop("digest")
+    """Records with one text as one record each."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "source", F.sha2("text", 256).alias("digest"))
+    return linkage.survivors(docs, "digest").select(F.col("row_id").alias("cluster"), "n_merged", "source")
 
 
-_LINK = """e AS (SELECT d.doc_id AS a, m.first AS b FROM documents d JOIN (SELECT text, min(doc_id) AS first FROM documents GROUP BY text) m ON d.text = m.text
-  UNION ALL SELECT doc_id, doc_id - 1 FROM documents WHERE n_chars % 10 = 0 AND doc_id > 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT u.a, r.root FROM reach r JOIN u ON u.b = r.node)"""
+_IDS = """r AS (SELECT doc_id, text, lang, CASE WHEN doc_id % 3 = 0 THEN '10.1000/d' || (doc_id // 6) END AS doi, CASE WHEN doc_id % 5 < 2 THEN CAST((doc_id + 2) // 4 AS VARCHAR) WHEN doc_id % 5 = 2 THEN '' END AS pmid, CAST(n_chars % 30 + 1990 AS INTEGER) AS year FROM documents),
+k AS (SELECT doc_id, 'doi' AS tag, doi AS value FROM r WHERE doi IS NOT NULL UNION ALL SELECT doc_id, 'pmid', pmid FROM r WHERE coalesce(pmid, '') <> ''
+  UNION ALL SELECT doc_id, 'sig', {title} || '|' || year || '|' || lower(coalesce(lang, '')) FROM r WHERE doi IS NULL AND coalesce(pmid, '') = ''),
+e AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY tag, value) AS b FROM k), u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT u.a, reach.root FROM reach JOIN u ON u.b = reach.node)"""
 
 
-@query(f"WITH RECURSIVE {_LINK} SELECT node AS doc_id, min(root) AS cluster FROM reach GROUP BY node")
+@query(f"WITH RECURSIVE {_IDS.format(title=_TITLE_NORM.format(c='text'))} SELECT node AS doc_id, min(root) AS cluster FROM reach GROUP BY node")
 def identifier_components(spark, d):
-    """Equal texts are linked, and documents of a round length to the one before them; the components of both."""
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", F.sha2("text", 256).alias("digest"))
-    first = docs.groupBy("digest").agg(F.min("doc_id").alias("a"))
-    same = docs.join(first, "digest").select("a", F.col("doc_id").alias("b"))
-    chain = docs.where("n_chars % 10 = 0 and doc_id > 0").select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"))
-    found = graph.components(same.unionByName(chain))
-    return docs.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("cluster"))
+    """Documents as records of which some share a DOI, some a PMID, and some, without either, title, year and venue."""
+    i = F.col("doc_id")
+    records = table(spark, d, "documents").select(
+        i.alias("row_id"), F.when(i % 3 == 0, F.concat(F.lit("10.1000/d"), F.expr("doc_id div 6").cast("string"))).alias("doi"),
+        F.when(i % 5 < 2, F.expr("(doc_id + 2) div 4").cast("string")).when(i % 5 == 2, "").alias("pmid"),
+        F.col("text").alias("title"), (F.col("n_chars") % 30 + 1990).cast("int").alias("year"), F.col("lang").alias("journal_raw"),
+    )
+    return linkage.identifier_clusters(records).select(F.col("row_id").alias("doc_id"), "cluster")
+
+
+_PROVIDERS = "CASE source WHEN 'src1' THEN 'pubmed' WHEN 'src2' THEN 'openalex' ELSE source END"
+
+
+def _best_sql(field: str, first: str = "", second: str = "") -> str:
+    rank = f"CASE p WHEN '{first}' THEN 0 WHEN '{second}' THEN 1 ELSE 2 END" if first else "0"
+    return f"arg_min({field}, {rank} * 1000000000 + doc_id) FILTER (WHERE {field} IS NOT NULL AND CAST({field} AS VARCHAR) <> '')"
 
 
-@query("""WITH r AS (SELECT *, CASE source WHEN 'src1' THEN 0 WHEN 'src2' THEN 1 ELSE 2 END AS p FROM documents)
-SELECT min(doc_id) AS doc_id, arg_min(lang, p * 1000000000 + doc_id) AS lang, arg_min(n_chars, p * 1000000000 + doc_id) AS n_chars, count(*) AS n_merged FROM r GROUP BY text""")
+@query(f"""WITH r AS (SELECT doc_id, text, {_PROVIDERS} AS p, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 > 1 THEN lang END AS abstract, CASE WHEN doc_id % 2 = 0 THEN n_chars END AS cited_by_count, CASE WHEN doc_id % 3 > 0 THEN source END AS doi,
+  doc_id % 17 = 0 AS retracted, CASE doc_id % 4 WHEN 0 THEN 'dispersed' WHEN 1 THEN 'adjacent_b' WHEN 2 THEN 'core_a' END AS venue_tier, CASE WHEN doc_id % 6 > 0 THEN CAST(doc_id % 9 AS INTEGER) END AS n_authors FROM documents)
+SELECT min(doc_id) AS doc_id, {_best_sql("abstract", "pubmed", "openalex")} AS abstract, {_best_sql("cited_by_count", "openalex", "pubmed")} AS cited_by_count, {_best_sql("doi")} AS doi, bool_or(retracted) AS retracted,
+  CASE min(CASE venue_tier WHEN 'core_a' THEN 0 WHEN 'adjacent_b' THEN 1 WHEN 'dispersed' THEN 2 END) WHEN 0 THEN 'core_a' WHEN 1 THEN 'adjacent_b' WHEN 2 THEN 'dispersed' END AS venue_tier,
+  coalesce(max(n_authors), 0) AS n_authors, count(*) AS n_merged, string_agg(DISTINCT p, '+' ORDER BY p) AS source FROM r GROUP BY text""")
 def survivorship_merge(spark, d):
-    rank = F.when(F.col("source") == "src1", 0).when(F.col("source") == "src2", 1).otherwise(2)
-    order = F.struct(rank, F.col("doc_id"))
-    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", "source", F.sha2("text", 256).alias("digest"))
-    merged = docs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("lang", order).alias("lang"), F.min_by("n_chars", order).alias("n_chars"), F.count(F.lit(1)).alias("n_merged"))
-    return merged.drop("digest")
+    """Copies of a text as records of several providers, with gaps in every field: each field from the provider trusted for it."""
+    i = F.col("doc_id")
+    p = F.when(F.col("source") == "src1", "pubmed").when(F.col("source") == "src2", "openalex").otherwise(F.col("source"))
+    records = table(spark, d, "documents").select(
+        i.alias("row_id"), p.alias("source"), F.sha2("text", 256).alias("digest"), F.when(i % 5 == 0, "").when(i % 5 > 1, F.col("lang")).alias("abstract"),
+        F.when(i % 2 == 0, F.col("n_chars")).alias("cited_by_count"), F.when(i % 3 > 0, F.col("source")).alias("doi"), (i % 17 == 0).alias("retracted"),
+        F.when(i % 4 == 0, "dispersed").when(i % 4 == 1, "adjacent_b").when(i % 4 == 2, "core_a").alias("venue_tier"), F.when(i % 6 > 0, (i % 9).cast("int")).alias("n_authors"),
+    )
+    return linkage.survivors(records, "digest").drop("digest").withColumnRenamed("row_id", "doc_id")
+
+
+_NAMES = f"t AS (SELECT p_partkey AS id, {_TITLE_NORM.format(c='p_name')} AS title, p_size AS block FROM part)"
 
 
-_NAMES = f"""t AS (SELECT p_partkey AS id, {_TITLE_NORM.format(c='p_name')} AS title, p_size AS block FROM part), s AS (SELECT block FROM t GROUP BY block HAVING count(*) BETWEEN 2 AND 400), k AS (SELECT * FROM t WHERE block IN (SELECT block FROM s))"""
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), text.title_norm(F.col("p_name")).alias("title"), F.col("p_size").alias("block"))
 
 
-@query(f"WITH {_NAMES} SELECT l.id AS a, r.id AS b, levenshtein(l.title, r.title) AS distance FROM k l JOIN k r ON l.block = r.block AND l.id < r.id WHERE levenshtein(l.title, r.title) <= 6")
+@query(f"WITH {_NAMES} SELECT l.id AS a, r.id AS b, levenshtein(l.title, r.title) AS distance FROM t l JOIN t r ON l.block = r.block AND l.id < r.id WHERE levenshtein(l.title, r.title) <= 6")
 def blocked_candidates(spark, d):
-    names = table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.title_norm(F.col("p_name")).alias("title"), F.col("p_size").alias("block"))
-    sizes = names.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 400").select("block")
-    own = names.join(sizes, "block", "left_semi")
-    pairs = own.select("block", F.col("id").alias("a"), F.col("title").alias("x")).join(own.select("block", F.col("id").alias("b"), F.col("title").alias("y")), "block").where("a < b")
-    near = pairs.withColumn("distance", F.levenshtein("x", "y", 6)).where("distance >= 0")
-    return near.select("a", "b", F.col("distance").cast("long").alias("distance"))
+    """Pairs of part names of one size within an edit distance of 6; blocks of any size, compared in cells."""
+    near = linkage.block_pairs(_names(spark, d)).withColumn("distance", F.levenshtein("l_title", "r_title", 6)).where("distance >= 0")
+    return near.select(F.col("l_row_id").alias("a"), F.col("r_row_id").alias("b"), F.col("distance").cast("long").alias("distance"))
 
 
-@query()
+# a longest common subsequence of x and y, bit-parallel: one bit for each letter of x, a step for each letter of y
+_LCS = """length(x) - bit_count(list_reduce(list_prepend((1::HUGEINT << length(x)) - 1, list_transform(string_split(y, ''), lambda c: list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, length(x) + 1), lambda i: CASE WHEN substring(x, i, 1) = c THEN 1::HUGEINT << (i - 1)::INTEGER ELSE 0::HUGEINT END)), lambda p, q: p | q))),
+  lambda row, hit: ((row + (row & hit)) | (row - (row & hit))) & ((1::HUGEINT << length(x)) - 1)))"""
+
+
+@query(f"""WITH {_NAMES}, s AS (SELECT id, block, array_to_string(list_sort(string_split(title, ' ')), ' ') AS title FROM t),
+p AS (SELECT l.id AS a, r.id AS b, l.title AS x, r.title AS y FROM s l JOIN s r ON l.block = r.block AND l.id < r.id)
+SELECT a, b, 100.0::DOUBLE * 2 * ({_LCS}) / (length(x) + length(y)) AS score FROM p WHERE 100.0::DOUBLE * 2 * ({_LCS}) / (length(x) + length(y)) >= 80""")
 def fuzzy_dedupe_indel(spark, d):
     """Pairs of part names of one size whose token sort ratio is 80 or more."""
-    names = table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.title_norm(F.col("p_name")).alias("title"), F.col("p_size").alias("block"))
-    pairs = names.select("block", F.col("id").alias("a"), F.col("title").alias("x")).join(names.select("block", F.col("id").alias("b"), F.col("title").alias("y")), "block").where("a < b")
-    pairs = pairs.where(similarity.may_reach(F.col("x"), F.col("y"), 80.0))
-    return pairs.withColumn("score", similarity.token_sort_ratio(F.col("x"), F.col("y"))).where("score >= 80").select("a", "b", "score")
+    return linkage.scored_pairs(_names(spark, d), 80.0).select(F.col("l_row_id").alias("a"), F.col("r_row_id").alias("b"), "score")
+
+
+_PARTS = f"""r AS (SELECT p_partkey AS id, p_name, CASE p_partkey % 3 WHEN 0 THEN 'pubmed' WHEN 1 THEN 'openalex' ELSE 'europepmc' END AS source, CASE WHEN p_partkey % 4 = 0 THEN '10.5/' || (p_partkey // 8) END AS doi,
+  CASE WHEN p_partkey % 5 = 0 THEN CAST(p_partkey // 20 AS VARCHAR) END AS pmid, CAST(1990 + p_size % 10 AS INTEGER) AS year, p_brand AS venue, {_TITLE_NORM.format(c='p_name')} AS title FROM part),
+s AS (SELECT *, substring(sha1(title || '|' || year || '|' || lower(venue)), 1, 16) AS sig FROM r),
+k AS (SELECT id, 'doi' AS tag, doi AS value FROM s WHERE doi IS NOT NULL UNION ALL SELECT id, 'pmid', pmid FROM s WHERE pmid IS NOT NULL UNION ALL SELECT id, 'sig', sig FROM s WHERE doi IS NULL AND pmid IS NULL),
+e AS (SELECT id AS a, min(id) OVER (PARTITION BY tag, value) AS b, tag FROM k), u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+reach AS (SELECT id AS node, id AS root FROM s UNION SELECT u.a, reach.root FROM reach JOIN u ON u.b = reach.node),
+c AS (SELECT node, min(root) AS cluster FROM reach GROUP BY node),
+w AS (SELECT cluster, arg_min(doi, id) FILTER (WHERE doi IS NOT NULL) AS doi, arg_min(pmid, id) FILTER (WHERE pmid IS NOT NULL) AS pmid, arg_min(p_name, id) AS name, arg_min(title, id) AS title, arg_min(year, id) AS year, arg_min(venue, id) AS venue,
+  string_agg(DISTINCT source, '+' ORDER BY source) AS source, count(*) AS n FROM c JOIN s ON node = id GROUP BY cluster)"""
+
+
+def _part_records(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as records of three providers with DOIs and PMIDs. Their names are too short to be compared, so identifiers alone tie them."""
+    i = F.col("p_partkey")
+    return table(spark, d, "part").select(
+        i.alias("row_id"), F.when(i % 3 == 0, "pubmed").when(i % 3 == 1, "openalex").otherwise("europepmc").alias("source"), i.cast("string").alias("source_id"), F.col("p_name").alias("title"),
+        F.when(i % 4 == 0, F.concat(F.lit("10.5/"), F.expr("p_partkey div 8").cast("string"))).alias("doi"), F.when(i % 5 == 0, F.expr("p_partkey div 20").cast("string")).alias("pmid"),
+        (F.col("p_size") % 10 + 1990).cast("int").alias("year"), F.col("p_brand").alias("journal_raw"), F.lit(None).cast("string").alias("issn_l"), F.lit(None).cast("array<struct<name:string>>").alias("authors"),
+    )
+
+
+@query(f"""WITH RECURSIVE {_PARTS} SELECT CASE WHEN doi IS NOT NULL THEN 'doi:' || doi WHEN pmid IS NOT NULL THEN 'pmid:' || pmid ELSE 'sig:' || substring(sha1(title || '|' || year || '|' || lower(venue)), 1, 16) END AS record_id,
+  name AS title, source, year, venue AS journal_raw, doi, pmid FROM w""")
+def linkage_identified(spark, d):
+    """The whole of entity resolution over records that identifiers tie."""
+    works, _, _ = linkage.deduplicate(_part_records(spark, d))
+    return works.select("record_id", "title", "source", "year", "journal_raw", "doi", "pmid")
+
+
+@query(f"""WITH RECURSIVE {_PARTS}, n AS (SELECT (SELECT count(*) FROM s) AS input_records, (SELECT count(*) FROM w) AS output_records)
+SELECT *, (SELECT count(*) FROM e WHERE a <> b AND tag = 'doi') AS doi_links, (SELECT count(*) FROM e WHERE a <> b AND tag = 'pmid') AS pmid_links, (SELECT count(*) FROM e WHERE a <> b AND tag = 'sig') AS sig_links,
+  output_records AS after_identifiers, 0 AS review_pairs, input_records - output_records AS duplicates_removed, 0 AS fuzzy_merges FROM n""")
+def dedupe_report(spark, d):
+    return linkage.deduplicate(_part_records(spark, d))[2]
 
 
 @query()
@@ -413,7 +471,22 @@ def linkage_works(spark, d):
     return works.select("row_id", "record_id", "source", "n_merged", "year")
 
 
-_KEY = "trim(regexp_replace(regexp_replace(replace(lower({c}), '&', ' and '), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+def _key_sql(c: str) -> str:
+    """text.title_key() in SQL, abbreviations one after another."""
+    t = f"regexp_replace(regexp_replace(replace(lower(strip_accents(coalesce({c}, ''))), '&', ' and '), '\\(.*?\\)', ' ', 'g'), '[^a-z0-9\\s]', ' ', 'g')"
+    for short, full in text.VENUE_ABBREVIATIONS:
+        t = f"regexp_replace({t}, '\\b{short}\\b', '{full}', 'g')"
+    stops = "['" + "', '".join(text.VENUE_STOP_WORDS) + "']"
+    return f"array_to_string(list_filter(string_split(trim(regexp_replace({t}, '\\s+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT list_contains({stops}, w)), ' ')"
+
+
+#: Venue names that abbreviations, stop words, brackets and accents occur in.
+_VENUES = ("J. Affect. Disord.", "The American Journal of Psychiatry (Print)", "Br J Psychiatr", "Int J Ment Hlth & Prev", "Revue des Études de Psychiatrie", "Crisis Interv Q", "Nord. J. Psychiatr.")
+_VENUE_SQL = "CASE p_partkey % 7 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_VENUES)) + " END || ' ' || p_name"
+
+
+def _venue() -> Column:
+    return F.concat_ws(" ", F.element_at(F.array(*map(F.lit, _VENUES)), (F.col("p_partkey") % 7 + 1).cast("int")), F.col("p_name"))
 
 
 @query(f"""WITH t AS (SELECT p_brand || ' ' || p_type AS raw, p_size % 9 AS issn FROM part), i AS (SELECT issn, raw, count(*) AS n FROM t GROUP BY issn, raw), c AS (SELECT issn, raw, row_number() OVER (PARTITION BY issn ORDER BY n DESC, length(raw) DESC, raw) AS k FROM i)
@@ -423,9 +496,38 @@ def venue_canonical(spark, d):
     return venues.learn(parts)[0]
 
 
-@query(f"SELECT p_partkey, {_KEY.format(c='p_name')} AS key FROM part")
+@query(f"SELECT p_partkey, {_key_sql(_VENUE_SQL)} AS key FROM part")
 def venue_key(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.title_key(F.col("p_name")).alias("key"))
+    return table(spark, d, "part").select("p_partkey", text.title_key(_venue()).alias("key"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_partkey % 11 AS k, p_name, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' ' || p_type ELSE {_VENUE_SQL} END AS raw, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size % 9 AS VARCHAR) END AS issn FROM part),
+known AS (SELECT raw, issn FROM t WHERE k < 6),
+c AS (SELECT issn, raw, row_number() OVER (PARTITION BY issn ORDER BY n DESC, length(raw) DESC, raw) AS k FROM (SELECT issn, raw, count(*) AS n FROM known WHERE issn IS NOT NULL GROUP BY ALL)), by_issn AS (SELECT issn, raw AS canonical FROM c WHERE k = 1),
+s AS (SELECT raw, {_key_sql('raw')} AS key, count(*) AS n FROM known GROUP BY raw), o AS (SELECT key, raw, row_number() OVER (PARTITION BY key ORDER BY n DESC, length(raw) DESC, raw) AS k FROM s WHERE key <> ''), by_key AS (SELECT key, raw AS canonical FROM o WHERE k = 1),
+all_keys AS (SELECT * FROM by_key UNION ALL SELECT {_key_sql('canonical')} AS key, min(canonical) FROM by_issn GROUP BY 1 HAVING {_key_sql('canonical')} NOT IN (SELECT key FROM by_key))
+SELECT p_partkey, coalesce(by_issn.canonical, all_keys.canonical, raw) AS journal_canonical, CASE WHEN by_issn.canonical IS NOT NULL THEN 'issn' WHEN all_keys.canonical IS NOT NULL THEN 'exact_key' ELSE 'new' END AS venue_method
+FROM t LEFT JOIN by_issn ON t.issn = by_issn.issn LEFT JOIN all_keys ON {_key_sql('raw')} = all_keys.key""")
+def venue_resolve(spark, d):
+    """Venue names learnt from some records, resolved for all: by ISSN, by key, else new. Likeness isn't asked here."""
+    i = F.col("p_partkey")
+    named = table(spark, d, "part").select(
+        "p_partkey", F.when(i % 3 == 0, F.concat_ws(" ", "p_brand", "p_type")).otherwise(_venue()).alias("journal_raw"), F.when(i % 3 == 0, (F.col("p_size") % 9).cast("string")).alias("issn_l")
+    )
+    by_issn, by_key = venues.learn(named.where(i % 11 < 6))
+    return venues.resolve(named, by_issn, by_key, fuzzy=False).select("p_partkey", "journal_canonical", "venue_method")
+
+
+@query(f"""WITH t AS (SELECT DISTINCT {_key_sql("p_name || ' ' || p_type")} AS key, p_partkey % 2 = 0 AS known FROM part), k AS (SELECT DISTINCT key AS other, array_to_string(list_sort(string_split(key, ' ')), ' ') AS y FROM t WHERE known),
+u AS (SELECT DISTINCT key, array_to_string(list_sort(string_split(key, ' ')), ' ') AS x FROM t WHERE NOT known AND key NOT IN (SELECT other FROM k)),
+p AS (SELECT key, other, 100.0::DOUBLE * 2 * ({_LCS}) / (length(x) + length(y)) AS score FROM u, k WHERE abs(length(x) - length(y)) <= 0.15 * (length(x) + length(y)) + 1)
+SELECT key, arg_min(other, [-score, 0]) AS canonical, max(score) AS score FROM (SELECT * FROM p WHERE score >= 85 QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, other) = 1) GROUP BY key""")
+def venue_nearest(spark, d):
+    """Keys that nothing knows, with the likest known one."""
+    keys = table(spark, d, "part").select(text.title_key(F.concat_ws(" ", "p_name", "p_type")).alias("key"), (F.col("p_partkey") % 2 == 0).alias("known")).distinct()
+    known = keys.where("known").select("key").distinct().withColumn("canonical", F.col("key"))
+    unknown = keys.where("not known").select("key").distinct().join(known.select("key"), "key", "left_anti")
+    return venues.nearest_keys(unknown, known)
 
 
 # --- screening and labels
@@ -457,19 +559,62 @@ def rule_multilabel(spark, d):
     return docs.select("doc_id", F.array_join(labels.match_all(F.col("text"), DOC_LABELS), "|").alias("topics"), F.coalesce(labels.match_first(F.col("text"), DOC_LABELS), F.lit("none")).alias("first"))
 
 
-@query("""WITH h AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)tion\\b')) AS a, len(regexp_extract_all(text, '(?i)ing\\b')) AS b FROM documents)
-SELECT doc_id, CASE WHEN a > b THEN 'quantitative' WHEN b > a THEN 'qualitative' WHEN a > 0 THEN 'mixed' END AS methodology FROM h""")
+#: Titles for documents that the rules have something to say of; a document's own text is its abstract.
+_SENTENCES = (
+    "A randomised controlled trial of a brief intervention after self-harm in adolescents", "Qualitative study: thematic analysis of semi-structured interviews with veterans", "Mixed-methods evaluation",
+    "Systematic review and meta-analysis of lithium", "In this issue", "Commentary: a call to action", "Logistic regression and odds ratios; focus groups were held", "Book notes and obituary",
+    "A total of 1,204 patients were included in this cross-sectional study of suicidal ideation", "This paper argues for a conceptual framework of prevention", "Untitled", "Firearm access, poverty and unemployment in rural men",
+    "Suicide attempts among LGBT students: a longitudinal cohort", "Media reporting guidelines and means restriction (bridge barriers, pesticides)", "Erratum", "School-based gatekeeper training for teachers",
+)
+
+
+def _sentence() -> Column:
+    return F.element_at(F.array(*map(F.lit, _SENTENCES)), (F.col("doc_id") % len(_SENTENCES) + 1).cast("int"))
+
+
+def _quoted(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _re_sql(alternatives: tuple[str, ...]) -> str:
+    """A pattern for an engine of ASCII word borders: other letters are an x in its text, so that they are no border."""
+    return "'(?i)" + "|".join(alternatives).replace("'", "''") + "'"
+
+
+def _holds_sql(alternatives: tuple[str, ...], t: str = "t") -> str:
+    return f"regexp_matches({t}, {_re_sql(alternatives)})"
+
+
+def _labels_sql(name: str) -> str:
+    """A dictionary's labels as text, bar-separated, with its default."""
+    dictionary, several, default = patterns.DICTIONARIES[name]
+    whens = [f"CASE WHEN {_holds_sql(alternatives)} THEN '{label}' END" for label, alternatives in dictionary.items()]
+    if not several:
+        return f"coalesce({', '.join(whens)}, '{default}')"
+    joined = f"array_to_string(list_filter([{', '.join(whens)}], lambda x: x IS NOT NULL), '|')"
+    return joined if default is None else f"coalesce(nullif({joined}, ''), '{default}')"
+
+
+_RULES = f"""src AS (SELECT doc_id, text, list_extract({_quoted(_SENTENCES)}, CAST(doc_id % {len(_SENTENCES)} + 1 AS INTEGER)) || '. ' || coalesce(text, '') AS raw FROM documents),
+txt AS (SELECT doc_id, regexp_replace(raw, '[^\\x00-\\x7F]', 'x', 'g') AS t, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', 'x', 'g') AS body FROM src),
+hit AS (SELECT doc_id, t, body, len(regexp_extract_all(t, {_re_sql(patterns.QUANTITATIVE)})) AS quant, len(regexp_extract_all(t, {_re_sql(patterns.QUALITATIVE)})) AS qual FROM txt),
+rules AS (SELECT doc_id, t, body, NOT {_holds_sql(patterns.NON_SCIENTIFIC)} AS rule_is_scientific, CASE WHEN {_holds_sql(patterns.EMPIRICAL)} THEN true WHEN {_holds_sql(patterns.NON_EMPIRICAL)} THEN false END AS rule_is_empirical,
+  CASE WHEN {_holds_sql(patterns.REVIEW)} THEN 'review' WHEN {_holds_sql(patterns.MIXED)} THEN 'mixed' WHEN qual > quant THEN 'qualitative' WHEN quant > qual THEN 'quantitative' WHEN quant > 0 THEN 'mixed' END AS rule_methodology FROM hit)"""
+
+
+@query(f"WITH {_RULES} SELECT doc_id, rule_methodology AS methodology FROM rules")
 def rule_methodology(spark, d):
-    a, b = (F.regexp_count("text", F.lit(p)) for p in ("(?i)tion\\b", "(?i)ing\\b"))
-    docs = table(spark, d, "documents").select("doc_id", a.alias("a"), b.alias("b"))
-    return docs.select("doc_id", F.when(F.col("a") > F.col("b"), "quantitative").when(F.col("b") > F.col("a"), "qualitative").when(F.col("a") > 0, "mixed").alias("methodology"))
+    body = F.concat(_sentence(), F.lit(". "), F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", labels.methodology(body).alias("methodology"))
 
 
-@query()
+@query(f"""WITH {_RULES} SELECT doc_id, rule_is_scientific, rule_is_empirical, rule_methodology, {", ".join(f"{_labels_sql(name)} AS {name}" for name in patterns.DICTIONARIES)},
+  {_labels_sql("sdoh_domain")} <> 'none' AS sdoh_focus FROM rules""")
 def rule_labels_full(spark, d):
-    """The whole battery of rules and dictionaries over every text."""
-    docs = table(spark, d, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("abstract"))
-    return labels.rule_labels(docs).drop("title", "abstract")
+    """The whole battery of rules and dictionaries over every text, under a title that some of them know."""
+    docs = table(spark, d, "documents").select("doc_id", _sentence().alias("title"), F.col("text").alias("abstract"))
+    found = labels.rule_labels(docs).drop("title", "abstract")
+    return found.withColumns({name: F.array_join(name, "|") for name, (_, several, _) in patterns.DICTIONARIES.items() if several})
 
 
 _TAGS = "[trim(x) for x in string_split(replace(lower(t), ',', ';'), ';') if trim(x) <> '']"
@@ -479,7 +624,7 @@ _TYPE_SQL = "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enu
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("doc_id") % 7 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("abstract"), kind.alias("doc_type_raw"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("x"))).alias("mesh_terms"))
+    return table(spark, d, "documents").select("doc_id", _sentence().alias("title"), F.col("text").alias("abstract"), kind.alias("doc_type_raw"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("x"))).alias("mesh_terms"))
 
 
 _META = "WITH d AS (SELECT doc_id, " + _TYPE_SQL + " AS t FROM documents), g AS (SELECT doc_id, " + _TAGS + " AS tags FROM d), m AS (SELECT doc_id, tags, CASE WHEN len(tags) > 0 THEN NOT list_has_any(tags, ['" + "', '".join(patterns.NON_SCIENTIFIC_TAGS) + "']) END AS meta_is_scientific, CASE " + " ".join(f"WHEN list_contains(tags, '{t}') THEN {str(e).lower()}" for t, e, _ in patterns.TAG_PRIORITY) + " END AS meta_is_empirical, CASE " + " ".join(f"WHEN list_contains(tags, '{t}') THEN '{m}'" for t, _, m in patterns.TAG_PRIORITY if m) + " END AS meta_methodology, CASE WHEN doc_id % 3 = 0 THEN 'medline' WHEN len(tags) > 0 THEN 'provider_type' END AS meta_source FROM g)"
@@ -490,13 +635,52 @@ def metadata_priority_labels(spark, d):
     return labels.metadata_labels(_typed(spark, d)).select("doc_id", "meta_is_scientific", "meta_is_empirical", "meta_methodology", "meta_source")
 
 
-@query()
-def composite_decision(spark, d):
+_COMPOSITE = f"""{_META}, {_RULES}, ev AS (SELECT rules.*, m.meta_is_scientific, m.meta_is_empirical, m.meta_methodology,
+  CASE WHEN list_has_any(m.tags, {_quoted(patterns.SYSTEMATIC_TAGS)}) THEN 'systematic' WHEN list_contains(m.tags, 'review') THEN CASE WHEN {_holds_sql(patterns.SYSTEMATIC_TEXT, "body")} THEN 'systematic' ELSE 'narrative' END END AS review_type,
+  length(body) >= 150 AND {_holds_sql(patterns.METHODS_HEADING, "body")} AND {_holds_sql(patterns.RESULTS_HEADING, "body")} AS structured, {_holds_sql(patterns.EMPIRICAL_MARKER, "body")} AS marker FROM rules JOIN m USING (doc_id)),
+two AS (SELECT *, CASE WHEN meta_is_scientific IS NOT NULL THEN meta_is_scientific WHEN NOT rule_is_scientific THEN false END AS label_is_scientific, CASE WHEN meta_is_scientific IS NOT NULL THEN 'medline' WHEN NOT rule_is_scientific THEN 'lexical_rule' END AS label_source_is_scientific,
+  CASE WHEN meta_is_empirical IS NOT NULL THEN meta_is_empirical WHEN review_type = 'narrative' THEN false WHEN review_type = 'systematic' OR structured THEN true WHEN NOT rule_is_empirical AND NOT marker THEN false END AS label_is_empirical,
+  CASE WHEN meta_is_empirical IS NOT NULL THEN 'medline' WHEN review_type = 'narrative' THEN 'medline_narrative_review' WHEN review_type = 'systematic' THEN 'medline_systematic_review' WHEN structured THEN 'structured_abstract'
+    WHEN NOT rule_is_empirical AND NOT marker THEN 'lexical_rule' END AS label_source_is_empirical FROM ev),
+lab AS (SELECT *, CASE WHEN meta_methodology IS NOT NULL THEN meta_methodology WHEN review_type = 'systematic' THEN 'review' WHEN label_is_empirical IS NOT FALSE THEN rule_methodology END AS label_methodology,
+  CASE WHEN meta_methodology IS NOT NULL THEN 'medline' WHEN review_type = 'systematic' THEN 'medline_systematic_review' WHEN rule_methodology IS NOT NULL AND label_is_empirical IS NOT FALSE THEN 'lexical_rule' END AS label_source_methodology FROM two),
+sci AS (SELECT *, coalesce(label_source_is_scientific = 'medline', false) AS sci_human, CASE WHEN label_source_is_scientific = 'medline' THEN label_is_scientific ELSE rule_is_scientific END AS is_scientific FROM lab),
+emp AS (SELECT *, CASE WHEN NOT is_scientific THEN 'na' WHEN label_is_empirical IS NULL THEN 'uncertain' WHEN label_source_is_empirical LIKE 'medline%' THEN 'human_indexing' WHEN label_source_is_empirical = 'structured_abstract' THEN 'structured_abstract' ELSE 'rule' END AS by_emp,
+  CASE WHEN is_scientific THEN label_is_empirical END AS is_empirical FROM sci),
+met AS (SELECT *, CASE WHEN is_empirical IS NOT TRUE THEN 'na' WHEN label_methodology IS NULL THEN 'uncertain' WHEN label_source_methodology LIKE 'medline%' THEN 'human_indexing' ELSE 'rule' END AS by_met, CASE WHEN is_empirical THEN label_methodology END AS methodology FROM emp),
+decided AS (SELECT *, 'scientific:' || CASE WHEN sci_human THEN 'human_indexing' ELSE 'rule' END || '|empirical:' || by_emp || '|method:' || by_met AS cls_backend,
+  least(CASE WHEN sci_human THEN 1.0::DOUBLE ELSE 0 END, CASE by_emp WHEN 'na' THEN 1.0::DOUBLE WHEN 'human_indexing' THEN 1 WHEN 'structured_abstract' THEN 0.95 ELSE 0 END, CASE by_met WHEN 'na' THEN 1.0::DOUBLE WHEN 'human_indexing' THEN 1 ELSE 0 END) AS cls_confidence FROM met)"""
+
+
+def _decided(spark: SparkSession, d: str) -> DataFrame:
     """Rules, metadata and their composite over every document, decided without a text model."""
     df = labels.composite_labels(labels.metadata_labels(labels.rule_labels(_typed(spark, d))))
     for s in labels.STAGES:
         df = df.withColumns({f"pred_{s}": F.lit(None).cast("string"), f"conf_{s}": F.lit(None).cast("double")})
-    return labels.decide(df).select("doc_id", "label_is_scientific", "label_source_is_scientific", "label_is_empirical", "label_source_is_empirical", "label_methodology", "label_source_methodology", "is_scientific", "is_empirical", "methodology", "cls_backend", "cls_confidence")
+    return labels.decide(df)
+
+
+@query(f"{_COMPOSITE} SELECT doc_id, label_is_scientific, label_source_is_scientific, label_is_empirical, label_source_is_empirical, label_methodology, label_source_methodology, is_scientific, is_empirical, methodology, cls_backend, cls_confidence FROM decided")
+def composite_decision(spark, d):
+    return _decided(spark, d).select("doc_id", "label_is_scientific", "label_source_is_scientific", "label_is_empirical", "label_source_is_empirical", "label_methodology", "label_source_methodology", "is_scientific", "is_empirical", "methodology", "cls_backend", "cls_confidence")
+
+
+_STAGED = "l AS (" + " UNION ALL ".join(f"SELECT '{s}' AS stage, label_source_{s} AS source, CAST(label_{s} AS VARCHAR) AS label FROM lab" for s in labels.STAGES) + ")"
+
+
+@query(f"{_COMPOSITE}, {_STAGED} SELECT stage, source, label, count(*) AS n FROM l WHERE label IS NOT NULL GROUP BY ALL")
+def label_report(spark, d):
+    return labels.label_report(_decided(spark, d))
+
+
+@query(f"{_COMPOSITE}, {_STAGED} SELECT stage, count(*) AS n_records, count(label) AS n_labelled, round(100.0::DOUBLE * count(label) / count(*), 2) AS pct_labelled FROM l GROUP BY stage")
+def label_coverage(spark, d):
+    return labels.label_coverage(_decided(spark, d))
+
+
+@query(f"{_COMPOSITE} SELECT cls_backend, count(*) AS n FROM decided GROUP BY cls_backend ORDER BY n DESC, cls_backend LIMIT 12")
+def backend_mix(spark, d):
+    return labels.backend_mix(_decided(spark, d))
 
 
 # --- agreement, samples, coding

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -232,7 +233,10 @@ def branches(alternative: str) -> list[str]:
 
 
 def required_literal(branch: str) -> str:
-    """The longest run of letters that every match of a pattern holds, lower-case; empty if none is certain."""
+    """The longest run of letters that every match of a pattern holds, as lowered() shows it; empty if none is certain.
+
+    A run that a pattern sets off by a word border begins or ends with a space.
+    """
     runs, run, k = [], "", 0
     while k < len(branch):
         c = branch[k]
@@ -256,7 +260,9 @@ def required_literal(branch: str) -> str:
         else:
             repeat = after if after in ("?", "*", "+") else ""
         if c == "\\" and branch[k + 1] == "b":
-            pass  # a border takes no letter
+            # a border takes no letter; the run before it ends with it, the next one begins with it
+            runs.append(run + " ")
+            run = " "
         elif not letter or repeat[:1] in ("?", "*") and repeat or repeat.startswith("{0"):
             runs.append(run)
             run = ""
@@ -266,12 +272,19 @@ def required_literal(branch: str) -> str:
                 runs.append(run)
                 run = ""
         k += size + len(repeat)
-    return max([*runs, run], key=len).lower()
+    return max((_worded(r.lower()) for r in [*runs, run]), key=len)
+
+
+def _worded(run: str) -> str:
+    """A run with each series of signs as one space; a sign at its edge may stand next to others, so one space stands for it."""
+    return re.sub(r"\W+", " ", run)
 
 
 def lowered(text: Column) -> Column:
-    """A text in which a required literal stands wherever a pattern may match without regard to case."""
-    return F.replace(F.replace(F.lower(text), F.lit("ſ"), F.lit("s")), F.lit("ı"), F.lit("i"))
+    """A text's lowered words, single spaces between and around them: a required literal stands in it wherever a pattern may match without regard to case."""
+    t = F.lower(F.replace(text, F.lit("İ"), F.lit("i")))  # which lower() makes two characters of
+    t = F.replace(F.replace(t, F.lit("ſ"), F.lit("s")), F.lit("ı"), F.lit("i"))
+    return F.concat(F.lit(" "), F.regexp_replace(t, "(?U)\\W+", " "), F.lit(" "))
 
 
 def holds(text: Column, alternatives: tuple[str, ...], low: Column | None = None) -> Column:
