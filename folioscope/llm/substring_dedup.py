@@ -10,6 +10,10 @@ chunks of documents (all documents of a chunk lie in one partition, shuffled onc
 2. extension: around the anchors that answered, the full windows are hashed anew (96 bits), and the smallest document
    is found for each, again pre-aggregated by chunk.
 3. cover: windows that start in a smaller document are joined to maximal repeats and cut out.
+
+A chunk's hashes go to at most FAN ranges, so its rows stay long whatever the table's size. Where one range of these
+would be more than a task's, lots of chunks merge what they hold of a range and cut it again into finer ones; answers go
+back the same way.
 """
 
 from __future__ import annotations
@@ -27,9 +31,11 @@ from folioscope.llm import _text
 WINDOW = 50
 #: Bytes of text in a chunk, and hashes in a range, about. Larger ones mean fewer, longer rows; memory of a task grows with either.
 CHUNK_BYTES, RANGE_HASHES = 6 << 20, 2_000_000
+#: Ranges that a chunk's hashes are cut into, at most.
+FAN = 1_024
 
 _LAST = np.iinfo(np.int64).max
-_PACKED = "bucket int, chunk int, n int, body binary"
+_PACKED = "bucket long, chunk int, n int, body binary"
 
 
 def _pack(*columns: tuple[np.ndarray, int]) -> bytes:
@@ -107,41 +113,98 @@ def _rows(bucket: np.ndarray, chunk: int, body, schema: pa.Schema) -> pa.Table:
     """A packed row for each run of equal buckets; body(a, b) packs the entries a to b."""
     cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
     bodies = [body(a, b) for a, b in zip(cut[:-1], cut[1:])]
-    return pa.table([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.full(len(bodies), chunk, np.int32)), pa.array(np.diff(cut).astype(np.int32)), pa.array(bodies, pa.binary())], schema=schema)
+    return pa.table([pa.array(bucket[cut[:-1]].astype(np.int64)), pa.array(np.full(len(bodies), chunk, np.int32)), pa.array(np.diff(cut).astype(np.int32)), pa.array(bodies, pa.binary())], schema=schema)
+
+
+_PACKED_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """coarse ranges of a hash's upper half, each cut into `fine` ones of its lower half; lots of `lot` chunks merge first where fine > 1."""
+
+    coarse: int
+    fine: int = 1
+    lot: int = 1
+
+    @classmethod
+    def of(cls, n: int, chunks: int, fan: int = FAN) -> Ranges:
+        coarse = min(n, fan)
+        fine = -(-n // coarse)
+        return cls(coarse, fine, 1 if fine == 1 else max(1, min(chunks, RANGE_HASHES * coarse * 6 // CHUNK_BYTES)))
 
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """The coarse range; it grows with the hash."""
+        return ((h >> np.uint64(32)) * np.uint64(self.coarse)) >> np.uint64(32)
 
-_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])
-_FP = np.uint64((1 << 40) - 1)
+    def finer(self, h: np.ndarray) -> np.ndarray:
+        """The fine range inside the coarse one, from bits that the coarse one doesn't read."""
+        return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(self.fine)) >> np.uint64(32)
 
+    @property
+    def width(self) -> int:
+        """Bytes of a fingerprint: 40 bits beside those that name the fine range."""
+        return min(7, 5 + -(-(self.fine - 1).bit_length() // 8))
 
-def _anchor_keys(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """(range, 40-bit fingerprint) of hashes."""
-    return (h >> np.uint64(40)) % np.uint64(ranges), h & _FP
+    def print(self, h: np.ndarray) -> np.ndarray:
+        """The fingerprint of a hash; its lowest bit is left out, which sorting uses as a flag."""
+        return (h >> np.uint64(1)) & np.uint64((1 << (8 * self.width)) - 1)
 
 
-def _anchors(table: pa.Table, block: int, ranges: int) -> pa.Table:
-    """The probes and blocks of a chunk: distinct (range, fingerprint), whether a block is among them and whether it comes twice."""
+def _anchors(table: pa.Table, block: int, ranges: Ranges) -> pa.Table:
+    """The probes and blocks of a chunk: distinct fingerprints by coarse range, whether a block is among them and whether it comes twice."""
     chunk = table.column("chunk")[0].as_py()
     words = _Words.of(*_text.flat(table.column("text")))
     h, inside = words.windows(block)
     at = np.flatnonzero(inside)
     is_block = (at - words.first[words.doc[at]]) % block == 0
-    bucket, fp = _anchor_keys(h[at], ranges)
-    key = np.sort((bucket << np.uint64(41)) | (fp << np.uint64(1)) | is_block.astype(np.uint64))
+    key = np.sort((h[at] & ~np.uint64(1)) | is_block.astype(np.uint64))
     own = key >> np.uint64(1)
     last = np.append(own[1:] != own[:-1], True) if len(own) else np.zeros(0, bool)
     first = np.append(True, last[:-1]) if len(own) else last
     a, b = np.flatnonzero(first), np.flatnonzero(last)
     flag = (key[b] & np.uint64(1)) | ((b > a).astype(np.uint64) << np.uint64(1))
-    own = own[a]
-    return _rows((own >> np.uint64(40)).astype(np.int64), chunk, lambda i, j: _pack((own[i:j] & _FP, 5), (flag[i:j], 1)), _PACKED_ARROW)
+    own = ranges.print(key[a])
+    return _rows(ranges.place(key[a]).astype(np.int64), chunk, lambda i, j: _pack((own[i:j], ranges.width), (flag[i:j], 1)), _PACKED_ARROW)
+
+
+def _merged_anchors(table: pa.Table, ranges: Ranges) -> pa.Table:
+    """A lot's rows of a coarse range as rows of fine ones, each fingerprint once."""
+    bucket, lot = table.column("bucket")[0].as_py(), table.column("lot")[0].as_py()
+    got = [_unpack(body.as_py(), n, (ranges.width, 1)) for body, n in zip(table.column("body"), table.column("n").to_pylist())]
+    fp, flag = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+    fine = ranges.finer(fp)
+    order = np.lexsort((fp, fine))
+    fp, flag, fine = fp[order], flag[order], fine[order]
+    a = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
+    flag = np.bitwise_or.reduceat(flag, a) | ((np.diff(np.append(a, len(fp))) > 1).astype(np.uint64) << np.uint64(1))
+    fp, fine = fp[a], fine[a]
+    return _rows(fine.astype(np.int64) + bucket * ranges.fine, lot, lambda i, j: _pack((fp[i:j], ranges.width), (flag[i:j], 1)), _PACKED_ARROW)
+
+
+def _routed_anchors(chunks: pa.Table, answers: pa.Table, ranges: Ranges) -> pa.Table:
+    """A lot's answers of a coarse range, for each of its chunks what that holds."""
+    if not len(chunks) or not len(answers):
+        return _PACKED_ARROW.empty_table()
+    live = _Set(np.concatenate([_unpack(body.as_py(), n, (ranges.width,))[0] for body, n in zip(answers.column("body"), answers.column("n").to_pylist())]))
+    out = []
+    for bucket, chunk, n, body in zip(*(chunks.column(c).to_pylist() for c in ("bucket", "chunk", "n", "body"))):
+        own = _unpack(body, n, (ranges.width, 1))[0]
+        at, _ = live.find(own)
+        if len(at):
+            out.append((bucket, chunk, len(at), _pack((own[at], ranges.width))))
+    return _packed_table(out)
 
 
-def _answer_anchors(table: pa.Table) -> pa.Table:
+def _packed_table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PACKED_ARROW)], schema=_PACKED_ARROW)
+
+
+def _answer_anchors(table: pa.Table, ranges: Ranges) -> pa.Table:
     """For each chunk's row of a range: the fingerprints that are a block somewhere and stand in two places."""
     counts, chunks = table.column("n").to_pylist(), table.column("chunk").to_pylist()
     bucket = table.column("bucket")[0].as_py()
-    got = [_unpack(body.as_py(), n, (5, 1)) for body, n in zip(table.column("body"), counts)]
+    got = [_unpack(body.as_py(), n, (ranges.width, 1)) for body, n in zip(table.column("body"), counts)]
     fp, flag = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
     order = np.argsort(fp, kind="stable")
     fp, flag = fp[order], flag[order]
@@ -152,11 +215,11 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
     for c, (own, _) in zip(chunks, got):
         at, _ = live.find(own)
         if len(at):
-            out.append((bucket, c, len(at), _pack((own[at], 5))))
-    return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], schema=_PACKED_ARROW)
+            out.append((bucket, c, len(at), _pack((own[at], ranges.width))))
+    return _packed_table(out)
 
 
-def _windows(docs: pa.Table, answers: pa.Table, window: int, block: int, ranges: int, out_ranges: int) -> pa.Table:
+def _windows(docs: pa.Table, answers: pa.Table, window: int, block: int, ranges: Ranges, out_ranges: Ranges) -> pa.Table:
     """The windows around a chunk's answered anchors: hash, second hash, smallest document and whether there are several."""
     if not len(docs) or not len(answers):
         return _PACKED_ARROW.empty_table()
@@ -168,28 +231,70 @@ def _windows(docs: pa.Table, answers: pa.Table, window: int, block: int, ranges:
     ids = _ids(docs)
     h, extra = words.windows(window)[0][start], words.windows(window, 1)[0][start] >> np.uint64(32)
     names, own = np.unique(ids[words.doc[start]], return_inverse=True)
-    bucket = (h >> np.uint64(40)) % np.uint64(out_ranges)
-    order = np.lexsort((own, extra, h, bucket))
-    bucket, h, extra, own = bucket[order], h[order], extra[order], own[order]
+    order = np.lexsort((own, extra, h))
+    h, extra, own = h[order], extra[order], own[order]
     same = (h[1:] == h[:-1]) & (extra[1:] == extra[:-1])
     a = np.flatnonzero(np.append(True, ~same))
     several = np.maximum.reduceat(own, a) > own[a]
     least = names[own[a]].view(np.uint64)
-    h, extra = h[a], extra[a]
+    return _window_rows(out_ranges.place(h[a]), chunk, h[a], extra[a], least, several)
+
+
+def _window_rows(bucket: np.ndarray, chunk: int, h: np.ndarray, extra: np.ndarray, least: np.ndarray, several: np.ndarray) -> pa.Table:
     # the smallest documents come first as a list of their own, then each window's place in it
     def body(i: int, j: int) -> bytes:
         lot, place = np.unique(least[i:j], return_inverse=True)
-        return np.uint32(len(lot)).tobytes() + lot.tobytes() + _pack((h[i:j], 8), (extra[i:j], 4), (place.astype(np.uint64), 3), (several[i:j].astype(np.uint64), 1))
+        return np.uint32(len(lot)).tobytes() + lot.tobytes() + _pack((h[i:j], 8), (extra[i:j], 4), (place.astype(np.uint64), 4), (several[i:j].astype(np.uint64), 1))
 
-    return _rows(bucket[a].astype(np.int64), chunk, body, _PACKED_ARROW)
+    return _rows(bucket.astype(np.int64), chunk, body, _PACKED_ARROW)
+
+
+def _merged_windows(table: pa.Table, ranges: Ranges) -> pa.Table:
+    """A lot's rows of a coarse range as rows of fine ones, each window once."""
+    bucket, lot = table.column("bucket")[0].as_py(), table.column("lot")[0].as_py()
+    got = [_read_windows(n, body.as_py()) for n, body in zip(table.column("n").to_pylist(), table.column("body"))]
+    h, extra, least, several = (np.concatenate([g[k] for g in got]) for k in range(4))
+    fine = ranges.finer(h)
+    order = np.lexsort((least, extra, h, fine))
+    h, extra, least, several, fine = (x[order] for x in (h, extra, least, several, fine))
+    a = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (extra[1:] != extra[:-1])))
+    several = np.maximum.reduceat(several, a) | (np.maximum.reduceat(least, a) > least[a])
+    return _window_rows(fine[a].astype(np.int64) + bucket * ranges.fine, lot, h[a], extra[a], least[a].view(np.uint64), several)
 
 
-def _candidates(words: _Words, answers: pa.Table, window: int, block: int, ranges: int) -> np.ndarray:
+def _routed_windows(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+    """A lot's answers of a coarse range, for each of its chunks what that holds of them and a smaller document too."""
+    if not len(chunks) or not len(answers):
+        return _PACKED_ARROW.empty_table()
+    parts = [_unpack(body.as_py(), n, (8, 4, 8)) for n, body in zip(answers.column("n").to_pylist(), answers.column("body"))]
+    h, extra, top = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    order = np.lexsort((extra, h))
+    h, extra, top = h[order], extra[order], top[order].view(np.int64)
+    out = []
+    for bucket, chunk, n, body in zip(*(chunks.column(c).to_pylist() for c in ("bucket", "chunk", "n", "body"))):
+        own, second, least, several = _read_windows(n, body)
+        own, second, least, several = (x[np.lexsort((second, own))] for x in (own, second, least, several))
+        # both lists sorted as one: a row of the chunk that follows an answer of its own
+        both, rest = np.concatenate([h, own]), np.concatenate([extra, second])
+        order = np.lexsort((np.repeat([0, 1], [len(h), len(own)]), rest, both))
+        a, b = order[:-1], order[1:]
+        hit = (a < len(h)) & (b >= len(h)) & (both[a] == both[b]) & (rest[a] == rest[b])
+        a, b = a[hit], b[hit] - len(h)
+        a, b = (x[(top[a] < least[b]) | several[b]] for x in (a, b))
+        if len(a):
+            out.append((bucket, chunk, len(a), _pack((h[a], 8), (extra[a], 4), (top[a].view(np.uint64), 8))))
+    return _packed_table(out)
+
+
+def _candidates(words: _Words, answers: pa.Table, window: int, block: int, ranges: Ranges) -> np.ndarray:
     """Starts of the windows that hold an answered anchor."""
-    live = [(np.uint64(b) << np.uint64(40)) | _unpack(body, n, (5,))[0] for b, n, body in zip(answers.column("bucket").to_pylist(), answers.column("n").to_pylist(), answers.column("body").to_pylist())]
+
+    def named(bucket: np.ndarray, fp: np.ndarray) -> np.ndarray:
+        return _text.splitmix(bucket) ^ fp
+
+    live = [named(np.full(n, b, np.uint64), _unpack(body, n, (ranges.width,))[0]) for b, n, body in zip(*(answers.column(c).to_pylist() for c in ("bucket", "n", "body")))]
     h, inside = words.windows(block)
-    bucket, fp = _anchor_keys(h, ranges)
-    at, _ = _Set(np.concatenate(live)).find((bucket << np.uint64(40)) | fp)
+    at, _ = _Set(np.concatenate(live)).find(named(ranges.place(h), ranges.print(h)))
     at = at[inside[at]]
     doc = words.doc[at]
     low = np.maximum(words.first[doc], at - (window - block))
@@ -205,7 +310,7 @@ def _ids(docs: pa.Table) -> np.ndarray:
 def _read_windows(n: int, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     size = int(np.frombuffer(body, np.uint32, 1)[0])
     lot = np.frombuffer(body[4 : 4 + 8 * size], np.int64)
-    h, extra, place, several = _unpack(body[4 + 8 * size :], n, (8, 4, 3, 1))
+    h, extra, place, several = _unpack(body[4 + 8 * size :], n, (8, 4, 4, 1))
     return h, extra, lot[place.astype(np.int64)], several > 0
 
 
@@ -226,7 +331,7 @@ def _answer_windows(table: pa.Table) -> pa.Table:
     cut = np.searchsorted(row[kept], np.arange(len(got) + 1))
     out = [(r, kept[a:b]) for r, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
     rows = [(bucket, chunks[r], len(at), _pack((h[at], 8), (extra[at], 4), (top[at].view(np.uint64), 8))) for r, at in out]
-    return pa.table([pa.array([o[k] for o in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], schema=_PACKED_ARROW)
+    return _packed_table(rows)
 
 
 def _cover(docs: pa.Table, answers: pa.Table, window: int, text_out: bool, whole: bool) -> pa.Table:
@@ -276,14 +381,14 @@ def _cover(docs: pa.Table, answers: pa.Table, window: int, text_out: bool, whole
     return pa.table([pa.array(ids), real, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *(docs.column(c) for c in carried)], names=names)
 
 
-def _dedup(docs: DataFrame, text: str, key: str, window: int, text_out: bool, keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+def _dedup(docs: DataFrame, text: str, key: str, window: int, text_out: bool, keep: tuple[str, ...] = (), whole: bool = False, fan: int = FAN, least_ranges: int = 1) -> DataFrame:
     if window < 2:
         raise ValueError("a window has two words at least")
     block = (window + 1) // 2
-    size = _text.text_bytes(_text.bounded(docs), text)
+    size = _text.text_bytes(docs, text)
     chunks = _text.parts(docs, size, CHUNK_BYTES)
-    ranges = _text.parts(docs, size // 5, RANGE_HASHES)
-    few = _text.parts(docs, size // 20, RANGE_HASHES)
+    ranges = Ranges.of(max(least_ranges, _text.parts(docs, size // 5, RANGE_HASHES)), chunks, fan)
+    few = Ranges.of(max(least_ranges, _text.parts(docs, size // 20, RANGE_HASHES)), chunks, fan)
     names = [f"k{i}" for i in range(len(keep))]
     own = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(n) for c, n in zip(keep, names)))
     # a null key counts as the largest, and its rows spread by their text
@@ -291,14 +396,24 @@ def _dedup(docs: DataFrame, text: str, key: str, window: int, text_out: bool, ke
     # all passes read the same columns, so that they read one shuffle
     rows = own.select(F.coalesce("key", F.lit(_LAST)).alias("id"), F.col("key").isNotNull().alias("real"), "text", chunk.alias("chunk"), *names)
     packed = rows.groupBy("chunk").applyInArrow(lambda t: _anchors(t, block, ranges), _PACKED)
-    answered = packed.groupBy("bucket").applyInArrow(_answer_anchors, _PACKED)
+    answered = _answered(packed, ranges, lambda t: _merged_anchors(t, ranges), lambda t: _answer_anchors(t, ranges), lambda a, b: _routed_anchors(a, b, ranges))
     found = rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(lambda a, b: _windows(a, b, window, block, ranges, few), _PACKED)
-    judged = found.groupBy("bucket").applyInArrow(_answer_windows, _PACKED)
+    judged = _answered(found, few, lambda t: _merged_windows(t, few), _answer_windows, _routed_windows)
     carried = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in names)
     out = rows.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(lambda a, b: _cover(a, b, window, text_out, whole), f"id long, real boolean, n_words long, n_removed long, kept string{carried}")
     return out.select(F.when(F.col("real"), F.col("id")).alias(key), "n_words", "n_removed", F.col("kept").alias("kept_text" if text_out else "kept_sha256"), *(F.col(n).alias(c) for c, n in zip(keep, names)))
 
 
+def _answered(packed: DataFrame, ranges: Ranges, merge, answer, route) -> DataFrame:
+    """Each chunk's rows answered range by range, through merged lots of chunks where ranges are cut twice."""
+    if ranges.fine == 1:
+        return packed.groupBy("bucket").applyInArrow(answer, _PACKED)
+    with_lot = packed.withColumn("lot", F.expr(f"chunk div {ranges.lot}").cast("int"))
+    said = with_lot.groupBy("bucket", "lot").applyInArrow(merge, _PACKED).groupBy("bucket").applyInArrow(answer, _PACKED)
+    back = said.select(F.expr(f"bucket div {ranges.fine}").alias("bucket"), F.col("chunk").alias("lot"), "n", "body")
+    return with_lot.groupBy("bucket", "lot").cogroup(back.groupBy("bucket", "lot")).applyInArrow(route, _PACKED)
+
+
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, keep: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
     """(key, n_words, n_removed, kept_text, *keep): each row's words without those that a smaller document's passages cover.
 
