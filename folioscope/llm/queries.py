@@ -23,6 +23,10 @@ def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: counts and a digest of the patterns' spans, and all spans with those that the field adds.
+
+    Null and empty texts have no spans; repeated rows are judged each; rows with a null doc_id stay.
+    """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, pii.fit(docs))
     base = F.filter("spans", lambda x: x["base"])
@@ -31,14 +35,20 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that repeated passages of 50 words cover, counted and cut out of every whole text but the smallest doc_id's.
+
+    Null texts have no words; rows that share a doc_id keep their common passages; null doc_ids count as larger than all others.
+    """
     return substring_dedup.dedup_digests(_table(spark, sf_dir, "documents"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded with an end id and decoded again, as digests. Null texts are empty ones; repeated rows are encoded each."""
     return sentencepiece_codec.round_trip_digests(_table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of every whole text and the verdict of the cascade. Null and empty texts have no words and fail; repeated rows are judged each."""
     judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base_failed = (F.col("q_words") < 20) | (100 * F.col("q_repeat_words") > 30 * F.col("q_words"))
     return judged.select(
@@ -54,10 +64,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digests of every whole text and its edited form, likeness to both, and the group of texts with the same canonical bytes.
+
+    Null texts are empty ones; rows without a doc_id come last in the order of documents; equal rows follow one another.
+    """
     return fingerprints.edit_report(_table(spark, sf_dir, "documents"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of four-word shingles and the components of those within four bits.
+
+    Null texts, and others without words, have the fingerprint zero; rows without a doc_id take part and don't name a component.
+    """
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -69,10 +87,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches over all documents, one of them sent twice.
+    """Counts of all documents by two tokenizers, as batches bring them in, take them back and revise them.
 
-    All documents come in under words-1; the toxic ones go; the poor ones are recounted by the other tokenizer's rule;
-    what isn't toxic comes in under alnum-1 too.
+    All documents come in under words-1, a batch that is sent twice; the toxic ones are taken down and, after a
+    snapshot, restored; under alnum-1 the poor ones come in with the other tokenizer's counts and are revised. In the end the
+    totals are those of a plain count over the table. Null texts have no tokens; null languages and sources are groups.
     """
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
@@ -86,8 +105,11 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.commit("load", load)
     store.commit("takedown", token_rollup.deleted(counts.where(toxic), words, "words-1"))
     store.commit("load", load)
-    store.commit("recount", token_rollup.revised(counts.where(poor & ~toxic), words, alnum, "words-1"))
-    store.commit("second", token_rollup.inserted(counts.where(~toxic), alnum, "alnum-1"))
+    store.compact()
+    store.commit("restore", token_rollup.inserted(counts.where(toxic), words, "words-1"))
+    store.commit("second", token_rollup.inserted(counts, F.when(poor, words).otherwise(alnum), "alnum-1"))
+    store.commit("recount", token_rollup.revised(counts.where(poor), words, alnum, "alnum-1"))
+    _text.removed(spark, f"{folder}/counts")
     return store.totals().select("source", "lang", "tokenizer", F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))
 
 
@@ -139,17 +161,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR word_chars > n_words * 15 OR n_dup_lines * 2 > n_lines OR echoes * 10 > n_words * 3 OR shouts * 10 > n_words * 5) AS kept
 FROM b""",
     "op9_token_rollup": r"""
-WITH m AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
-c AS (
-  SELECT source, lang, coalesce(toxic = 1, false) AS gone, coalesce(quality = 0, false) AS poor,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')) AS alnum
-  FROM documents LEFT JOIN m ON documents.doc_id = m.doc_id
-)
-SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
-FROM (
-  SELECT source, lang, 'words-1' AS tokenizer, CASE WHEN poor THEN alnum ELSE words END AS n FROM c WHERE NOT gone
+WITH c AS (
+  SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents
   UNION ALL
-  SELECT source, lang, 'alnum-1', alnum FROM c WHERE NOT gone
+  SELECT source, lang, 'alnum-1', len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')) FROM documents
 )
-GROUP BY source, lang, tokenizer""",
+SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY source, lang, tokenizer""",
 }

@@ -6,6 +6,9 @@ anything is shuffled or stored, so it costs as much as it has groups. Totals are
 
 A commit is the rename of a folder written elsewhere in the store to the batch's name. It happens once: a batch whose
 name is there already is left alone, so a retry or replay changes nothing, and a run that dies leaves no half batch.
+
+A snapshot holds the totals of the batches that it names. Totals are the newest snapshot and the batches outside it, so
+what a reader lists and reads doesn't grow with the store's age where snapshots are taken.
 """
 
 from __future__ import annotations
@@ -62,33 +65,73 @@ class Rollup:
     def _folder(self, batch: str) -> str:
         return f"{self.path}/batches/{quote(batch, safe='')}"
 
+    def _names(self, below: str) -> list[str]:
+        """The folders below one of the store's, a driver-side list of names."""
+        root = self._at(f"{self.path}/{below}")
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(root)) if self._fs.exists(root) else []
+
     def committed(self) -> list[str]:
-        """The folders of the batches that count, a driver-side list of names."""
-        root = self._at(f"{self.path}/batches")
-        return sorted(x.getPath().toString() for x in self._fs.listStatus(root)) if self._fs.exists(root) else []
+        """The folders of the batches that count."""
+        return [f"{self.path}/batches/{n}" for n in self._names("batches")]
+
+    def _newest(self) -> str | None:
+        """The folder of the newest snapshot that was written whole; its name counts up."""
+        names = self._names("snapshots")
+        return f"{self.path}/snapshots/{names[-1]}" if names else None
+
+    def _parts(self) -> tuple[str | None, list[str], list[str]]:
+        """(newest snapshot, names of the batches in it, names of those outside)."""
+        newest = self._newest()
+        inside = [r["batch"] for r in self.spark.read.parquet(f"{newest}/names").collect()] if newest else []
+        known = set(inside)
+        return newest, inside, [n for n in self._names("batches") if n not in known]
+
+    def compact(self) -> bool:
+        """Writes the totals so far as a snapshot; False if no batch is outside the newest one. Batches stay, so replays are still told.
+
+        Like a commit it is one rename. Two runs at once that count to the same number leave one snapshot; both hold
+        what they name, so either is right.
+        """
+        import uuid
+
+        newest, inside, outside = self._parts()
+        if not outside:
+            return False
+        staged = f"{self.path}/staged/{uuid.uuid4().hex}"
+        summed(self._read(newest, outside)).write.parquet(f"{staged}/totals")
+        self.spark.createDataFrame([(n,) for n in [*inside, *outside]], "batch string").write.parquet(f"{staged}/names")
+        number = int(newest.rsplit("/", 1)[1]) + 1 if newest else 1
+        return self._placed(staged, f"{self.path}/snapshots/{number:012d}")
+
+    def _placed(self, staged: str, target: str) -> bool:
+        """The staged folder under its final name; False, and it is gone, if that name is taken."""
+        at, own = self._at(target), self._at(staged)
+        self._fs.mkdirs(at.getParent())
+        if self._fs.exists(at) or not self._fs.rename(own, at):
+            self._fs.delete(own, True)  # another run was first
+            return False
+        inner = self._at(f"{target}/{own.getName()}")
+        if self._fs.exists(inner):  # the name appeared between the check and the rename, and the folder went into it
+            self._fs.delete(inner, True)
+            return False
+        return True
+
+    def _read(self, snapshot: str | None, names: list[str]) -> DataFrame:
+        schema = "source string, lang string, tokenizer string, docs long, tokens long"
+        folders = [*([f"{snapshot}/totals"] if snapshot else []), *(f"{self.path}/batches/{n}" for n in names)]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def commit(self, batch: str, *changes: DataFrame) -> bool:
         """Adds the sum of the changes under the batch's name; False, and nothing is done, if that name is committed already."""
-        target = self._at(self._folder(batch))
-        if self._fs.exists(target):
+        if self._fs.exists(self._at(self._folder(batch))):
             return False
         import uuid
 
         staged = f"{self.path}/staged/{uuid.uuid4().hex}"
         summed(reduce(DataFrame.unionByName, changes)).write.parquet(staged)
-        self._fs.mkdirs(target.getParent())
-        if self._fs.exists(target) or not self._fs.rename(self._at(staged), target):
-            self._fs.delete(self._at(staged), True)  # another run was first
-            return False
-        if self._fs.exists(self._at(f"{self._folder(batch)}/{self._at(staged).getName()}")):
-            # the name appeared between the check and the rename, and the folder went into it
-            self._fs.delete(self._at(f"{self._folder(batch)}/{self._at(staged).getName()}"), True)
-            return False
-        return True
+        return self._placed(staged, self._folder(batch))
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) of all committed batches; groups without documents and tokens are left out."""
-        schema = "source string, lang string, tokenizer string, docs long, tokens long"
-        folders = self.committed()
-        rows = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
-        return summed(rows).where("docs <> 0 or tokens <> 0")
+        newest, _, outside = self._parts()
+        return summed(self._read(newest, outside)).where("docs <> 0 or tokens <> 0")
