@@ -34,6 +34,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _rare(total: int) -> int:
+    """Rows up to which a key is left alone."""
+    return max(total // MOST_HOT, LEAST_HOT)
+
+
 def spread_join(many: DataFrame, one: DataFrame, keys: str | list[str], total: int, how: str = "inner") -> DataFrame:
     """many.join(one, keys, how) where few keys may hold most rows of `many`; `one` has a key once, and in n how many rows of `many` have it.
 
@@ -42,7 +47,7 @@ def spread_join(many: DataFrame, one: DataFrame, keys: str | list[str], total: i
     Null keys meet nothing.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    rare = max(total // MOST_HOT, LEAST_HOT)
+    rare = _rare(total)
     hot = one.where(F.col("n") > rare).select(*keys, F.lit(True).alias("_hot"))
     salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
     left = many.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
@@ -51,6 +56,13 @@ def spread_join(many: DataFrame, one: DataFrame, keys: str | list[str], total: i
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def _met(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """spread_join() if some key has many rows, which is looked up first; a plain join else, as rounds of plans add up on the driver."""
+    if total <= LEAST_HOT or one.agg(F.max("n")).first()[0] <= _rare(total):
+        return many.join(one.drop("n"), key)
+    return spread_join(many, one, key, total)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each end of an edge (a, b) reaches.
 
@@ -64,10 +76,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = own.unionByName(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = spread_join(both, least, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = _met(both, least, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         star = large.distinct()
         least = star.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = spread_join(star, least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        small = _met(star, least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         own = checkpointed(small)
         n, _ = now = own.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
