@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import numbers, similarity, text
 from folioscope.operators import enrich, graph, labels, linkage, metrics, model, quality, relational, release, screening, validation, venues
 from folioscope.plans import patterns
+from folioscope.sources import mappings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -751,8 +752,59 @@ def consensus_labels(spark, d):
     return validation.consensus(both, decided, ("Q1",)).select("record_id", F.col("Q1").alias("q1"))
 
 
+@query(f"""WITH {_CODERS}, n AS (SELECT count(*) AS n_pairs, count(*) FILTER (WHERE a = b) AS n_agree FROM c WHERE a IS NOT NULL AND b IS NOT NULL), v AS (SELECT unnest([a, b]) AS k, unnest(['a', 'b']) AS side FROM c WHERE a IS NOT NULL AND b IS NOT NULL),
+m AS (SELECT k, CAST(count(*) FILTER (WHERE side = 'a') AS DOUBLE) AS na, CAST(count(*) FILTER (WHERE side = 'b') AS DOUBLE) AS nb FROM v GROUP BY k), e AS (SELECT sum(na * nb) AS chance, max(na) AS mode FROM m),
+g AS (SELECT *, (CAST(n_agree AS DOUBLE) / n_pairs - chance / (CAST(n_pairs AS DOUBLE) * n_pairs)) / (1 - chance / (CAST(n_pairs AS DOUBLE) * n_pairs)) AS kappa FROM n, e)
+SELECT 'Q1' AS field, n_pairs, n_agree, round(100.0::DOUBLE * n_agree / n_pairs, 2) AS percent_agreement, round(kappa, 9) AS cohens_kappa, round(100.0::DOUBLE * mode / n_pairs, 2) AS modal_pct FROM g""")
+def reliability(spark, d):
+    both = validation.paired(*_coders(spark, d), fields=("Q1",))
+    return validation.reliability(both, ("Q1",)).select("field", "n_pairs", "n_agree", "percent_agreement", F.round("cohens_kappa", 9).alias("cohens_kappa"), "modal_pct")
+
+
+@query("SELECT lang AS value, count(*) AS n, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 3) AS share FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def marginals(spark, d):
+    return validation.marginals(table(spark, d, "documents"), "lang")
+
+
+_TEMPLATE = """t AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'true' ELSE 'false' END AS human_is_empirical, CASE WHEN doc_id % 4 = 0 THEN 'true' ELSE CASE WHEN quality = 1 THEN 'true' ELSE 'false' END END AS model_is_empirical,
+  CASE WHEN doc_id % 7 > 0 THEN CASE WHEN toxic = 1 THEN 'mixed' ELSE 'review' END END AS human_methodology, CASE WHEN doc_id % 9 = 0 THEN 'mixed' WHEN toxic = 1 THEN 'mixed' ELSE 'review' END AS model_methodology FROM labels),
+l AS (SELECT 'is_empirical' AS stage, human_is_empirical AS a, model_is_empirical AS b FROM t UNION ALL SELECT 'methodology', human_methodology, model_methodology FROM t),
+p AS (SELECT * FROM l WHERE a IS NOT NULL AND b IS NOT NULL)"""
+
+
+@query(f"WITH {_TEMPLATE} SELECT stage, count(*) AS n_pairs, count(*) FILTER (WHERE a = b) AS n_agree, round(100.0::DOUBLE * count(*) FILTER (WHERE a = b) / count(*), 2) AS percent_agreement FROM p GROUP BY stage")
+def score_template(spark, d):
+    i, yes = F.col("doc_id"), lambda c: F.when(c, "true").otherwise("false")
+    kind = F.when(F.col("toxic") == 1, "mixed").otherwise("review")
+    coded = table(spark, d, "labels").select(
+        yes(F.col("quality") == 1).alias("human_is_empirical"), F.when(i % 4 == 0, "true").otherwise(yes(F.col("quality") == 1)).alias("model_is_empirical"),
+        F.when(i % 7 > 0, kind).alias("human_methodology"), F.when(i % 9 == 0, "mixed").otherwise(kind).alias("model_methodology"),
+    )
+    return validation.score_template(coded, ("is_empirical", "methodology")).select("stage", "n_pairs", "n_agree", "percent_agreement")
+
+
+@query("""WITH t AS (SELECT CASE WHEN doc_id % 6 > 0 THEN CASE WHEN quality = 1 THEN 'empirical' ELSE 'non_empirical' END END AS q2, CASE WHEN doc_id % 5 = 0 THEN 'true' WHEN quality = 1 THEN 'true' ELSE 'false' END AS m FROM labels),
+p AS (SELECT CASE q2 WHEN 'empirical' THEN 'true' WHEN 'non_empirical' THEN 'false' END AS a, m AS b FROM t WHERE q2 IS NOT NULL)
+SELECT 'Q2_empirical_status' AS field, count(*) AS n_pairs, count(*) FILTER (WHERE a = b) AS n_agree, round(100.0::DOUBLE * count(*) FILTER (WHERE a = b) / count(*), 2) AS percent_agreement FROM p""")
+def confirmatory(spark, d):
+    i, good = F.col("doc_id"), F.col("quality") == 1
+    none = F.lit(None).cast("string")
+    marks = table(spark, d, "labels").dropDuplicates(["doc_id"])
+    agreed = marks.select(i.alias("record_id"), none.alias("Q1_communication_type"), F.when(i % 6 > 0, F.when(good, "empirical").otherwise("non_empirical")).alias("Q2_empirical_status"), none.alias("Q3_methodology"))
+    scoring = marks.select(i.alias("record_id"), none.alias("model_is_scientific"), F.when(i % 5 == 0, "true").otherwise(F.when(good, "true").otherwise("false")).alias("model_is_empirical"), none.alias("model_methodology"))
+    return validation.confirmatory(agreed, scoring).select("field", "n_pairs", "n_agree", "percent_agreement")
+
+
 # --- enrichment, relations, release
 
+@query("""WITH r AS (SELECT d.doc_id, CASE WHEN d.doc_id % 4 <> 0 THEN d.n_chars % 50 END AS before, l.doc_id IS NOT NULL AS found FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id)
+SELECT count(*) AS n_records, count(doc_id) AS n_with_id, count(before) AS n_counted_before, count(*) FILTER (WHERE before IS NOT NULL OR found) AS n_counted_after, count(*) FILTER (WHERE before IS NULL AND found) AS n_filled FROM r""")
+def enrichment_report(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("pmid"), F.when(F.col("doc_id") % 4 != 0, (F.col("n_chars") % 50).cast("int")).alias("cited_by_count"))
+    found = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("pmid"), (F.col("quality") * 10).alias("citation_count"))
+    return enrich.report(docs, enrich.attach(docs, found))
+
+
 @query("""SELECT d.doc_id, CASE WHEN d.doc_id % 4 = 0 THEN l.n ELSE CAST(d.n_chars % 50 AS INTEGER) END AS cited_by_count, CASE WHEN d.doc_id % 4 = 0 AND l.n IS NOT NULL THEN 'icite' END AS citation_source, l.rcr AS relative_citation_ratio
 FROM documents d LEFT JOIN (SELECT doc_id, CAST(quality * 10 AS INTEGER) AS n, CAST(toxic AS DOUBLE) / 2 AS rcr FROM labels) l ON d.doc_id = l.doc_id""")
 def enrichment_left_join(spark, d):
@@ -834,6 +886,66 @@ def release_manifest(spark, d):
     return release.manifest(table(spark, d, "documents"), key="doc_id", year="n_chars", doi="lang", venue="source")
 
 
+# --- providers' payloads, made of documents' fields
+
+_RECORD = ("source", "source_id", "doi", "pmid", "title", "journal_raw", "year", "n_authors", "cited_by_count", "abstract")
+
+
+def _payloads(spark: SparkSession, d: str, fields: str) -> DataFrame:
+    """JSON of an expression over documents, i being the id and y the year."""
+    docs = table(spark, d, "documents").selectExpr("doc_id AS i", "lang", "source", "n_chars", "CAST(n_chars % 30 + 1990 AS INT) AS y")
+    return docs.select(F.to_json(F.expr(fields)).alias("value"))
+
+
+@query("""SELECT 'openalex' AS source, 'W' || doc_id AS source_id, CASE WHEN doc_id % 2 = 0 THEN '10.1000/a' || doc_id END AS doi, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) END AS pmid, coalesce(source, '') AS title, coalesce(lang, '') AS journal_raw,
+  CAST(n_chars % 30 + 1990 AS INTEGER) AS year, CASE WHEN lang IS NULL OR lang = '' THEN 1 ELSE 2 END AS n_authors, CASE WHEN doc_id % 5 > 0 THEN n_chars % 7 END AS cited_by_count, 'a b a' || CASE WHEN source IS NULL THEN '' ELSE ' ' || source END AS abstract FROM documents""")
+def openalex_records(spark, d):
+    made = _payloads(spark, d, """named_struct('id', concat('https://openalex.org/W', i), 'doi', if(i % 2 = 0, concat('https://doi.org/10.1000/A', i), null), 'ids', named_struct('pmid', if(i % 3 = 0, concat('https://pubmed.ncbi.nlm.nih.gov/', i), null)),
+      'display_name', concat(' ', source, ' '), 'publication_year', y, 'type', 'article', 'primary_location', named_struct('source', named_struct('display_name', lang)), 'cited_by_count', if(i % 5 > 0, n_chars % 7, null),
+      'abstract_inverted_index', map_concat(map('b', array(1), 'a', array(0, 2)), if(source is null, map(), map(source, array(3)))),
+      'authorships', array(named_struct('author', named_struct('display_name', lang)), named_struct('author', named_struct('display_name', 'N'))))""")
+    out = mappings.openalex(mappings.parsed(made, mappings.OPENALEX)).select(*_RECORD)
+    return out.withColumn("cited_by_count", F.col("cited_by_count").cast("long"))
+
+
+@query("""SELECT 'europepmc' AS source, CAST(doc_id AS VARCHAR) AS source_id, '10.1000/a' || doc_id AS doi, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) END AS pmid, 'On ' || coalesce(source, 'it') AS title, coalesce(lang, '') AS journal_raw,
+  CASE WHEN doc_id % 4 > 0 THEN CAST(n_chars % 30 + 1990 AS INTEGER) END AS year, 2 AS n_authors, n_chars % 7 AS cited_by_count, 'A b' AS abstract FROM documents""")
+def europepmc_records(spark, d):
+    made = _payloads(spark, d, """named_struct('id', string(i), 'source', 'MED', 'pmid', if(i % 3 = 0, string(i), ''), 'doi', concat('10.1000/A', i), 'title', concat('On ', coalesce(source, 'it'), '.'), 'abstractText', '<h4>A</h4>b', 'pubYear', if(i % 4 > 0, string(y), 'n.d.'),
+      'journalInfo', named_struct('journal', named_struct('title', lang)), 'citedByCount', n_chars % 7, 'authorList', named_struct('author', array(named_struct('firstName', 'A', 'lastName', 'B', 'collectiveName', cast(null as string)), named_struct('firstName', cast(null as string), 'lastName', cast(null as string), 'collectiveName', 'G'), named_struct('firstName', '', 'lastName', '', 'collectiveName', '')))) """)
+    out = mappings.europepmc(mappings.parsed(made, mappings.EUROPEPMC)).select(*_RECORD)
+    return out.withColumn("cited_by_count", F.col("cited_by_count").cast("long"))
+
+
+@query("""SELECT 'scopus' AS source, CAST(doc_id AS VARCHAR) AS source_id, '10.1000/a' || doc_id AS doi, CAST(NULL AS VARCHAR) AS pmid, coalesce(source, '') AS title, coalesce(lang, '') AS journal_raw, CASE WHEN doc_id % 4 > 0 THEN CAST(n_chars % 30 + 1990 AS INTEGER) END AS year,
+  CAST(doc_id % 6 AS INTEGER) AS n_authors, n_chars % 7 AS cited_by_count, 'x' AS abstract FROM documents""")
+def scopus_records(spark, d):
+    made = _payloads(spark, d, """named_struct('dc:identifier', concat('SCOPUS_ID:', i), 'prism:doi', concat('doi:10.1000/A', i), 'dc:title', source, 'dc:description', ' x ', 'prism:publicationName', lang, 'prism:coverDate', if(i % 4 > 0, concat(y, '-05-06'), null),
+      'author-count', named_struct('@total', string(i % 6)), 'citedby-count', string(n_chars % 7))""")
+    out = mappings.scopus(mappings.parsed(made, mappings.SCOPUS)).select(*_RECORD)
+    return out.withColumn("cited_by_count", F.col("cited_by_count").cast("long"))
+
+
+@query("""SELECT 'wos' AS source, 'W' || doc_id AS source_id, '10.1000/a' || doc_id AS doi, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) END AS pmid, coalesce(source, '') AS title, coalesce(lang, '') AS journal_raw, CAST(n_chars % 30 + 1990 AS INTEGER) AS year,
+  1 AS n_authors, n_chars % 7 AS cited_by_count, '' AS abstract FROM documents""")
+def wos_records(spark, d):
+    made = _payloads(spark, d, """named_struct('uid', concat('W', i), 'title', source, 'source', named_struct('publishYear', y, 'sourceTitle', lang), 'identifiers', named_struct('doi', concat('10.1000/A', i), 'pmid', if(i % 3 = 0, concat('MEDLINE:', i), null)),
+      'names', named_struct('authors', array(named_struct('displayName', 'N'))), 'citations', array(named_struct('db', 'X', 'count', 99), named_struct('db', 'WOS', 'count', n_chars % 7)))""")
+    out = mappings.wos(mappings.parsed(made, mappings.WOS)).select(*_RECORD)
+    return out.withColumn("cited_by_count", F.col("cited_by_count").cast("long"))
+
+
+@query("""SELECT 'pubmed' AS source, CAST(doc_id // 2 AS VARCHAR) AS source_id, '10.1000/a' || (doc_id // 2) AS doi, CAST(doc_id // 2 AS VARCHAR) AS pmid, 'On suicide rates.' AS title, 'J' || (doc_id // 2) AS journal_raw, 1998 AS year, 2 AS n_authors,
+  'Methods: We did.' || repeat(' more', CAST(max(doc_id % 2) AS INTEGER)) AS abstract FROM documents GROUP BY doc_id // 2""")
+def pubmed_reparsed(spark, d):
+    """Cached XML of two versions of each article; the fuller one stays."""
+    xml = """concat('<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID Version="1">', doc_id div 2, '</PMID><Article><Journal><JournalIssue><PubDate><MedlineDate>1998 Nov-Dec</MedlineDate></PubDate></JournalIssue><Title>J', doc_id div 2, '</Title></Journal>',
+      '<ArticleTitle>On <i>suicide</i> rates.</ArticleTitle><Abstract><AbstractText Label="METHODS">We did.', if(doc_id % 2 = 1, ' more', ''), '</AbstractText></Abstract><AuthorList><Author><LastName>Doe</LastName><ForeName>Jo</ForeName></Author><Author><CollectiveName>G</CollectiveName></Author></AuthorList></Article></MedlineCitation>',
+      '<PubmedData><ArticleIdList><ArticleId IdType="doi">10.1000/A', doc_id div 2, '</ArticleId></ArticleIdList></PubmedData></PubmedArticle></PubmedArticleSet>')"""
+    payloads = table(spark, d, "documents").select(F.expr(xml).alias("value"))
+    return mappings.reparsed(payloads).select(*(c for c in _RECORD if c != "cited_by_count"))
+
+
 # --- the text model
 
 @query()
