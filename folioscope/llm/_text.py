@@ -12,6 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from folioscope.operators.graph import checkpointed, shared_dir, spread_join
+
+__all__ = ["checkpointed", "crc_mod", "flat", "parts", "pieces", "removed", "rolling", "shared_dir", "splitmix", "spread_join", "text_bytes", "word_hashes", "words"]
+
 #: Bytes of text that one pass of array work covers; bounds the working memory of a Python worker.
 PIECE_BYTES = 2 << 20
 
@@ -134,37 +138,10 @@ def crc_mod(column, modulus: int):
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-#: Rows of an Arrow batch, at most: a batch of long texts lies in the JVM and in the Python worker at once.
-BATCH_ROWS = 1_000
-
-
-def bounded(df):
-    """The frame itself, after holding its session's Arrow batches to BATCH_ROWS rows; a smaller setting stays."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    own = int(conf.get(name))
-    if own <= 0 or own > BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
-    return df
-
-
-def shared_dir(spark, name: str) -> str:
-    """A new folder's path under spark.checkpoint.dir, which the driver and all executors share.
-
-    The session's setting wins. Where it is unset, as in tests, a folder below the system's temporary one is used.
-    """
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/folioscope-shared"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df):
-    """df.checkpoint(), with the session's shared folder set first."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession, "lineage"))
-    return df.checkpoint()
+def removed(spark, path: str) -> None:
+    """Deletes a folder that isn't read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_bytes(df, text: str) -> int:

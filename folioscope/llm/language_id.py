@@ -20,8 +20,8 @@ from folioscope.llm import _text
 BUCKETS = 1 << 15
 #: Labelled documents that a model is fitted on, at most in expectation; each language gets an equal share.
 FIT_ROWS = 20_000
-#: More values than this in the label column are taken for an error, as the matrix goes to the driver and executors.
-MOST_LANGUAGES = 1_000
+#: Languages x buckets, at most: the matrix goes to the driver and the executors (16 bytes a cell on the way). More is an error.
+MOST_CELLS = 1 << 23
 UNKNOWN = "und"
 
 
@@ -76,15 +76,18 @@ def _strings(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> list[str]
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", buckets: int = BUCKETS, fit_rows: int = FIT_ROWS, alpha: float = 0.1) -> Model:
     """A model of the rows whose label isn't null; null and empty texts teach nothing. No such row: a model without languages."""
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.col(key).alias("key")).where("lang is not null and text is not null and text <> ''")
-    sizes = {r["lang"]: r["n"] for r in docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_CELLS // buckets + 1).collect()}
+    if len(sizes) > MOST_CELLS // buckets:
+        raise ValueError(f"over {MOST_CELLS // buckets} languages")
     if not sizes:
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0))
     share = fit_rows / len(sizes)
     rate = F.element_at(F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, share / n))))), F.col("lang"))
     sample = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(1_000_000)) < rate * 1_000_000)
 
+    languages = sorted(sizes)
+    number = {x: k for k, x in enumerate(languages)}
+
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -98,13 +101,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                     own += np.bincount(grams[cuts[k] : cuts[k + 1]], minlength=buckets)
         for name, own in total.items():
             at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number[name], np.int32)), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], ["lang", "bucket", "n"])
 
-    counted = _text.bounded(sample).select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counted["lang"].unique())
+    counted = sample.select("lang", "text").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    where, bucket, n = (counted.column(c).to_numpy() for c in ("lang", "bucket", "n"))
+    taught = np.unique(where)  # a language whose drawn texts are all empty teaches nothing
+    languages = [languages[k] for k in taught]
     counts = np.zeros((buckets, len(languages)))
-    number = {x: k for k, x in enumerate(languages)}
-    counts[counted["bucket"].to_numpy(dtype=np.int64), counted["lang"].map(number).to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.float64)
+    counts[bucket, np.searchsorted(taught, where)] = n
     matrix = np.log((counts + alpha) / (counts.sum(axis=0) + alpha * buckets))
     prior = np.array([sizes[x] for x in languages], dtype=float)
     return Model(languages, np.ascontiguousarray(matrix.astype(np.float32)), np.log(prior / prior.sum()) if len(prior) else prior)
@@ -127,5 +131,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 langs = [x if k else UNKNOWN for x, k in zip(langs, letters.tolist())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in range(len(names))), pa.array(langs, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())], [*names, "lang_pred", "score"])
 
-    out = _text.bounded(docs).select(*(F.col(c).alias(n) for n, c in zip(names, keep)), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    out = docs.select(*(F.col(c).alias(n) for n, c in zip(names, keep)), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "lang_pred", "score")

@@ -1,29 +1,43 @@
 """SimHash near-duplicates with pivot distance tables.
 
 A fingerprint has a bit for each bit position that is set in over half the hashes of a text's word shingles. Equal
-fingerprints are merged first. Candidates for a link of at most `distance` bits share a block of bits (one of
-distance + 1 blocks must agree), and inside a block's group each fingerprint has a row of Hamming distances to many
-fixed reference fingerprints. The Hamming distance is a metric: two rows that differ by more than `distance` in any
-coordinate rule a pair out. Survivors are compared bit by bit.
+fingerprints are merged first. Candidates for a link of at most `distance` bits agree in some blocks of bits (of
+distance + k blocks, k must agree; every choice of k is a key, and k grows with the number of fingerprints, so that
+groups don't), and inside a key's group each fingerprint has a row of Hamming distances to many fixed reference
+fingerprints. The Hamming distance is a metric: two rows that differ by more than `distance` in any coordinate rule a
+pair out. Survivors are compared bit by bit.
 
 Groups give a spanning set of links, never all pairs: once a member's neighbours are linked to it, pairs among those
 neighbours are already joined. Components follow from the links by rounds of DataFrame joins.
+
+near_copies() links texts by the Jaccard similarity of their shingles instead. A similarity of 0.8 lets fingerprints
+differ in 10 bits on average and in 25 at times, and so many bits leave no block to agree in. There, candidates share a
+band of least shingle hashes, the rows of distances and the fingerprints rule pairs out with a bound for that
+similarity, and survivors are verified by their whole sets of shingles.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import acos, ceil, pi, sqrt
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import _text
+from folioscope.operators.graph import components
 
 WORDS, DISTANCE, PIVOTS, SEED = 4, 4, 24, 42
 
 #: Distinct fingerprints of one block value that a task takes; larger groups are cut and their parts compared two by two.
 GROUP = 8_192
+#: Fingerprints that share a key by chance, about, before keys of more bits are taken; and the most blocks that must agree.
+FILL, MOST_AGREE = 64, 4
+#: near_copies(): words of a shingle, similarity, bands of so many least hashes.
+COPY_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 6
 
 _REFERENCES = _text.splitmix(np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
@@ -78,13 +92,18 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(fp.view(np.int64))], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return _text.bounded(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp long").select(F.col("key").alias(key), "fp")
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp long").select(F.col("key").alias(key), "fp")
 
 
-def _blocks(distance: int) -> list[tuple[int, int]]:
-    """(shift, bits) of distance + 1 blocks that cover the 64 bits."""
-    cuts = [64 * k // (distance + 1) for k in range(distance + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def _masks(distance: int, n: int) -> list[int]:
+    """The bits of each key: all choices of k of distance + k blocks, of which any two fingerprints within the distance agree in one at least."""
+    for agree in range(1, MOST_AGREE + 1):
+        blocks = distance + agree
+        cuts = [64 * k // blocks for k in range(blocks + 1)]
+        if n <= FILL << (64 * agree // blocks):
+            break
+    own = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
+    return [sum(x) - (sum(x) >> 63 << 64) for x in combinations(own, agree)]  # as signed numbers
 
 
 def _linked(fp: np.ndarray, side: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
@@ -164,8 +183,8 @@ def _forest(left: list[int], right: list[int]) -> np.ndarray:
 
 def links(prints: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
     """(a, b): pairs of distinct fingerprints within `distance` that join all that the relation joins. `prints` has distinct ones, column fp."""
-    blocks = _blocks(distance)
-    rows = prints.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1).alias("value")) for k, (s, w) in enumerate(blocks)))).alias("x")).select("fp", "x.block", "x.value")
+    masks = _masks(distance, prints.count())
+    rows = prints.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(masks)))).alias("x")).select("fp", "x.block", "x.value")
     hot = rows.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).withColumn("cuts", F.ceil(F.col("n") / group).cast("int")).drop("n")
     rows = rows.join(hot, ["block", "value"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
     # a group in parts: part p meets part q in the cell (min, max)
@@ -227,46 +246,124 @@ def _last_group(table: pa.Table) -> int:
     return len(table) - int(pc.sum(pc.cast(same, pa.int64())).as_py())
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that each end of an edge reaches, compared as numbers.
-
-    Rounds of large-star and small-star: each node hands its neighbours the smallest it knows, first to larger ones,
-    then to smaller ones, until no edge changes. A round is two shuffles over the edges; a node's neighbours are never
-    gathered, only their minimum is. Each round is written to the shared checkpoint folder, so lineage stays short.
-    """
-    own = _text.checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
-    for _ in range(most_rounds):
-        both = own.unionByName(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        star = large.distinct()
-        least = star.groupBy("u").agg(F.min("v").alias("m"))
-        small = star.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        own = _text.checkpointed(small)
-        now = own.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError("components didn't settle")
-    return own.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(own.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """(key, fp, component_id): a row for each row of docs; component_id is the smallest key that links reach, itself included.
 
     Texts without words (empty, null or white space) have the fingerprint zero, which links like any other. A row with
     a null key takes part and gets its component's smallest key, null only if all keys there are null. Repeated rows
-    give repeated results. No limit is set on the size of a group or component.
+    give repeated results. No limit is set on the size of a group or component; rows of a fingerprint, or fingerprints
+    of a component, that are many are dealt over many tasks.
     """
     marked = _text.checkpointed(fingerprints(docs, text, key, words).select(F.col(key).alias("key"), "fp"))
-    prints = marked.groupBy("fp").agg(F.min("key").alias("least"))
-    joined = components(links(prints, distance))
-    roots = prints.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    prints = marked.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
+    joined = components(links(prints.select("fp"), distance))
+    roots = prints.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    roots = _text.checkpointed(roots)
+    smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = _text.spread_join(roots.select("fp", "root", F.col("n").alias("rows")), smallest, "root", roots.count())
+    named = named.select("fp", "component_id", F.col("rows").alias("n"))
+    return _text.spread_join(marked, named, "fp", marked.count()).select(F.col("key").alias(key), "fp", "component_id")
+
+
+# --- by the similarity of shingles
+
+_ODD = (_text.splitmix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_PLUS = (_text.splitmix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+
+def text_node(text: Column) -> Column:
+    """A number of the whole text; 0 for all texts without words, null ones among them."""
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+
+
+def widest(similarity: float) -> int:
+    """Bits in which the fingerprints of two sets of that Jaccard similarity may differ: the mean and five and a half deviations of it."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return ceil(64 * p + 5.5 * sqrt(64 * p * (1 - p)))
+
+
+def _mapped(texts: DataFrame, names: tuple[str, ...], schema: str, values) -> DataFrame:
+    """(node, *names): columns made of each text's distinct shingle hashes by values(hashes, first of each text)."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = _text.flat(batch.column(1))
+            for i, j in _text.pieces(offsets, 1 << 19):
+                h, begin = _hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], COPY_WORDS)
+                parts = [np.unique(h[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+                h, begin = np.concatenate([np.zeros(0, np.uint64), *parts]), np.cumsum([0, *map(len, parts)])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], *values(h, begin)], ["node", *names])
+
+    return texts.select("node", "text").mapInArrow(run, f"node long, {schema}")
+
+
+def _signed(h: np.ndarray, begin: np.ndarray) -> list[pa.Array]:
+    """Fingerprint, distances to eight references as the bytes of a number, and the numbers of the bands."""
+    n = len(begin) - 1
+    out = np.zeros((n, BANDS), dtype=np.uint64)
+    some = np.flatnonzero(np.diff(begin) > 0)
+    if len(some):
+        low, first = (h >> np.uint64(32)).astype(np.uint32), begin[some]
+        for k in range(BANDS):
+            value = np.full(len(some), k + 1, dtype=np.uint64)
+            for r in range(k * ROWS, (k + 1) * ROWS):
+                value = _text.splitmix(value ^ np.minimum.reduceat(low * _ODD[r] + _PLUS[r], first).astype(np.uint64))
+            out[some, k] = value
+    fp = _majority(h, begin)
+    table = np.bitwise_count(fp[:, None] ^ _REFERENCES[None, :8]).astype(np.uint8)
+    bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(out.ravel().view(np.int64)))
+    return [pa.array(fp.view(np.int64)), pa.array(np.ascontiguousarray(table).view("<i8").ravel()), bands]
+
+
+def _listed(h: np.ndarray, begin: np.ndarray) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(h.view(np.int64)))]
+
+
+def _can_be(left: str, right: str, distance: int) -> Column:
+    """Whether neither the rows of distances nor the fingerprints rule a pair out; over the columns fp and pivots of two structs."""
+    part = lambda c, k: F.shiftrightunsigned(F.col(f"{c}.pivots"), 8 * k).bitwiseAND(F.lit(255))
+    apart = F.greatest(*(F.abs(part(left, k) - part(right, k)) for k in range(8)))
+    return (apart <= distance) & (F.bit_count(F.col(f"{left}.fp").bitwiseXOR(F.col(f"{right}.fp"))) <= distance)
+
+
+def near_copies(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of the texts that have a near copy: `similarity` or more of five-word shingles, sets compared whole.
+
+    `texts` has node (see text_node) and text; nodes may repeat, and texts without words have none. Two texts of
+    similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS, 0.9995 at 0.8. So that a large group of
+    copies costs links in proportion, the members of a band are first compared with one of them, twice; what then still
+    holds several components is compared pair by pair, without a limit on its size.
+    """
+    worded, distance = texts.where("node <> 0"), widest(similarity)
+    signed = _text.checkpointed(_mapped(worded, ("fp", "pivots", "bands"), "fp long, pivots long, bands array<long>", _signed))
+    signed = signed.select(F.struct("node", "fp", "pivots").alias("x"), F.explode("bands").alias("band"))
+    shared = signed.groupBy("band").agg(F.min("x.node").alias("low"), F.max("x.node").alias("high")).where("low < high").select("band")
+    met = _text.checkpointed(signed.join(shared, "band").distinct())
+    held = worded.join(met.select(F.col("x.node").alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sets = _text.checkpointed(_mapped(held, ("shingles",), "shingles array<long>", _listed))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+        common = F.size(F.array_intersect("s", "t"))
+        return _text.checkpointed(both.select("a", "b", (common >= similarity * (F.size("s") + F.size("t") - common)).alias("near")))
+
+    done, found = None, None
+    for step in ("least", "hashed", "all"):
+        own = met.withColumn("root", F.col("x.node")) if found is None else met.join(found, F.col("x.node") == F.col("node"), "left").select("x", "band", F.coalesce("root", "x.node").alias("root"))
+        hub = F.min_by(F.struct("x", "root"), F.col("x.node") if step == "least" else F.xxhash64("x.node")).alias("hub")
+        mixed = own.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub).where("low < high")
+        if step == "all":
+            open_ = own.join(mixed.select("band"), "band", "left_semi")
+            pairs = open_.select("band", "x", "root").join(open_.select("band", F.col("x").alias("y"), F.col("root").alias("other")), "band").where("x.node < y.node and root <> other")
+        else:
+            pairs = own.join(mixed.select("band", F.col("hub.x").alias("y"), F.col("hub.root").alias("other")), "band").where("root <> other")
+        pairs = pairs.where(_can_be("x", "y", distance)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        if done is not None:
+            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        new = compared(pairs)
+        done = new if done is None else done.unionByName(new)
+        found = components(done.where("near").select("a", "b"))
+    return found
 
 
 def hexadecimal(fp):
