@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import _text, language_id, minhash, packing, pii, substring_dedup, token_rollup
+from folioscope.llm import _text, language_id, packing, pii, simhash, substring_dedup, token_rollup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from pyspark.sql import Window
 
     key = F.coalesce("doc_id", F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
-    rows = docs.select(*COLUMNS, key.alias("row_key"), minhash.text_node(F.col("text")).alias("node"))
-    firsts = rows.groupBy("node").agg(F.min("row_key").alias("row_key")).join(minhash.linked(rows), "node", "left")
+    rows = docs.select(*COLUMNS, key.alias("row_key"), simhash.text_node(F.col("text")).alias("node"))
+    firsts = rows.groupBy("node").agg(F.min("row_key").alias("row_key")).join(simhash.near_copies(rows), "node", "left")
     keepers = firsts.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("row_key", "node")).alias("x")).select("x.*")
     first = Window.partitionBy("row_key", "node").orderBy("lang", "source", "n_chars")
     kept = rows.join(keepers, ["row_key", "node"], "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1")
@@ -71,10 +71,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
+    """All stages over `documents`, each written to the shared folder and read again; what no stage reads any more is deleted."""
     folder = _text.shared_dir(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _text.removed(spark, f"{folder}/{before}")
+        before = name
     return docs
