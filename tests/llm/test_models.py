@@ -84,6 +84,55 @@ def test_features_are_of_each_text(corpus):
     assert whole[60][quality_gam.FEATURES.index("log_words")] == pytest.approx(np.log1p(len(words(texts[60]))))
 
 
+def test_quality_score_is_a_sum_of_looked_up_bins():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] * x[:, 2] > 0.3)).astype(float)
+    model = quality_gam.fit_arrays(x, y, rounds=20)
+    for row, said in zip(x[:50], model.score(x[:50])):
+        total = model.base + sum(t[sum(v >= e for e in edge)] for v, edge, t in zip(row, model.edges, model.tables))
+        total += sum(t[sum(row[a] >= e for e in model.coarse[a]), sum(row[b] >= e for e in model.coarse[b])] for a, b, t in model.pairs)
+        assert said == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_first_round_of_boosting_is_newton_steps_of_the_best_cut():
+    """One feature, one round, two leaves: the cut and the leaves by trying every cut."""
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 6, size=(300, 1)).astype(float), rng.integers(0, 2, size=300).astype(float)
+    y[x[:, 0] > 3] = 1
+    model = quality_gam.fit_arrays(x, y, rounds=1, rate=1.0, bins=6, leaves=2, n_pairs=0, l2=1.0)
+    p = (y.sum() + 1) / (len(y) + 2)
+    at = np.array([sum(v >= e for e in model.edges[0]) for v in x[:, 0]])
+    g, h = y - p, np.full(len(y), p * (1 - p))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    cut = max(range(1, len(model.tables[0])), key=lambda c: gain(at < c) + gain(at >= c))
+    leaf = lambda m: g[m].sum() / (h[m].sum() + 1)
+    assert model.tables[0] == pytest.approx([leaf(at < cut) if b < cut else leaf(at >= cut) for b in range(len(model.tables[0]))])
+
+
+def test_language_model_is_counted_naive_bayes(spark):
+    """The matrix and the posterior against plain counts of the hashed n-grams."""
+    data = [(1, "abc abd", "aa"), (2, "xyz", "bb"), (3, "abx", "aa"), (4, "", "cc"), (5, None, "bb"), (6, "zzz", None)]
+    model = language_id.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), buckets=64, fit_rows=1_000, alpha=0.1)
+    counts = np.zeros((64, 2))
+    for _, t, k in data:
+        if t and k:
+            counts[:, "ab".index(k[0])] += np.bincount(language_id._grams([t], 64)[0], minlength=64)
+    matrix = np.log((counts + 0.1) / (counts.sum(axis=0) + 6.4))
+    assert model.languages == ["aa", "bb"] and model.matrix == pytest.approx(matrix, abs=1e-5)
+    logs = [matrix[language_id._grams(["abz"], 64)[0], k].sum() + np.log((2 / 4, 2 / 4)[k]) for k in range(2)]
+    langs, score = model.score(["abz"])
+    best = int(np.argmax(logs))
+    assert langs == [["aa", "bb"][best]] and score[0] == pytest.approx(1 / (1 + np.exp(logs[1 - best] - logs[best])), abs=1e-4)
+    with pytest.raises(ValueError):
+        language_id.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), buckets=1 << 23)
+
+
+def test_equal_posteriors_take_the_first_language():
+    model = language_id.Model(["a", "b"], np.zeros((64, 2), np.float32), np.log([0.5, 0.5]))
+    assert model.score(["xy"])[0] == ["a"]
+
+
 # --- personal data
 
 PATTERNS = {
@@ -123,6 +172,92 @@ def test_long_texts_take_linear_time():
     assert time.time() - began < 20
 
 
+def test_query_of_personal_data(spark, tmp_path):
+    """The whole op2 query against the contract's patterns, with nulls, empty, repeated and very long texts."""
+    import hashlib
+
+    from folioscope.llm import queries
+
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("ab.@-_+ 0123456789().%\n") for _ in range(rng.randint(0, 200))) for _ in range(300)]
+    texts += ["", None, None, "call +1 (202) 555-0143 or x@y.org, 1.2.3.4 and 4111 1111 1111 1111", "x@y.org", "x@y.org", " ".join(str(rng.randint(0, 99_999)) for _ in range(20_000)), "é\U0001F600 a@b.c " * 300]
+    spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)] + [(None, "a@b.c", "x", 2)], "doc_id long, text string, k0 string, spans int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op2_pii(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) + 1 and got[None]["n_email"] == 1
+    for i, t in enumerate(texts):
+        want, r = brute_spans(t or ""), got[i]
+        assert tuple(r[f"n_{k}"] for k in pii.KINDS) == tuple(sum(x[2] == k for x in want) for k in pii.KINDS)
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in want).encode()).hexdigest()
+        said = [x for x in r["spans"].split(",") if x]
+        assert len(said) == len(want) + r["n_added"] and {f"{k}:{a}:{b}" for a, b, k in want} <= set(said)
+
+
+def test_field_on_variants_that_it_was_not_fitted_on():
+    rng = random.Random(14)
+    fill = lambda: prose(rng, rng.randint(2, 9), "aeinorst0123456789" if rng.random() < 0.2 else "aeinorst")
+
+    def one():
+        d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+        card = next(c for c in ("4" + d(15) for _ in iter(int, 1)) if pii.luhn(c))
+        return rng.choice((f"{prose(rng, 1)}.{prose(rng, 1)}@{prose(rng, 1)}.org", ".".join(str(rng.randint(0, 255)) for _ in range(4)), card, f"+1 ({d(3)}) {d(3)}-{d(4)}", d(rng.randint(1, 9))))
+
+    texts = [f"{fill()} {one()} {fill()}" for _ in range(900)]
+    model = pii.fit_zones([z.text for t in texts[:400] for z in pii.zones(t)])
+    rates = pii.evaluate(model, texts[400:], 77)
+    assert all(p >= 0.9 and r >= 0.9 and n > 20 for p, r, n in rates.values()), rates
+
+
+def test_added_spans_keep_their_heads():
+    """A zone goes from white space to white space, so that a long local part isn't cut."""
+    model = pii.fit_zones([])
+    local = "x" * 70
+    text = f"write to {local} @ mail.org now"
+    assert [(text[a:b], k) for a, b, k, _ in pii.all_spans(text, model)] == [(f"{local} @ mail.org", "email")]
+    assert pii.masked is not None and [z.text for z in pii.zones("a" * 90 + "1" + "b" * 90 + " c")] == ["a" * 90 + "1" + "b" * 90]
+
+
+def test_a_table_of_numbers_takes_little_memory():
+    import tracemalloc
+
+    rng = random.Random(15)
+    text = " ".join(str(rng.randint(0, 99_999)) for _ in range(30_000))
+    model = pii.fit_zones([])
+    tracemalloc.start()
+    pii.all_spans(text, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(text) + 8_000_000, peak
+
+
+def test_streamed_division_is_the_best_one():
+    """The division against one over all candidates at once, for random weights."""
+    rng = np.random.default_rng(6)
+    texts = ["+1 (202) 555-0143, 4111 1111 1111 1111; a.b@c.org 10.2.3.4 and 10 . 2 . 3 . 4 x" * k for k in (1, 3)]
+    for text in texts:
+        for _ in range(20):
+            model = pii.Model(rng.normal(size=(4, len(pii.FEATURES))))
+            cuts, spans = pii.candidates(text)
+            best, back = [0.0] * len(cuts), [None] * len(cuts)
+            for j in range(1, len(cuts)):
+                best[j], back[j] = best[j - 1], None
+                for i, e, x in spans:
+                    value = model.weights @ x - pii.MARGIN
+                    if e == j and value.max() > 0 and best[i] + value.max() > best[j] + 1e-12:
+                        best[j], back[j] = best[i] + value.max(), (i, int(value.argmax()))
+            want, j = [], len(cuts) - 1
+            while j > 0:
+                if back[j] is None:
+                    j -= 1
+                else:
+                    want.append((cuts[back[j][0]], cuts[j], pii.KINDS[back[j][1]]))
+                    j = back[j][0]
+            pii.LOT, most = 7, pii.LOT
+            try:
+                assert model.divide(text) == want[::-1]
+            finally:
+                pii.LOT = most
+
+
 def test_field(spark, docs, empty):
     rng = random.Random(4)
     fill = lambda: prose(rng, 6)
@@ -234,7 +369,7 @@ def test_pack():
 
 
 def test_pack_documents(spark, docs, empty, monkeypatch):
-    monkeypatch.setattr(packing, "GROUP_ITEMS", 7)  # several groups to a shard
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 40)  # several shards
     monkeypatch.setattr(packing, "SHARD_TOKENS", 2_000)
     out = packing.pack_documents(docs, token_rollup.words_count(F.col("text")), capacities=(16, 64, 256), keep=("fp",))
     got = out.collect()
@@ -261,6 +396,55 @@ def test_pack_documents(spark, docs, empty, monkeypatch):
     assert packing.pack_documents(odd, F.col("n"), capacities=(8,)).agg(F.sum("n_tokens")).first()[0] == 16
 
 
+def plain_pack(lengths, capacities):
+    """Best fit by looking at every open bin, and at every waiting item for what a new bin would hold."""
+    longest, waiting, bins, where = max(capacities), sorted(lengths, reverse=True), [], []
+    for k in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+        n = lengths[k]
+        waiting.remove(n)
+        fits = [r for r, _ in bins if r >= n]
+        if fits:
+            b = max(i for i, (r, _) in enumerate(bins) if r == min(fits))  # any bin of that room will do for the sizes
+        else:
+            costs = []
+            for c in sorted(c for c in capacities if c >= n):
+                space, full, rest = c - n, n, list(waiting)
+                for x in sorted(rest, reverse=True):
+                    if x <= space:
+                        space, full = space - x, full + x
+                costs.append((packing.bin_cost(c, longest) / full, c))
+            bins.append((min(costs)[1], 0))
+            b = len(bins) - 1
+        bins[b] = (bins[b][0] - n, bins[b][1] + n)
+        where.append(b)
+    return sorted(min(c for c in capacities if c >= used) for _, used in bins)
+
+
+def test_pack_against_plain_best_fit():
+    rng = random.Random(18)
+    for _ in range(60):
+        lengths = [rng.randint(1, rng.choice((8, 40, 64))) for _ in range(rng.randint(0, 60))]
+        assert sorted(packing.pack(lengths, (8, 16, 64))[2]) == plain_pack(lengths, (8, 16, 64))
+
+
+def test_packing_does_not_depend_on_partitions(spark, docs, monkeypatch):
+    """The same bins at 1, 8 and 200 shuffle partitions; a key of many rows is dealt over the shards."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 1_500)
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 50)
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("1", "8", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out = packing.pack_documents(docs.repartition(int(n) % 7 + 1), token_rollup.words_count(F.col("text")), capacities=(16, 64, 256))
+            got.append(sorted(map(tuple, out.collect()), key=str))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] == got[2] and len({r[4] >> 32 for r in got[0] if r[4] is not None}) > 2
+    hot = spark.range(300).select(F.lit(7).cast("long").alias("doc_id"), F.lit(3).alias("n"))
+    out = packing.pack_documents(hot, F.col("n"), capacities=(9,))
+    assert out.agg(F.countDistinct(F.shiftright("bin_id", 32)), F.sum("n_tokens"), F.count("*")).first()[:] == (6, 900, 300)
+
+
 # --- rollups
 
 
@@ -283,6 +467,23 @@ def test_rollup(spark, docs, empty):
     assert len(again.committed()) == 4
 
 
+def test_rollup_snapshots(spark, docs):
+    """Totals are the same with and without snapshots; a replay of a batch inside one is still told."""
+    n = token_rollup.words_count(F.col("text"))
+    store = token_rollup.Rollup(spark, _text.shared_dir(spark, "test-rollup"))
+    assert not store.compact()
+    parts = [docs.where(F.col("doc_id") % 3 == k) for k in range(3)]
+    for k, part in enumerate(parts[:2]):
+        store.commit(f"b {k}", token_rollup.inserted(part, n, "v1"))
+    before = sorted(map(tuple, store.totals().collect()), key=str)
+    assert store.compact() and not store.compact() and sorted(map(tuple, store.totals().collect()), key=str) == before
+    assert not store.commit("b 0", token_rollup.inserted(parts[0], n, "v1"))
+    store.commit("b 2", token_rollup.inserted(parts[2], n, "v1"))
+    assert store._parts()[2] == ["b%202"] and store.compact() and store._parts()[2] == []
+    want = token_rollup.summed(token_rollup.inserted(docs, n, "v1"))
+    assert sorted(map(tuple, store.totals().collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
 def test_counts(spark, corpus):
     df = spark.createDataFrame(corpus, "doc_id long, text string")
     got = rows(df.select("doc_id", token_rollup.words_count(F.col("text")).alias("w"), token_rollup.alnum_count(F.col("text")).alias("a")))

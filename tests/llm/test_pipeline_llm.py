@@ -60,7 +60,10 @@ def test_stages_take_empty_tables_and_odd_rows(spark, planted):
     odd = docs.limit(0).unionByName(spark.createDataFrame([(None, "some words here", None, None, None), (None, "some words here", None, None, None), (4, "some words here", "en", None, 5), (4, "some words here", "en", None, 5)], docs.schema))
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0, name
-        assert stage(spark, odd, folder).count() >= 0, name
+        out = stage(spark, odd, folder)
+        assert tuple(out.columns) == corpus_pipeline.COLUMNS or name == "packing"
+        # a language of four words, two of them the only lesson, stays clear; every other stage but the near duplicates keeps repeated rows
+        assert out.count() == (1 if name == "near_duplicates" else 4), name
     assert corpus_pipeline.near_duplicates(spark, odd, folder).count() == 1
 
 
@@ -87,7 +90,8 @@ def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     said = queries.op10_language_id(spark, DATA).where("held_out").join(docs, "doc_id")
     assert said.where("lang_pred = lang").count() >= 0.95 * said.count()
-    judged = queries.op1_quality_gam(spark, DATA).join(labels, "doc_id")
+    judged = queries.op1_quality_gam(spark, DATA).where("held_out").join(labels, "doc_id")
+    assert judged.count() > 0
     assert judged.where("predicted = quality").count() >= 0.9 * judged.count()
 
 

@@ -79,6 +79,45 @@ def test_substring_digests_and_small_chunks(docs, corpus, monkeypatch):
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
 
 
+@pytest.mark.parametrize(("fan", "ranges"), [(3, 50), (1_024, 20_000_000), (2, 40_000_000)])
+def test_substring_ranges_cut_twice(docs, corpus, monkeypatch, fan, ranges):
+    """Ranges in two levels, as a table of 100 TB has them, find every link."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 2_000)
+    got = rows(substring_dedup._dedup(docs, "text", "doc_id", 50, True, fan=fan, least_ranges=ranges))
+    assert {i: (r["n_words"], r["n_removed"], r["kept_text"]) for i, r in got.items()} == brute_dedup(corpus, 50)
+
+
+def test_no_passage_is_lost_however_many_ranges():
+    """200 planted passages through the passes' own functions, at range counts beyond any table's."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    passages = [prose(rng, 50, "abcdefghijklmnop") for _ in range(200)]
+    left, right = ([f"{prose(rng, rng.randint(0, 30))} {p} {prose(rng, 9)}" for p in passages] for _ in range(2))
+    for n in (1_000, 10_000_000, 16_000_000, 200_000_000):
+        ranges = substring_dedup.Ranges.of(n, 1_000)
+        packed = [substring_dedup._anchors(pa.table({"chunk": pa.array([k] * 200, pa.int32()), "text": t}), 25, ranges) for k, t in enumerate((left, right))]
+        if ranges.fine > 1:
+            merged = [substring_dedup._merged_anchors(t.slice(i, 1).append_column("lot", pa.array([t.column("chunk")[0].as_py()], pa.int32())), ranges) for t in packed for i in range(len(t))]
+        else:
+            merged = packed
+        held = pa.concat_tables(merged)
+        said = []
+        for b in np.unique(held.column("bucket").to_numpy()):
+            said.append(substring_dedup._answer_anchors(held.filter(pa.compute.equal(held.column("bucket"), b)), ranges))
+        said = pa.concat_tables(said)
+        for k, texts in enumerate((left, right)):
+            own = said.filter(pa.compute.equal(said.column("chunk"), k))
+            if ranges.fine > 1:
+                coarse = pa.array(own.column("bucket").to_numpy() // ranges.fine)
+                own = own.set_column(0, "bucket", coarse)
+                own = pa.concat_tables([substring_dedup._routed_anchors(packed[k].filter(pa.compute.equal(packed[k].column("bucket"), b)), own.filter(pa.compute.equal(own.column("bucket"), b)), ranges) for b in np.unique(packed[k].column("bucket").to_numpy())])
+            words_of = substring_dedup._Words.of(*_text.flat(pa.chunked_array([texts])))
+            start = substring_dedup._candidates(words_of, own, 50, 25, ranges)
+            assert len(np.unique(words_of.doc[start])) == 200, (n, k)
+
+
 def test_substring_keys(spark, empty):
     text = prose(random.Random(1), 70)
     df = spark.createDataFrame([(None, text), (None, text), (5, text), (5, text), (9, text)], "doc_id long, text string")
@@ -161,6 +200,83 @@ def test_simhash_keys(spark):
     assert got == sorted([(False, False, 7), (False, False, 7), (True, False, 7), (True, True, None), (True, True, None)], key=repr)
 
 
+def test_any_near_pair_shares_a_key():
+    """For every number of agreeing blocks; keys grow with the number of fingerprints."""
+    rng = random.Random(41)
+    seen = set()
+    for n in (10, 10**6, 10**9, 10**12):
+        masks = simhash._masks(4, n)
+        seen.add(len(masks))
+        for _ in range(3_000):
+            a = rng.getrandbits(64)
+            b = a
+            for bit in rng.sample(range(64), rng.randint(0, 4)):
+                b ^= 1 << bit
+            assert any((a ^ b) & m & (1 << 64) - 1 == 0 for m in masks)
+    assert seen == {5, 15, 35, 70}
+
+
+@pytest.mark.parametrize("fill", [0, 64])
+def test_simhash_with_wider_keys(docs, corpus, monkeypatch, fill):
+    monkeypatch.setattr(simhash, "FILL", fill)
+    fp = {i: brute_fingerprint(t) for i, t in corpus}
+    got = rows(simhash.near_duplicates(docs))
+    assert {i: r["component_id"] for i, r in got.items()} == brute_components(fp)
+
+
+def test_hot_keys_are_dealt_out(spark):
+    """A join of which one key holds most rows: no row is lost or doubled, and the key's rows lie in many partitions."""
+    many = spark.range(60_000).select(F.when(F.col("id") < 40_000, 1).otherwise(F.col("id")).alias("k"), "id")
+    one = many.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for how in ("inner", "left"):
+            out = _text.spread_join(many, one.where("k <= 50000"), "k", 60_000, how)
+            assert out.columns == ["k", "id", "least"] and out.count() == (60_000 if how == "left" else 50_001)
+            assert out.where("k = 1 and least = 0").count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_against_all_pairs(spark):
+    rng = random.Random(42)
+    texts = []
+    for _ in range(60):
+        base = words(prose(rng, rng.choice((1, 4, 6, 30, 120))))
+        for _ in range(6):
+            own = list(base)
+            for k in rng.sample(range(len(own)), min(len(own), rng.choice((0, 0, 1, 2, 4)))):
+                own[k] = prose(rng, 1)
+            texts.append(" ".join(own) + rng.choice(("", " ", " x")))
+    texts = [t for t in dict.fromkeys(texts) if words(t)] + ["", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("node", simhash.text_node(F.col("text")))
+    node = {r["i"]: r["node"] for r in df.collect()}
+    root = {r["node"]: r["root"] for r in simhash.near_copies(df).collect()}
+    got = {i: root.get(n, n) for i, n in node.items()}
+    parent = {i: i for i in node}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    linked = 0
+    for a in range(len(texts) - 2):
+        for b in range(a + 1, len(texts) - 2):
+            if jaccard(texts[a], texts[b]) >= 0.8:
+                parent[find(a)], linked = find(b), linked + 1
+    groups = lambda f: {frozenset(j for j in node if f(j) == f(i)) for i in node}
+    assert linked > 40 and groups(lambda i: got[i]) == groups(lambda i: find(i) if i < len(texts) - 2 else -1)
+
+
 # --- rules
 
 
@@ -186,6 +302,33 @@ def test_rules(spark, docs, corpus, empty):
     assert judged[1000]["failed_rule"] is not None and all((r["failed_rule"] is None) == r["kept"] for r in judged.values())
 
 
+def test_rules_are_lazy_and_ordered_alike(spark, docs, corpus):
+    """The same order in ten runs; the chain without measures judges as the one with them, whatever the order."""
+    df = docs.select("doc_id", "text").withColumns({"kept": F.lit("mine"), "failed_rule": F.lit(1), "q_w": F.lit(2), "q_words": F.lit("x")})
+    orders = [quality_rules.plan(df.repartition(k + 1)) for k in range(10)]
+    assert all(o == orders[0] for o in orders)
+    cost = quality_rules.costs(3_000, 500)
+    assert cost["few_words"] < cost["symbols"] < cost["repeated_words"] and quality_rules.costs(3_000, 500, quality_rules.MEASURED)["repeated_words"] == quality_rules.COMPARED
+    whole = rows(quality_rules.judge(df))
+    for order in (orders[0], orders[0][::-1], sorted(orders[0])):
+        lazy = rows(quality_rules.cascade(df, order))
+        assert {i: r["kept"] for i, r in lazy.items()} == {i: r["kept"] for i, r in whole.items()}
+        for i, t in corpus:
+            n, chars, symbols, dup, repeat = brute_rules(t)
+            w, t = words(t or ""), t or ""
+            fails = {
+                "few_words": n < 20, "repeated_words": repeat * 100 > n * 30, "symbols": symbols * 10 > n * 3, "short_words": chars < n * 2, "long_words": chars > n * 15,
+                "echoes": sum(a == b for a, b in zip(w, w[1:])) * 10 > n * 3, "repeated_lines": dup * 2 > len(t.split("\n")), "shouting": t.count("!") * 10 > n * 5,
+            }
+            assert lazy[i]["failed_rule"] == next((k for k in order if fails[k]), None)
+    assert rows(quality_rules.judge(docs.where("doc_id is null or doc_id < 5"), measures=False)).keys() == {0, 1, 2, 3, 4}
+
+
+def test_rules_take_null_keys_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None), (1, None), (2, "")], "doc_id long, text string")
+    assert [r["failed_rule"] for r in quality_rules.judge(df).collect()] == ["few_words"] * 5
+
+
 # --- fingerprints
 
 
@@ -235,6 +378,41 @@ def test_next_is_right_however_it_is_cut(spark):
     assert sorted(r["next"] for r in fingerprints.with_next(nulls, buckets=3).collect()) == ["b", "b", "c", "n", "n"]
 
 
+def test_forms_that_share_a_digest_stay_apart(docs, corpus, monkeypatch):
+    """With a digest that says nothing, bytes decide."""
+    monkeypatch.setattr(fingerprints, "digest", lambda x: F.substring(F.md5(x), 1, 1))
+    got = rows(fingerprints.exact_groups(docs))
+    first = {}
+    for i, t in corpus:
+        first.setdefault(canonical(t), i)
+    assert {i: r["group_id"] for i, r in got.items()} == {i: first[canonical(t)] for i, t in corpus}
+    texts = dict(corpus)
+    order = sorted(texts, reverse=True)
+    report = rows(fingerprints.edit_report(docs))
+    assert {i: report[i]["near_next"] for i in order} == {i: float(canonical(texts[i]) == canonical(texts[order[(k + 1) % len(order)]])) for k, i in enumerate(order)}
+
+
+def test_report_and_groups_of_odd_rows(spark, empty):
+    """Null keys, repeated rows and null texts; an empty table."""
+    df = spark.createDataFrame([(None, "A b"), (None, "A b"), (3, "a  B"), (2, None), (2, ""), (2, "x y z"), (2, "x y z")], "doc_id long, text string")
+    groups = sorted(((r["doc_id"] or 0, r["group_id"]) for r in fingerprints.exact_groups(df).collect()), key=str)
+    assert groups == [(0, 3), (0, 3), (2, 2), (2, 2), (2, 2), (2, 2), (3, 3)]
+    report = [tuple(r) for r in fingerprints.edit_report(df).collect()]
+    assert len(report) == 7 and sorted(r[1] for r in report) == [0, 0, 3, 3, 4, 5, 5] and fingerprints.exact_groups(empty).count() == 0
+    alone = spark.createDataFrame([(None, "q")], "doc_id long, text string")
+    assert fingerprints.exact_groups(alone).first()["group_id"] is None and fingerprints.edit_report(alone).first()["near_next"] == 1.0
+
+
+def test_composition_of_long_marked_texts(spark):
+    """Decomposed Vietnamese, Hindi and marks without a letter, whole texts."""
+    rng = random.Random(44)
+    viet = " ".join("".join(rng.choice("aăâeêioôơuưydđnhctg") + rng.choice(("", "", "\u0300", "\u0301", "\u0309", "\u0323\u0302")) for _ in range(4)) for _ in range(3_000))
+    hindi = " ".join("".join(rng.choice("कखगघचछजटडतदनपबमयरलवशसह") + rng.choice(("", "ा", "ि", "़", "्", "़ं")) for _ in range(4)) for _ in range(2_000))
+    texts = [viet, unicodedata.normalize("NFD", viet), hindi, "\u0301\u0323 a\u0301\u0323", "a\x01\u0301", "\u09c7\u09be \u0bc6\u0bbe", "e\u0301e\u0301\u0323e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", fingerprints.canonical(F.col("text")).alias("c")).collect()
+    assert [r["i"] for r in df if r["c"] != canonical(texts[r["i"]])] == []
+
+
 def test_exact_groups(docs, corpus):
     got = rows(fingerprints.exact_groups(docs))
     first = {}
