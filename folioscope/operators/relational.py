@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text
+from folioscope.operators import graph
 
 TIERS = ("core_a", "adjacent_b", "dispersed")
 
@@ -28,10 +29,11 @@ VIEWS = {
 def numbered(dimension: DataFrame, order: str, name: str, parts: int | None = None) -> DataFrame:
     """With 1..n in the order of a column, without gathering rows in one task.
 
-    Rows are sorted over partitions by range; only the partitions' sizes, one number each, meet in one place.
+    Rows are sorted over partitions by range and written once, so that sizes and numbers speak of the same partitions;
+    only the partitions' sizes, one number each, meet in one place.
     """
     n = parts or int(dimension.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = dimension.repartitionByRange(n, F.col(order)).withColumn("_p", F.spark_partition_id())
+    ranged = graph.checkpointed(dimension.repartitionByRange(n, F.col(order)).withColumn("_p", F.spark_partition_id()))
     local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
     sizes = local.groupBy("_p").agg(F.max("_k").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text
 from folioscope.functions.numbers import decade
+from folioscope.operators import relational
 
 # A coder's answer and the model's value it is held against.
 CONFIRM = {
@@ -128,8 +129,8 @@ def leave_one_out(df: DataFrame, group: str = "decade") -> list[tuple[object, Da
 
 def shuffled(df: DataFrame, n_calibration: int, seed: int = 7, key: str = "record_id") -> DataFrame:
     """A sample for coders in a fixed chance order: row from 1, and batch (calibration for the first ones, then main)."""
-    numbered = df.withColumn("lot", lot(key, seed)).withColumn("row", F.row_number().over(Window.orderBy("lot", key)))
-    return numbered.withColumn("batch", F.when(F.col("row") <= n_calibration, "calibration").otherwise("main")).drop("lot")
+    numbered = relational.numbered(df.withColumn("_lot", F.concat_ws("|", lot(key, seed), F.col(key).cast("string"))), "_lot", "row").drop("_lot")
+    return numbered.withColumn("row", F.col("row").cast("int")).withColumn("batch", F.when(F.col("row") <= n_calibration, "calibration").otherwise("main"))
 
 
 # --- truth, blinding

@@ -569,6 +569,14 @@ _SENTENCES = (
 )
 
 
+#: What every eleventh document's text begins with.
+_HEADINGS = "Methods: it was done. Results: there were some. "
+
+
+def _abstract() -> Column:
+    return F.concat(F.when(F.col("doc_id") % 11 == 0, _HEADINGS).otherwise(""), F.coalesce("text", F.lit("")))
+
+
 def _sentence() -> Column:
     return F.element_at(F.array(*map(F.lit, _SENTENCES)), (F.col("doc_id") % len(_SENTENCES) + 1).cast("int"))
 
@@ -596,8 +604,8 @@ def _labels_sql(name: str) -> str:
     return joined if default is None else f"coalesce(nullif({joined}, ''), '{default}')"
 
 
-_RULES = f"""src AS (SELECT doc_id, text, list_extract({_quoted(_SENTENCES)}, CAST(doc_id % {len(_SENTENCES)} + 1 AS INTEGER)) || '. ' || coalesce(text, '') AS raw FROM documents),
-txt AS (SELECT doc_id, regexp_replace(raw, '[^\\x00-\\x7F]', 'x', 'g') AS t, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', 'x', 'g') AS body FROM src),
+_RULES = f"""src AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '{_HEADINGS}' ELSE '' END || coalesce(text, '') AS text, list_extract({_quoted(_SENTENCES)}, CAST(doc_id % {len(_SENTENCES)} + 1 AS INTEGER)) AS title FROM documents),
+txt AS (SELECT doc_id, regexp_replace(title || '. ' || text, '[^\\x00-\\x7F]', 'x', 'g') AS t, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS body FROM src),
 hit AS (SELECT doc_id, t, body, len(regexp_extract_all(t, {_re_sql(patterns.QUANTITATIVE)})) AS quant, len(regexp_extract_all(t, {_re_sql(patterns.QUALITATIVE)})) AS qual FROM txt),
 rules AS (SELECT doc_id, t, body, NOT {_holds_sql(patterns.NON_SCIENTIFIC)} AS rule_is_scientific, CASE WHEN {_holds_sql(patterns.EMPIRICAL)} THEN true WHEN {_holds_sql(patterns.NON_EMPIRICAL)} THEN false END AS rule_is_empirical,
   CASE WHEN {_holds_sql(patterns.REVIEW)} THEN 'review' WHEN {_holds_sql(patterns.MIXED)} THEN 'mixed' WHEN qual > quant THEN 'qualitative' WHEN quant > qual THEN 'quantitative' WHEN quant > 0 THEN 'mixed' END AS rule_methodology FROM hit)"""
@@ -605,7 +613,7 @@ rules AS (SELECT doc_id, t, body, NOT {_holds_sql(patterns.NON_SCIENTIFIC)} AS r
 
 @query(f"WITH {_RULES} SELECT doc_id, rule_methodology AS methodology FROM rules")
 def rule_methodology(spark, d):
-    body = F.concat(_sentence(), F.lit(". "), F.coalesce("text", F.lit("")))
+    body = F.concat(_sentence(), F.lit(". "), _abstract())
     return table(spark, d, "documents").select("doc_id", labels.methodology(body).alias("methodology"))
 
 
@@ -613,7 +621,7 @@ def rule_methodology(spark, d):
   {_labels_sql("sdoh_domain")} <> 'none' AS sdoh_focus FROM rules""")
 def rule_labels_full(spark, d):
     """The whole battery of rules and dictionaries over every text, under a title that some of them know."""
-    docs = table(spark, d, "documents").select("doc_id", _sentence().alias("title"), F.col("text").alias("abstract"))
+    docs = table(spark, d, "documents").select("doc_id", _sentence().alias("title"), _abstract().alias("abstract"))
     found = labels.rule_labels(docs).drop("title", "abstract")
     return found.withColumns({name: F.array_join(name, "|") for name, (_, several, _) in patterns.DICTIONARIES.items() if several})
 
@@ -625,7 +633,7 @@ _TYPE_SQL = "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enu
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("doc_id") % 7 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", _sentence().alias("title"), F.col("text").alias("abstract"), kind.alias("doc_type_raw"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("x"))).alias("mesh_terms"))
+    return table(spark, d, "documents").select("doc_id", _sentence().alias("title"), _abstract().alias("abstract"), kind.alias("doc_type_raw"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("x"))).alias("mesh_terms"))
 
 
 _META = "WITH d AS (SELECT doc_id, " + _TYPE_SQL + " AS t FROM documents), g AS (SELECT doc_id, " + _TAGS + " AS tags FROM d), m AS (SELECT doc_id, tags, CASE WHEN len(tags) > 0 THEN NOT list_has_any(tags, ['" + "', '".join(patterns.NON_SCIENTIFIC_TAGS) + "']) END AS meta_is_scientific, CASE " + " ".join(f"WHEN list_contains(tags, '{t}') THEN {str(e).lower()}" for t, e, _ in patterns.TAG_PRIORITY) + " END AS meta_is_empirical, CASE " + " ".join(f"WHEN list_contains(tags, '{t}') THEN '{m}'" for t, _, m in patterns.TAG_PRIORITY if m) + " END AS meta_methodology, CASE WHEN doc_id % 3 = 0 THEN 'medline' WHEN len(tags) > 0 THEN 'provider_type' END AS meta_source FROM g)"
@@ -666,6 +674,13 @@ def composite_decision(spark, d):
     return _decided(spark, d).select("doc_id", "label_is_scientific", "label_source_is_scientific", "label_is_empirical", "label_source_is_empirical", "label_methodology", "label_source_methodology", "is_scientific", "is_empirical", "methodology", "cls_backend", "cls_confidence")
 
 
+@query(f"{_COMPOSITE} SELECT doc_id, review_type, CASE WHEN structured THEN 'empirical' END AS structure FROM ev")
+def evidence_signals(spark, d):
+    """What document types and abstracts say by themselves: the kind of review, and headings of an empirical abstract."""
+    body = F.coalesce("abstract", F.lit(""))
+    return _typed(spark, d).select("doc_id", labels.review_signal(F.col("doc_type_raw"), body).alias("review_type"), labels.structured_abstract_signal(body).alias("structure"))
+
+
 _STAGED = "l AS (" + " UNION ALL ".join(f"SELECT '{s}' AS stage, label_source_{s} AS source, CAST(label_{s} AS VARCHAR) AS label FROM lab" for s in labels.STAGES) + ")"
 
 
@@ -728,6 +743,12 @@ def holdout_split(spark, d):
     return validation.holdout(table(spark, d, "documents").select("doc_id"), key="doc_id")
 
 
+@query(f"SELECT doc_id, CAST(row_number() OVER (ORDER BY {_LOT}, doc_id) AS INTEGER) AS row, CASE WHEN row_number() OVER (ORDER BY {_LOT}, doc_id) <= 20 THEN 'calibration' ELSE 'main' END AS batch FROM (SELECT DISTINCT doc_id FROM labels)")
+def coder_order(spark, d):
+    """A sample for coders in a fixed chance order, the first 20 for calibration."""
+    return validation.shuffled(table(spark, d, "labels").select("doc_id").distinct(), 20, key="doc_id")
+
+
 _CODERS = "c AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE CAST(quality AS VARCHAR) END AS a, CASE WHEN doc_id % 5 = 0 THEN CAST(toxic AS VARCHAR) ELSE CAST(quality AS VARCHAR) END AS b FROM labels)"
 
 
@@ -899,7 +920,7 @@ def _payloads(spark: SparkSession, d: str, fields: str) -> DataFrame:
 
 @query("""SELECT 'openalex' AS source, 'W' || doc_id AS source_id, CASE WHEN doc_id % 2 = 0 THEN '10.1000/a' || doc_id END AS doi, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) END AS pmid, coalesce(source, '') AS title, coalesce(lang, '') AS journal_raw,
   CAST(n_chars % 30 + 1990 AS INTEGER) AS year, CASE WHEN lang IS NULL OR lang = '' THEN 1 ELSE 2 END AS n_authors, CASE WHEN doc_id % 5 > 0 THEN n_chars % 7 END AS cited_by_count, 'a b a' || CASE WHEN source IS NULL THEN '' ELSE ' ' || source END AS abstract FROM documents""")
-def openalex_records(spark, d):
+def provider_openalex(spark, d):
     made = _payloads(spark, d, """named_struct('id', concat('https://openalex.org/W', i), 'doi', if(i % 2 = 0, concat('https://doi.org/10.1000/A', i), null), 'ids', named_struct('pmid', if(i % 3 = 0, concat('https://pubmed.ncbi.nlm.nih.gov/', i), null)),
       'display_name', concat(' ', source, ' '), 'publication_year', y, 'type', 'article', 'primary_location', named_struct('source', named_struct('display_name', lang)), 'cited_by_count', if(i % 5 > 0, n_chars % 7, null),
       'abstract_inverted_index', map_concat(map('b', array(1), 'a', array(0, 2)), if(source is null, map(), map(source, array(3)))),
@@ -910,7 +931,7 @@ def openalex_records(spark, d):
 
 @query("""SELECT 'europepmc' AS source, CAST(doc_id AS VARCHAR) AS source_id, '10.1000/a' || doc_id AS doi, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) END AS pmid, 'On ' || coalesce(source, 'it') AS title, coalesce(lang, '') AS journal_raw,
   CASE WHEN doc_id % 4 > 0 THEN CAST(n_chars % 30 + 1990 AS INTEGER) END AS year, 2 AS n_authors, n_chars % 7 AS cited_by_count, 'A b' AS abstract FROM documents""")
-def europepmc_records(spark, d):
+def provider_europepmc(spark, d):
     made = _payloads(spark, d, """named_struct('id', string(i), 'source', 'MED', 'pmid', if(i % 3 = 0, string(i), ''), 'doi', concat('10.1000/A', i), 'title', concat('On ', coalesce(source, 'it'), '.'), 'abstractText', '<h4>A</h4>b', 'pubYear', if(i % 4 > 0, string(y), 'n.d.'),
       'journalInfo', named_struct('journal', named_struct('title', lang)), 'citedByCount', n_chars % 7, 'authorList', named_struct('author', array(named_struct('firstName', 'A', 'lastName', 'B', 'collectiveName', cast(null as string)), named_struct('firstName', cast(null as string), 'lastName', cast(null as string), 'collectiveName', 'G'), named_struct('firstName', '', 'lastName', '', 'collectiveName', '')))) """)
     out = mappings.europepmc(mappings.parsed(made, mappings.EUROPEPMC)).select(*_RECORD)
@@ -919,7 +940,7 @@ def europepmc_records(spark, d):
 
 @query("""SELECT 'scopus' AS source, CAST(doc_id AS VARCHAR) AS source_id, '10.1000/a' || doc_id AS doi, CAST(NULL AS VARCHAR) AS pmid, coalesce(source, '') AS title, coalesce(lang, '') AS journal_raw, CASE WHEN doc_id % 4 > 0 THEN CAST(n_chars % 30 + 1990 AS INTEGER) END AS year,
   CAST(doc_id % 6 AS INTEGER) AS n_authors, n_chars % 7 AS cited_by_count, 'x' AS abstract FROM documents""")
-def scopus_records(spark, d):
+def provider_scopus(spark, d):
     made = _payloads(spark, d, """named_struct('dc:identifier', concat('SCOPUS_ID:', i), 'prism:doi', concat('doi:10.1000/A', i), 'dc:title', source, 'dc:description', ' x ', 'prism:publicationName', lang, 'prism:coverDate', if(i % 4 > 0, concat(y, '-05-06'), null),
       'author-count', named_struct('@total', string(i % 6)), 'citedby-count', string(n_chars % 7))""")
     out = mappings.scopus(mappings.parsed(made, mappings.SCOPUS)).select(*_RECORD)
@@ -928,7 +949,7 @@ def scopus_records(spark, d):
 
 @query("""SELECT 'wos' AS source, 'W' || doc_id AS source_id, '10.1000/a' || doc_id AS doi, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) END AS pmid, coalesce(source, '') AS title, coalesce(lang, '') AS journal_raw, CAST(n_chars % 30 + 1990 AS INTEGER) AS year,
   1 AS n_authors, n_chars % 7 AS cited_by_count, '' AS abstract FROM documents""")
-def wos_records(spark, d):
+def provider_wos(spark, d):
     made = _payloads(spark, d, """named_struct('uid', concat('W', i), 'title', source, 'source', named_struct('publishYear', y, 'sourceTitle', lang), 'identifiers', named_struct('doi', concat('10.1000/A', i), 'pmid', if(i % 3 = 0, concat('MEDLINE:', i), null)),
       'names', named_struct('authors', array(named_struct('displayName', 'N'))), 'citations', array(named_struct('db', 'X', 'count', 99), named_struct('db', 'WOS', 'count', n_chars % 7)))""")
     out = mappings.wos(mappings.parsed(made, mappings.WOS)).select(*_RECORD)
@@ -937,7 +958,7 @@ def wos_records(spark, d):
 
 @query("""SELECT 'pubmed' AS source, CAST(doc_id // 2 AS VARCHAR) AS source_id, '10.1000/a' || (doc_id // 2) AS doi, CAST(doc_id // 2 AS VARCHAR) AS pmid, 'On suicide rates.' AS title, 'J' || (doc_id // 2) AS journal_raw, 1998 AS year, 2 AS n_authors,
   'Methods: We did.' || repeat(' more', CAST(max(doc_id % 2) AS INTEGER)) AS abstract FROM documents GROUP BY doc_id // 2""")
-def pubmed_reparsed(spark, d):
+def provider_pubmed(spark, d):
     """Cached XML of two versions of each article; the fuller one stays."""
     xml = """concat('<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID Version="1">', doc_id div 2, '</PMID><Article><Journal><JournalIssue><PubDate><MedlineDate>1998 Nov-Dec</MedlineDate></PubDate></JournalIssue><Title>J', doc_id div 2, '</Title></Journal>',
       '<ArticleTitle>On <i>suicide</i> rates.</ArticleTitle><Abstract><AbstractText Label="METHODS">We did.', if(doc_id % 2 = 1, ' more', ''), '</AbstractText></Abstract><AuthorList><Author><LastName>Doe</LastName><ForeName>Jo</ForeName></Author><Author><CollectiveName>G</CollectiveName></Author></AuthorList></Article></MedlineCitation>',
