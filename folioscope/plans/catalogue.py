@@ -343,6 +343,51 @@ def inverted_index_text(spark, d):
     return index.select("doc_id", F.sha2(text.linear_text(F.col("inverted")), 256).alias("linear_sha256"), F.size("inverted").alias("n_entries"))
 
 
+_FOCUS = ("Suicide in youth", "Deliberate self harm", "SELF-POISONING", "Cells and genes", "", "A parasuicide unit")
+_MAJOR = ("Suicide", "Adult", None)
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_FOCUS)) + " END, '(?i)\\bsuicid|self[-\\s]?harm|self[-\\s]?injur|parasuicide|self[-\\s]?poison') OR coalesce(CASE doc_id % 3 WHEN 0 THEN 'Suicide' WHEN 1 THEN 'Adult' END = 'Suicide', false) THEN 'focused' ELSE 'peripheral' END AS focus FROM documents")
+def topic_focus(spark, d):
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", text.topic_focus(pick(_FOCUS), F.array(pick(_MAJOR))).alias("focus"))
+
+
+@query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN CAST(n_chars % 30 + 1990 AS VARCHAR) WHEN doc_id % 8 = 0 THEN ' ' END AS y, CASE doc_id % 5 WHEN 0 THEN 'Mar' WHEN 1 THEN '7' WHEN 2 THEN 'November' WHEN 3 THEN 'Spring' END AS m, CASE WHEN doc_id % 3 = 0 THEN '4' END AS dd, CASE WHEN doc_id % 2 = 0 THEN 'Winter 1998-1999' ELSE 'n.d.' END AS free FROM documents)
+SELECT doc_id, CASE WHEN nullif(trim(y), '') IS NOT NULL THEN y || '-' || CASE m WHEN 'Mar' THEN '03' WHEN '7' THEN '07' WHEN 'November' THEN '11' ELSE '01' END || '-' || lpad(coalesce(dd, '01'), 2, '0') WHEN free LIKE '%1998%' THEN '1998' END AS published FROM t""")
+def publication_date(spark, d):
+    i = F.col("doc_id")
+    y = F.when(i % 4 > 0, (F.col("n_chars") % 30 + 1990).cast("string")).when(i % 8 == 0, " ")
+    m = F.when(i % 5 == 0, "Mar").when(i % 5 == 1, "7").when(i % 5 == 2, "November").when(i % 5 == 3, "Spring")
+    free = F.when(i % 2 == 0, "Winter 1998-1999").otherwise("n.d.")
+    return table(spark, d, "documents").select("doc_id", text.publication_date(y, m, F.when(i % 3 == 0, "4"), free).alias("published"))
+
+
+@query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'https://orcid.org/0000-0001-2345-' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') WHEN doc_id % 3 = 1 THEN '0000-0002-1825-009X' END AS raw, CASE doc_id % 4 WHEN 0 THEN ' NaN ' WHEN 1 THEN 'None' WHEN 2 THEN lang ELSE '' END AS v, doc_id % 5 AS k, lang FROM documents)
+SELECT doc_id, CASE WHEN raw LIKE 'https%' THEN substring(raw, 19) ELSE raw END AS orcid, CASE WHEN doc_id % 4 = 2 THEN v END AS cleaned, CASE WHEN k < 2 THEN coalesce(CAST(lang AS VARCHAR), 'uncertain') ELSE 'uncertain' END AS answered FROM t""")
+def field_values(spark, d):
+    """ORCIDs from addresses, texts that mean nothing, and a field out of a model's prose."""
+    i = F.col("doc_id")
+    raw = F.when(i % 3 == 0, F.concat(F.lit("https://orcid.org/0000-0001-2345-"), F.lpad((i % 10_000).cast("string"), 4, "0"))).when(i % 3 == 1, "0000-0002-1825-009X")
+    v = F.when(i % 4 == 0, " NaN ").when(i % 4 == 1, "None").when(i % 4 == 2, F.col("lang")).otherwise("")
+    said = F.concat(F.lit("Sure: "), F.to_json(F.struct("lang")), F.lit(" as asked"))
+    prose = F.when(i % 5 < 2, said).when(i % 5 == 2, "no object").when(i % 5 == 3, "{broken").otherwise('{"other": 1}')
+    return table(spark, d, "documents").select("doc_id", text.orcid(raw).alias("orcid"), text.cleaned(v).alias("cleaned"), text.model_answer(prose, "lang").alias("answered"))
+
+
+@query("""WITH t AS (SELECT c_custkey, c_custkey % 4 AS k FROM customer)
+SELECT c_custkey, CASE k WHEN 0 THEN 'Ann Marie Smith' WHEN 1 THEN 'Jose Garcia' WHEN 2 THEN 'O''Neil J R' ELSE '' END AS shown, CASE k WHEN 0 THEN 'smith' WHEN 1 THEN 'garcia' WHEN 2 THEN 'r' ELSE '' END AS author_key,
+  CASE WHEN c_custkey % 3 = 0 THEN 'doi:10.1/' || c_custkey WHEN c_custkey % 5 = 0 THEN 'pmid:' || c_custkey ELSE 'sig:abc' END AS record_id FROM t""")
+def names_and_ids(spark, d):
+    """Author names in one form, the first author's key, and the identifier that stands for a record."""
+    i = F.col("c_custkey")
+    name = F.when(i % 4 == 0, "SMITH, Ann  Marie").when(i % 4 == 1, "José García").when(i % 4 == 2, "o'neil J. R.").otherwise("")
+    authors = F.array(F.struct(F.lit("").alias("name")), F.struct(name.alias("name")))
+    key = text.first_author_key(F.transform(authors, lambda a: F.struct(text.normalize_author(a["name"]).alias("name"))))
+    ids = text.record_id(F.when(i % 3 == 0, F.concat(F.lit("10.1/"), i.cast("string"))).otherwise(""), F.when(i % 5 == 0, i.cast("string")), F.lit("abc"))
+    return table(spark, d, "customer").select("c_custkey", text.normalize_author(name).alias("shown"), key.alias("author_key"), ids.alias("record_id"))
+
+
 # --- linkage over documents
 
 @query("SELECT min(doc_id) AS cluster, count(*) AS n_merged, string_agg(DISTINCT source, '+' ORDER BY source) AS source FROM documents GROUP BY text")
@@ -749,6 +794,15 @@ def coder_order(spark, d):
     return validation.shuffled(table(spark, d, "labels").select("doc_id").distinct(), 20, key="doc_id")
 
 
+@query("""WITH RECURSIVE g AS (SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS k FROM (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source)),
+r AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, CAST(NULL AS VARCHAR) AS source, -1 AS fold
+  UNION ALL SELECT g.k, CASE WHEN a <= b AND a <= c THEN a + n ELSE a END, CASE WHEN NOT (a <= b AND a <= c) AND b <= c THEN b + n ELSE b END, CASE WHEN NOT (a <= b AND a <= c) AND NOT b <= c THEN c + n ELSE c END, g.source,
+    CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END FROM r JOIN g ON g.k = r.k + 1)
+SELECT source, fold FROM r WHERE k > 0""")
+def group_folds(spark, d):
+    return validation.folds_by_group(table(spark, d, "documents"), "source", 3)
+
+
 _CODERS = "c AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE CAST(quality AS VARCHAR) END AS a, CASE WHEN doc_id % 5 = 0 THEN CAST(toxic AS VARCHAR) ELSE CAST(quality AS VARCHAR) END AS b FROM labels)"
 
 
