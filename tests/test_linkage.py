@@ -123,3 +123,89 @@ def test_works_of_one_opening_and_unlike_bodies_stay_apart(spark, tmp_path):
     rows += [(2, rows[0][1], "en", "s", 30)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(r["row_id"] for r in catalogue.linkage_works(spark, str(tmp_path)).collect()) == [0, 1]
+
+
+# --- the whole of entity resolution against a plain version
+
+
+def plain_ratio(a, b):
+    a, b = (" ".join(sorted(x.split())) for x in (a, b))
+    row = [0] * (len(b) + 1)
+    for c in a:
+        new = [0]
+        for k, d in enumerate(b):
+            new.append(row[k] + 1 if c == d else max(row[k + 1], new[k]))
+        row = new
+    return 100.0 * 2 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+
+def plain_works(records):
+    """(row_id, doi, pmid) of the works, by nested loops over records of one provider with plain titles."""
+    parent = {r["row_id"]: r["row_id"] for r in records}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in records:
+        for b in records:
+            bare = not any((a["doi"], a["pmid"], b["doi"], b["pmid"])) and all(a[k] == b[k] for k in ("title", "year", "journal_raw"))
+            if bare or (a["doi"] and a["doi"] == b["doi"]) or (a["pmid"] and a["pmid"] == b["pmid"]):
+                x, y = sorted((root(a["row_id"]), root(b["row_id"])))
+                parent[y] = x
+    merged = []
+    for x in sorted({root(r["row_id"]) for r in records}):
+        own = sorted((r for r in records if root(r["row_id"]) == x), key=lambda r: r["row_id"])
+        merged.append({k: next((r[k] for r in own if r[k]), None) for k in own[0]} | {"row_id": x})
+    stops = ("the", "a", "an", "of", "and", "in", "on", "for", "to", "with")
+
+    def block(r):
+        telling = [w for w in r["title"].lower().split() if len(w) > 2 and w not in stops]
+        return r["year"], telling[0][:6] if telling else "_"
+
+    group = {r["row_id"]: r["row_id"] for r in merged}
+    ids = {r["row_id"]: ({r["doi"]} - {None}, {r["pmid"]} - {None}) for r in merged}
+    for i, a in enumerate(merged):
+        for b in merged[i + 1 :]:
+            x, y = a["title"].lower(), b["title"].lower()
+            if block(a) != block(b) or min(len(x), len(y)) < 15 or plain_ratio(x, y) < 90 or any(a[k] and b[k] and a[k] != b[k] for k in ("doi", "pmid")):
+                continue
+            if a["issn_l"] and b["issn_l"]:
+                sure = a["issn_l"] == b["issn_l"]
+            elif a["journal_raw"] and b["journal_raw"]:
+                sure = plain_ratio(a["journal_raw"].lower(), b["journal_raw"].lower()) >= 88
+            else:
+                sure = True
+            p, q = (min(k for k in group if group[k] == group[r["row_id"]]) for r in (a, b))
+            joined = tuple(s | t for s, t in zip(ids[p], ids[q]))
+            if sure and p != q and all(len(s) <= 1 for s in joined):
+                p, q = min(p, q), max(p, q)
+                ids[p] = joined
+                group = {k: p if g == q else g for k, g in group.items()}
+    out = []
+    for p in sorted(set(group.values())):
+        own = [r for r in merged if group[r["row_id"]] == p]
+        out.append((p, next((r["doi"] for r in own if r["doi"]), None), next((r["pmid"] for r in own if r["pmid"]), None)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_deduplicate_against_a_plain_version(frame, seed):
+    import random
+
+    rng = random.Random(seed)
+    words = ["risk", "youth", "care", "means", "study", "trial", "cohort", "rates"]
+    bases = [" ".join(rng.choice(words) for _ in range(rng.randint(2, 6))) for _ in range(12)]
+    records = []
+    for k in range(90):
+        title = rng.choice(bases)
+        if rng.random() < 0.4:
+            title += rng.choice((" a", "s", " x y", " again"))
+        records.append({
+            "row_id": f"r{k:02d}", "title": title, "year": rng.choice((2000, 2001)), "journal_raw": rng.choice(("Journal of Things", "Journal of Thing", "Other Letters", None)),
+            "doi": rng.choice((None, None, None, f"10.1/{k % 30}")), "pmid": rng.choice((None, None, None, None, str(k % 25))), "issn_l": rng.choice((None, None, "1-1", "2-2")),
+        })
+    got, _, _ = works(frame, *(paper(**r) for r in records))
+    want = plain_works([{"authors": None, **r} for r in records])
+    assert sorted((w["row_id"], w["doi"], w["pmid"]) for w in got) == want and len(want) < 80
