@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys that spread_join() deals over many tasks, at most, over how many, and rows that a key must have for it.
 MOST_HOT, SALTS, LEAST_HOT = 1_000, 64, 10_000
+#: Edges that one task joins up by itself, at most; more go through rounds of joins.
+ONE_TASK = 200_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -63,16 +67,38 @@ def _met(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
     return spread_join(many, one, key, total)
 
 
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges of a task."""
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            u, v = root(u), root(v)
+            parent[max(u, v)] = min(u, v)
+    if parent:
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], ["node", "root"])
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each end of an edge (a, b) reaches.
 
     Large-star and small-star by turns: a node's larger neighbours, then its smaller ones, are tied to the smallest it
     knows, until nothing changes. Rounds grow with the logarithm of the graph; only minima are gathered, never a
     node's neighbours, and a hub's edges are dealt over many tasks to meet its minimum. Each round is written to the
-    shared folder, so lineage stays short.
+    shared folder, so lineage stays short. Up to ONE_TASK edges, one task does the same in one go.
     """
     own = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state, n = None, own.count()
+    if n <= ONE_TASK:
+        kind = own.schema["u"].dataType.simpleString()
+        return own.coalesce(1).mapInArrow(_joined_up, f"node {kind}, root {kind}")
     for _ in range(most_rounds):
         both = own.unionByName(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))

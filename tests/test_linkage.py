@@ -92,7 +92,13 @@ def test_large_blocks_are_compared_whole(frame):
     assert not {"x1", "x2"} <= {w["row_id"] for w in got}
 
 
-def test_components(spark):
+@pytest.fixture(params=[200_000, 0])
+def one_task(request, monkeypatch):
+    """Components by one task, and by rounds of joins."""
+    monkeypatch.setattr(graph, "ONE_TASK", request.param)
+
+
+def test_components(spark, one_task):
     edges = [(1, 2), (2, 3), (10, 11), (11, 12), (12, 13), (13, 14), (20, 20)] + [(100, 101 + i) for i in range(50)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in (1, 2, 3)}, **{i: 10 for i in range(10, 15)}, **{100 + i: 100 for i in range(51)}}
