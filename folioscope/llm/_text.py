@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 from folioscope.operators.graph import checkpointed, shared_dir, spread_join
 
-__all__ = ["checkpointed", "crc_mod", "flat", "parts", "pieces", "removed", "rolling", "shared_dir", "splitmix", "spread_join", "text_bytes", "word_hashes", "words"]
+__all__ = ["checkpointed", "crc_mod", "flat", "parts", "pieces", "released", "removed", "rolling", "shared_dir", "splitmix", "spread_join", "text_bytes", "word_hashes", "words"]
 
 #: Bytes of text that one pass of array work covers; bounds the working memory of a Python worker.
 PIECE_BYTES = 2 << 20
@@ -138,6 +138,17 @@ def crc_mod(column, modulus: int):
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def released() -> None:
+    """Gives freed memory of this Python worker back to the system; workers live on from stage to stage."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what it has
+
+
 def removed(spark, path: str) -> None:
     """Deletes a folder that isn't read any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

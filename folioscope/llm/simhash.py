@@ -38,6 +38,8 @@ GROUP = 8_192
 FILL, MOST_AGREE = 64, 4
 #: near_copies(): words of a shingle, similarity, bands of so many least hashes.
 COPY_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 6
+#: Texts, and shingles, of a part of a band; two parts meet in a task.
+CELL_TEXTS, CELL_SHINGLES = 512, 500_000
 
 _REFERENCES = _text.splitmix(np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
@@ -90,6 +92,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words
             for i, j in _text.pieces(offsets, 1 << 19):
                 fp = _majority(*_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(fp.view(np.int64))], ["key", "fp"])
+        _text.released()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp long").select(F.col("key").alias(key), "fp")
@@ -293,6 +296,7 @@ def _mapped(texts: DataFrame, names: tuple[str, ...], schema: str, values) -> Da
                 parts = [np.unique(h[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
                 h, begin = np.concatenate([np.zeros(0, np.uint64), *parts]), np.cumsum([0, *map(len, parts)])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], *values(h, begin)], ["node", *names])
+            _text.released()
 
     return texts.select("node", "text").mapInArrow(run, f"node long, {schema}")
 
@@ -331,15 +335,21 @@ def near_copies(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     `texts` has node (see text_node) and text; nodes may repeat, and texts without words have none. Two texts of
     similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS, 0.9995 at 0.8. So that a large group of
-    copies costs links in proportion, the members of a band are first compared with one of them, twice; what then still
-    holds several components is compared pair by pair, without a limit on its size.
+    copies costs links in proportion, the members of a band are first compared with one of them, twice. What then still
+    holds several components is cut into parts that meet two by two, where each pair is compared and a spanning set of
+    links comes out, never the pairs; there is no limit on a band's size.
     """
-    worded, distance = texts.where("node <> 0"), widest(similarity)
-    signed = _text.checkpointed(_mapped(worded, ("fp", "pivots", "bands"), "fp long, pivots long, bands array<long>", _signed))
-    signed = signed.select(F.struct("node", "fp", "pivots").alias("x"), F.explode("bands").alias("band"))
-    shared = signed.groupBy("band").agg(F.min("x.node").alias("low"), F.max("x.node").alias("high")).where("low < high").select("band")
+    # copies go before anything is joined by node, so that a text with many stands in no task's way
+    worded, distance = texts.where("node <> 0").select("node", "text"), widest(similarity)
+    prints = _text.checkpointed(_mapped(worded, ("fp", "pivots", "bands"), "fp long, pivots long, bands array<long>", _signed).dropDuplicates(["node"]))
+    signed = prints.select("node", F.explode("bands").alias("band"))
+    shared = signed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
     met = _text.checkpointed(signed.join(shared, "band").distinct())
-    held = worded.join(met.select(F.col("x.node").alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"])
+    # from here on only texts that share a band count; their fingerprints come along
+    some = met.select("node").distinct()
+    known = prints.join(some, "node", "left_semi").select("node", F.struct("node", "fp", "pivots").alias("x"))
+    met = _text.checkpointed(met.join(known, "node").select("band", "x"))
+    held = worded.dropDuplicates(["node"]).join(some, "node", "left_semi")
     sets = _text.checkpointed(_mapped(held, ("shingles",), "shingles array<long>", _listed))
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -348,22 +358,81 @@ def near_copies(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return _text.checkpointed(both.select("a", "b", (common >= similarity * (F.size("s") + F.size("t") - common)).alias("near")))
 
     done, found = None, None
-    for step in ("least", "hashed", "all"):
-        own = met.withColumn("root", F.col("x.node")) if found is None else met.join(found, F.col("x.node") == F.col("node"), "left").select("x", "band", F.coalesce("root", "x.node").alias("root"))
+    for step in ("least", "hashed"):
+        own = _rooted(met, found)
         hub = F.min_by(F.struct("x", "root"), F.col("x.node") if step == "least" else F.xxhash64("x.node")).alias("hub")
         mixed = own.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub).where("low < high")
-        if step == "all":
-            open_ = own.join(mixed.select("band"), "band", "left_semi")
-            pairs = open_.select("band", "x", "root").join(open_.select("band", F.col("x").alias("y"), F.col("root").alias("other")), "band").where("x.node < y.node and root <> other")
-        else:
-            pairs = own.join(mixed.select("band", F.col("hub.x").alias("y"), F.col("hub.root").alias("other")), "band").where("root <> other")
+        pairs = own.join(mixed.select("band", F.col("hub.x").alias("y"), F.col("hub.root").alias("other")), "band").where("root <> other")
         pairs = pairs.where(_can_be("x", "y", distance)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         new = compared(pairs)
         done = new if done is None else done.unionByName(new)
-        found = components(done.where("near").select("a", "b"))
-    return found
+        found = _text.checkpointed(components(done.where("near").select("a", "b")))
+    rest = _text.checkpointed(_cell_links(_rooted(met, found), sets, similarity, distance))
+    if rest.isEmpty():
+        return found
+    return components(done.where("near").select("a", "b").unionByName(rest))
+
+
+def _rooted(met: DataFrame, found: DataFrame | None) -> DataFrame:
+    """met (band, x) with the root that each text has so far."""
+    if found is None:
+        return met.withColumn("root", F.col("x.node"))
+    return met.join(found, F.col("x.node") == F.col("node"), "left").select("band", "x", F.coalesce("root", "x.node").alias("root"))
+
+
+def _cell_links(own: DataFrame, sets: DataFrame, similarity: float, distance: int) -> DataFrame:
+    """(a, b): links that join what the texts of a band still join, for bands that hold several components."""
+    light = own.select("band", "x.node", "x.fp", "root").join(sets.select("node", F.size("shingles").alias("size")), "node")
+    mixed = light.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("texts"), F.sum("size").alias("shingles")).where("low < high")
+    mixed = mixed.select("band", F.greatest(F.ceil(F.col("texts") / CELL_TEXTS), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("int").alias("cuts"))
+    parts = light.drop("size").join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    cells = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    # the sets come last, so that only those of mixed bands travel, and once
+    cells = cells.select("band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "fp", "root").join(sets, "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, part = (table.column(c).to_numpy() for c in ("node", "root", "part"))
+        fp = table.column("fp").to_numpy().view(np.uint64)
+        lists = table.column("shingles").combine_chunks()
+        flat, at = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        apart = root[:, None] != root[None, :]
+        if table.column("p")[0] != table.column("q")[0]:
+            apart &= part[:, None] != part[None, :]
+        # rows of distances, then the fingerprints, rule pairs out
+        pivots = np.bitwise_count(fp[:, None] ^ _REFERENCES[None, :]).astype(np.int8)
+        for k in range(PIVOTS):
+            apart &= np.abs(pivots[:, None, k] - pivots[None, :, k]) <= distance
+        apart &= np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance
+        near = np.triu(apart, 1)
+        if near.any():
+            near &= _alike(flat, at, similarity)
+        a, b = np.nonzero(near)
+        keep = _forest(root[a].tolist(), root[b].tolist())
+        _text.released()
+        return pa.table([pa.array(node[a[keep]]), pa.array(node[b[keep]])], names=["a", "b"])
+
+    return cells.groupBy("band", "p", "q").applyInArrow(run, "a long, b long").distinct()
+
+
+def _alike(flat: np.ndarray, at: np.ndarray, similarity: float, width: int = 4_096) -> np.ndarray:
+    """Which pairs of sets, each a range of `flat`, have that Jaccard similarity; the sets' common elements are counted block by block."""
+    size = np.diff(at)
+    row = np.repeat(np.arange(len(size)), size)
+    _, name, count = np.unique(flat, return_inverse=True, return_counts=True)
+    several = count > 1
+    name = np.cumsum(several)[name] - 1, several[name]
+    row, column = row[name[1]], name[0][name[1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(size), len(size)), dtype=np.float32)
+    for low in range(0, int(several.sum()), width):
+        i, j = np.searchsorted(column, (low, low + width))
+        block = np.zeros((len(size), width), dtype=np.float32)
+        block[row[i:j], column[i:j] - low] = 1
+        common += block @ block.T
+    return common >= similarity * (size[:, None] + size[None, :] - common)
 
 
 def hexadecimal(fp):
