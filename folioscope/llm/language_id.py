@@ -93,7 +93,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         for batch in batches:
             data, offsets = _text.flat(batch.column(1))
             langs = batch.column(0).to_pylist()
-            for i, j in _text.pieces(offsets, 1 << 20):
+            for i, j in _text.pieces(offsets, 1 << 18):
                 grams, starts = _grams(_strings(data, offsets, i, j), buckets)
                 cuts = [*starts.tolist(), len(grams)]
                 for k in range(j - i):
@@ -102,6 +102,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         for name, own in total.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number[name], np.int32)), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], ["lang", "bucket", "n"])
+        _text.released()
 
     counted = sample.select("lang", "text").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     where, bucket, n = (counted.column(c).to_numpy() for c in ("lang", "bucket", "n"))
@@ -124,12 +125,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
         own = sent.value
         for batch in batches:
             data, offsets = _text.flat(batch.column(len(names)))
-            for i, j in _text.pieces(offsets, 1 << 19):
+            for i, j in _text.pieces(offsets, 1 << 17):  # the rows of the matrix that n-grams pick out are a hundred times their text
                 texts = _strings(data, offsets, i, j)
                 langs, score = own.score(texts)
                 letters = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
                 langs = [x if k else UNKNOWN for x, k in zip(langs, letters.tolist())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in range(len(names))), pa.array(langs, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())], [*names, "lang_pred", "score"])
+            _text.released()
 
     out = docs.select(*(F.col(c).alias(n) for n, c in zip(names, keep)), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "lang_pred", "score")

@@ -458,6 +458,7 @@ def find(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...
                     found = all_spans(bytes(data[offsets[d] : offsets[d + 1]]).decode("utf-8", "replace"), sent.value) if holds else []
                     out.append([{"kind": k, "start": a, "end": b, "base": own} for a, b, k, own in found])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in range(len(names))), pa.array(out, struct)], [*names, "spans"])
+        _text.released()
 
     out = docs.select(*(F.col(c).alias(n) for n, c in zip(names, keep)), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{kinds}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "spans")

@@ -219,6 +219,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
             for i, j in _text.pieces(offsets):
                 x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in range(len(names))), pa.array(sent.value.score(x))], [*names, "score"])
+        _text.released()
 
     out = docs.select(*(F.col(c).alias(n) for n, c in zip(names, keep)), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{kinds}, score double")
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "score")
