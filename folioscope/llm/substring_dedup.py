@@ -30,7 +30,7 @@ from folioscope.llm import _text
 
 WINDOW = 50
 #: Bytes of text in a chunk, and hashes in a range, about. Larger ones mean fewer, longer rows; memory of a task grows with either.
-CHUNK_BYTES, RANGE_HASHES = 6 << 20, 2_000_000
+CHUNK_BYTES, RANGE_HASHES = 4 << 20, 2_000_000
 #: Ranges that a chunk's hashes are cut into, at most.
 FAN = 1_024
 
@@ -395,15 +395,37 @@ def _dedup(docs: DataFrame, text: str, key: str, window: int, text_out: bool, ke
     chunk = F.pmod(F.when(F.col("key").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("key")), F.lit(chunks)).cast("int")
     # all passes read the same columns, so that they read one shuffle
     rows = own.select(F.coalesce("key", F.lit(_LAST)).alias("id"), F.col("key").isNotNull().alias("real"), "text", chunk.alias("chunk"), *names)
-    packed = rows.groupBy("chunk").applyInArrow(lambda t: _anchors(t, block, ranges), _PACKED)
+    packed = rows.groupBy("chunk").applyInArrow(_one(lambda t: _anchors(t, block, ranges)), _PACKED)
     answered = _answered(packed, ranges, lambda t: _merged_anchors(t, ranges), lambda t: _answer_anchors(t, ranges), lambda a, b: _routed_anchors(a, b, ranges))
-    found = rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(lambda a, b: _windows(a, b, window, block, ranges, few), _PACKED)
+    found = rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_two(lambda a, b: _windows(a, b, window, block, ranges, few)), _PACKED)
     judged = _answered(found, few, lambda t: _merged_windows(t, few), _answer_windows, _routed_windows)
     carried = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    out = rows.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(lambda a, b: _cover(a, b, window, text_out, whole), f"id long, real boolean, n_words long, n_removed long, kept string{carried}")
+    out = rows.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(_two(lambda a, b: _cover(a, b, window, text_out, whole)), f"id long, real boolean, n_words long, n_removed long, kept string{carried}")
     return out.select(F.when(F.col("real"), F.col("id")).alias(key), "n_words", "n_removed", F.col("kept").alias("kept_text" if text_out else "kept_sha256"), *(F.col(n).alias(c) for c, n in zip(keep, names)))
 
 
+def _one(work):
+    """`work` over a table, after which the worker's freed memory goes back."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = work(t)
+        _text.released()
+        return out
+
+    return run
+
+
+def _two(work):
+    """_one() for a pair of tables."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = work(a, b)
+        _text.released()
+        return out
+
+    return run
+
+
 def _answered(packed: DataFrame, ranges: Ranges, merge, answer, route) -> DataFrame:
     """Each chunk's rows answered range by range, through merged lots of chunks where ranges are cut twice."""
     if ranges.fine == 1:
