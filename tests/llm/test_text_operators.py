@@ -14,6 +14,7 @@ from plain import prose, words
 from pyspark.sql import functions as F
 
 from folioscope.llm import _text, fingerprints, quality_rules, simhash, substring_dedup
+from folioscope.operators import graph
 
 
 def rows(df, key="doc_id"):
@@ -152,7 +153,13 @@ def brute_components(fp, distance=4):
     return {i: root(i) for i in ids}
 
 
-def test_simhash(docs, corpus, empty):
+@pytest.fixture(params=[200_000, 0])
+def one_task(request, monkeypatch):
+    """Components by one task, and by rounds of joins."""
+    monkeypatch.setattr(graph, "ONE_TASK", request.param)
+
+
+def test_simhash(docs, corpus, empty, one_task):
     got = rows(simhash.near_duplicates(docs).withColumn("hex", simhash.hexadecimal(F.col("fp"))))
     fp = {i: brute_fingerprint(t) for i, t in corpus}
     assert {i: r["hex"] for i, r in got.items()} == {i: f"{x:016x}" for i, x in fp.items()}
@@ -246,7 +253,10 @@ def jaccard(a, b):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-def test_near_copies_against_all_pairs(spark):
+@pytest.mark.parametrize("cell", [512, 3])
+def test_near_copies_against_all_pairs(spark, monkeypatch, cell, one_task):
+    """Small cells force bands into parts that meet two by two."""
+    monkeypatch.setattr(simhash, "CELL_TEXTS", cell)
     rng = random.Random(42)
     texts = []
     for _ in range(60):
@@ -277,6 +287,18 @@ def test_near_copies_against_all_pairs(spark):
     assert linked > 40 and groups(lambda i: got[i]) == groups(lambda i: find(i) if i < len(texts) - 2 else -1)
 
 
+def test_likeness_of_sets_block_by_block():
+    import numpy as np
+
+    rng = random.Random(43)
+    base = rng.sample(range(1 << 40), 60)
+    sets = [sorted(set(base) - set(rng.sample(base, rng.randint(0, 25))) | set(rng.sample(range(1 << 40), rng.randint(0, 9)))) for _ in range(30)]
+    flat, at = np.concatenate([np.array(x) for x in sets]), np.cumsum([0, *map(len, sets)])
+    want = [[len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)) for b in sets] for a in sets]
+    for width in (4_096, 7):
+        assert (np.triu(simhash._alike(flat, at, 0.8, width), 1) == np.triu(np.array(want), 1)).all()
+
+
 # --- rules
 
 
