@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import _text, fingerprints, language_id, packing, pii, quality_gam, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_rollup
+from folioscope.llm import _text, fingerprints, language_id, merkle, packing, pii, quality_gam, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_rollup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,6 +121,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_text.crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what its proof makes of a copy that half of them have tampered with.
+
+    Tampered rows lose the line breaks of their texts. Null fields are `-`; a null doc_id counts as the empty text where
+    tampering is drawn, and comes last in its source; repeated rows are leaves each.
+    """
+    tampered = _text.crc_mod(F.col("doc_id"), 2) == 0
+    found = merkle.manifest(_table(spark, sf_dir, "documents"), changed={"text": F.replace(F.col("text"), F.lit("\n"), F.lit(""))}, where=tampered)
+    found = found.withColumn("folded_root", merkle.folded(F.col("path"), F.coalesce("changed_leaf", "leaf")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_gam": op1_quality_gam,
     "op2_pii": op2_pii,
@@ -132,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_rollup": op9_token_rollup,
     "op10_language_id": op10_language_id,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
