@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import _text, fingerprints, language_id, merkle, packing, pii, quality_gam, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_rollup
+from folioscope.llm import _text, fingerprints, language_id, merkle, packing, pii, quality_gam, quality_rules, sentencepiece_codec, sharding, simhash, substring_dedup, token_rollup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,6 +133,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards whose counts differ by one at most (law `rows`), equal texts together as far as seats allow.
+
+    Null texts are empty ones; rows without a doc_id and repeated rows take a seat each; slots follow a hash of row and text.
+    """
+    found = sharding.shard_documents(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_gam": op1_quality_gam,
     "op2_pii": op2_pii,
@@ -145,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_rollup": op9_token_rollup,
     "op10_language_id": op10_language_id,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_sharding": op12_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
