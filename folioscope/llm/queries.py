@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import _text, fingerprints, language_id, merkle, packing, pii, quality_gam, quality_rules, sentencepiece_codec, sharding, simhash, substring_dedup, token_rollup
+from folioscope.llm import _text, fingerprints, language_id, merkle, packing, pii, point_in_time, quality_gam, quality_rules, sentencepiece_codec, sharding, simhash, substring_dedup, token_rollup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,6 +142,14 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the client of every sale as known at a time after it, over windows of 2 and 14 days, and whether it buys again.
+
+    Sales without client or time are no probes; null amounts are 0; equal clicks count once, repeated lines each.
+    """
+    return point_in_time.features(_table(spark, sf_dir, "clicks"), _table(spark, sf_dir, "sales"), _table(spark, sf_dir, "sale_lines"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_gam": op1_quality_gam,
     "op2_pii": op2_pii,
@@ -155,9 +163,90 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_sharding": op12_sharding,
+    "op13_point_in_time": op13_point_in_time,
 }
 
+#: crc32 of a short text in SQL: the table of bytes, then a step for each byte.
+_CRC_TABLE = """crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i)
+)"""
+
+
+def _crc(text: str) -> str:
+    """SQL of the unsigned crc32 of a text of ASCII characters; `crc` must stand in FROM."""
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": rf"""
+WITH RECURSIVE {_CRC_TABLE}, d AS (
+  SELECT doc_id, source, text, replace(text, chr(10), '') AS bare, {_crc("CAST(doc_id AS VARCHAR)")} % 2 = 0 AS tampered,
+         strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM documents, crc
+), f AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN tampered THEN sha256(head || coalesce(strlen(bare) || ':' || bare, '-')) END AS changed
+  FROM d
+), s AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM f
+), lower_tree AS (
+  SELECT g, 0 AS k, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM s
+  UNION ALL
+  SELECT g, k + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM lower_tree WHERE n > 1 GROUP BY g, k, i // 3
+), upper_tree AS (
+  SELECT 0 AS k, g - 1 AS i, h, count(*) OVER () AS n FROM lower_tree WHERE n = 1
+  UNION ALL
+  SELECT k + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM upper_tree WHERE n > 1 GROUP BY k, i // 3
+), walk AS (
+  SELECT doc_id, g, 0 AS k, i, coalesce(changed, leaf) AS own, '' AS proof FROM s
+  UNION ALL
+  SELECT w.doc_id, w.g, w.k + 1, w.i // 3, sha256(coalesce(x.l, '') || w.own || coalesce(x.r, '')), w.proof || coalesce(x.l, '') || coalesce(x.r, '')
+  FROM walk w JOIN (
+    SELECT a.g, a.k, a.i, string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i) AS l, string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i) AS r
+    FROM lower_tree a JOIN lower_tree b ON a.g = b.g AND a.k = b.k AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY a.g, a.k, a.i
+  ) x ON w.g = x.g AND w.k = x.k AND w.i = x.i
+), entered AS (
+  SELECT w.doc_id, w.g, w.own, w.proof FROM walk w JOIN lower_tree t ON t.g = w.g AND t.k = w.k AND t.i = w.i AND t.n = 1
+), climb AS (
+  SELECT doc_id, 0 AS k, g - 1 AS i, own, proof FROM entered
+  UNION ALL
+  SELECT w.doc_id, w.k + 1, w.i // 3, sha256(coalesce(x.l, '') || w.own || coalesce(x.r, '')), w.proof || coalesce(x.l, '') || coalesce(x.r, '')
+  FROM climb w JOIN (
+    SELECT a.k, a.i, string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i) AS l, string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i) AS r
+    FROM upper_tree a JOIN upper_tree b ON a.k = b.k AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY a.k, a.i
+  ) x ON w.k = x.k AND w.i = x.i
+), top AS (SELECT k, h FROM upper_tree WHERE n = 1)
+SELECT s.doc_id, s.leaf, t.h AS subroot, top.h AS root, sha256(c.proof) AS proof_sha256, c.own AS folded_root, c.own = top.h AS verified
+FROM s JOIN lower_tree t ON t.g = s.g AND t.n = 1 CROSS JOIN top JOIN climb c ON c.doc_id = s.doc_id AND c.k = top.k""",
+    "op13_point_in_time": rf"""
+WITH {_CRC_TABLE}, s AS (
+  SELECT sale_id, client_id, epoch_us(sold_at) AS tm, greatest(epoch_us(sold_at), epoch_us(arrived_at) + 14400000000) AS seen, coalesce(CAST(floor(100 * total + 0.5) AS BIGINT), 0) AS cents,
+         epoch_us(sold_at) + {_crc("CAST(sale_id AS VARCHAR)")} % 259200 * 1000000 AS t_us
+  FROM sales, crc WHERE client_id IS NOT NULL AND sold_at IS NOT NULL
+), c AS (
+  SELECT click_id, client_id, kind, epoch_us(ts) AS tm, greatest(epoch_us(ts), epoch_us(arrived_at) + 14400000000) AS seen, coalesce(CAST(floor(100 * value + 0.5) AS BIGINT), 0) AS cents
+  FROM (SELECT DISTINCT * FROM clicks) WHERE client_id IS NOT NULL AND ts IS NOT NULL AND arrived_at IS NOT NULL
+), l AS (
+  SELECT s.client_id, s.tm, greatest(s.seen, epoch_us(x.shipped_at)) AS seen, x.item_id, coalesce(CAST(floor(100 * x.amount + 0.5) AS BIGINT), 0) AS cents
+  FROM sale_lines x JOIN s ON x.sale_id = s.sale_id WHERE x.shipped_at IS NOT NULL
+), p AS (
+  SELECT row_number() OVER () AS r, sale_id, client_id, t_us, CAST(d AS INTEGER) AS d, t_us - d * 86400000000 AS since FROM s, (VALUES (2), (14)) AS w(d)
+), fc AS (
+  SELECT r, count(*) AS n_clicks, count(*) FILTER (kind = 'purchase') AS n_purchases, sum(cents) AS click_cents, arg_max(click_id, row(tm, click_id)) AS last_click_id
+  FROM p JOIN c ON c.client_id = p.client_id AND c.tm > p.since AND c.seen <= p.t_us GROUP BY r
+), fs AS (
+  SELECT r, count(*) AS n_sales, sum(cents) AS sale_cents FROM p JOIN s ON s.client_id = p.client_id AND s.tm > p.since AND s.seen <= p.t_us GROUP BY r
+), fl AS (
+  SELECT r, count(*) AS n_lines, count(DISTINCT item_id) AS n_items, sum(cents) AS line_cents FROM p JOIN l ON l.client_id = p.client_id AND l.tm > p.since AND l.seen <= p.t_us GROUP BY r
+), fn AS (
+  SELECT DISTINCT r FROM p JOIN s ON s.client_id = p.client_id AND s.tm > p.t_us AND s.tm <= p.t_us + 604800000000
+)
+SELECT sale_id, d, t_us, fn.r IS NOT NULL AS label, coalesce(n_clicks, 0) AS n_clicks, coalesce(n_purchases, 0) AS n_purchases, CAST(coalesce(click_cents, 0) AS BIGINT) AS click_cents,
+       last_click_id, coalesce(n_sales, 0) AS n_sales, CAST(coalesce(sale_cents, 0) AS BIGINT) AS sale_cents, coalesce(n_lines, 0) AS n_lines, coalesce(n_items, 0) AS n_items,
+       CAST(coalesce(line_cents, 0) AS BIGINT) AS line_cents
+FROM p LEFT JOIN fc USING (r) LEFT JOIN fs USING (r) LEFT JOIN fl USING (r) LEFT JOIN fn USING (r)""",
     "op5_quality_rules": r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
