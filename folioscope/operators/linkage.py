@@ -6,12 +6,14 @@ compares titles inside blocks of year and first telling word, and merges what a
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import similarity, text
-from folioscope.operators import graph
+from folioscope.operators import candidates, graph
+from folioscope.operators.candidates import block_pairs
+
+__all__ = ["block_pairs", "candidate_pairs", "corroborated", "deduplicate", "fuzzy_clusters", "fuzzy_matches", "identifier_clusters", "scored_pairs", "survivors"]
 
 # Thresholds and the order in which providers are trusted, field by field.
 AUTO_ACCEPT, REVIEW_FROM, VENUE_AGREES, LEAST_TITLE, LARGEST_BLOCK = 90.0, 80.0, 88.0, 15, 400
@@ -46,8 +48,9 @@ def identifier_clusters(records: DataFrame) -> DataFrame:
     return own.select("row_id").join(found, F.col("row_id") == F.col("node"), "left").select("row_id", F.coalesce("root", "row_id").alias("cluster"))
 
 
-def _some(c: Column, kind: str) -> Column:
-    return F.size(c) > 0 if kind.startswith(("array", "map")) else (c.isNotNull() & (c != "") if kind == "string" else c.isNotNull())
+def _some(field: str, kind: str) -> str:
+    """SQL: the field isn't missing."""
+    return f"size(`{field}`) > 0" if kind.startswith(("array", "map")) else f"`{field}` IS NOT NULL" + (f" AND `{field}` <> ''" if kind == "string" else "")
 
 
 def survivors(records: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -58,11 +61,10 @@ def survivors(records: DataFrame, cluster: str = "cluster") -> DataFrame:
     """
     kinds = dict(records.dtypes)
     out: list[Column] = []
-    rank_of = lambda order: F.coalesce(*(F.when(F.col("source") == s, F.lit(k)) for k, s in enumerate(order)), F.lit(len(order))) if order else F.lit(0)
 
     def best(field: str, order: tuple[str, ...]) -> Column:
-        c = F.col(field)
-        return F.min_by(c, F.when(_some(c, kinds[field]), F.struct(rank_of(order), F.col("row_id")))).alias(field)
+        rank = "CASE source " + " ".join(f"WHEN '{x}' THEN {k}" for k, x in enumerate(order)) + f" ELSE {len(order)} END" if order else "0"
+        return F.expr(f"min_by(`{field}`, CASE WHEN {_some(field, kinds[field])} THEN struct({rank} AS rank, row_id) END)").alias(field)
 
     special = {"row_id", "source", "source_id", "retracted", "venue_tier", "topic_focus", "n_authors", cluster}
     for field in records.columns:
@@ -92,29 +94,15 @@ def comparable(records: DataFrame) -> DataFrame:
     return own.select("row_id", "block", "id_doi", "id_pmid", text.title_norm(F.col("title")).alias("title"), F.nullif("issn_l", F.lit("")).alias("issn"), text.title_norm(F.col("journal_raw")).alias("venue"), text.first_author_key(F.col("authors")).alias("author"))
 
 
-def block_pairs(own: DataFrame) -> DataFrame:
-    """(block, l_, r_): the pairs of records of a block, by ascending row_id.
-
-    A block of over LARGEST_BLOCK records is cut into parts by a hash, which meet two by two, so no task gets a whole
-    one, whatever its share of all records.
-    """
-    sized = own.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("cuts", F.ceil(F.col("n") / LARGEST_BLOCK).cast("int"))
-    parts = graph.spread_join(own, sized, "block", own.count()).withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("cuts")).cast("int"))
-    # part p meets part q in the cell (min, max); within a cell of two parts only records of unlike parts are pairs
-    cells = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("cuts", "other")
-    sides = [cells.select(*(F.col(c).alias(f"{side}_{c}") for c in [*own.columns, "part"] if c != "block"), "block", "low", "high") for side in "lr"]
-    return sides[0].join(sides[1], ["block", "low", "high"]).where("l_row_id < r_row_id and (low = high or l_part <> r_part)").drop("low", "high", "l_part", "r_part")
-
-
 def scored_pairs(own: DataFrame, least: float, agree: Column | None = None) -> DataFrame:
-    """block_pairs() of records with a title, with the titles' score from `least` on, where `agree` holds.
+    """(block, l_, r_, score): pairs of records of a block whose titles' score is `least` or more and for which `agree` holds.
 
-    Words are sorted once a record; native bounds on the edit distance rule most pairs out before any reaches Python.
+    Words are sorted once a record, and each different title of a block is looked for once, in an index of its rarest grams.
     """
-    pairs = block_pairs(own.withColumn("_sorted", similarity.token_sorted(F.col("title"))))
-    x, y = F.col("l__sorted"), F.col("r__sorted")
-    pairs = (pairs if agree is None else pairs.where(agree)).where(similarity.sorted_may_reach(x, y, least))
-    return pairs.withColumn("score", similarity.sorted_ratio(x, y)).where(F.col("score") >= least).drop("l__sorted", "r__sorted")
+    first = candidates.first_of_text(own, similarity.token_sorted(F.col("title")))
+    like = candidates.like_pairs(first.where("row_id = first").select("row_id", "block", "x"), least)
+    pairs = candidates.of_rows(own, like, first.select("row_id", "first"))
+    return pairs if agree is None else pairs.where(agree)
 
 
 def candidate_pairs(records: DataFrame, least: float = REVIEW_FROM, largest_block: int | None = None) -> DataFrame:
@@ -123,7 +111,7 @@ def candidate_pairs(records: DataFrame, least: float = REVIEW_FROM, largest_bloc
     All blocks are compared. Only for the reference's result, LARGEST_BLOCK as `largest_block` leaves larger blocks out.
     Titles under 15 characters aren't compared.
     """
-    own = comparable(records)
+    own = graph.checkpointed(comparable(records))
     if largest_block is not None:
         sizes = own.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= largest_block)).select("block")
         own = own.join(sizes, "block", "left_semi")
@@ -147,39 +135,82 @@ def fuzzy_matches(records: DataFrame, largest_block: int | None = None) -> DataF
 
 
 def fuzzy_clusters(matches: DataFrame) -> DataFrame:
-    """(row_id, cluster) of records that merge, block by block in order of row_id.
+    """(row_id, cluster) of records that merge, as if one pair after another were merged, in order of a, then b.
 
     A merge that would put two unlike DOIs or PMIDs into one cluster is refused, though each pair alone was free of
-    conflict. Only pairs that links join meet in one task, since others never share a cluster.
+    conflict. Where all records that pairs join have one DOI and one PMID at most, nothing can be refused.
+    """
+    merges = graph.checkpointed(matches.where("verdict = 'merge'").select("a", "b", "l_id_doi", "r_id_doi", "l_id_pmid", "r_id_pmid"))
+    if merges.isEmpty():
+        return merges.select(F.col("a").alias("row_id"), F.col("b").alias("cluster"))
+    found = graph.checkpointed(graph.components(merges.select("a", "b")))
+    ends = [merges.select(F.col(n).alias("node"), F.col(f"{s}_id_doi").alias("doi"), F.col(f"{s}_id_pmid").alias("pmid")) for n, s in (("a", "l"), ("b", "r"))]
+    known = ends[0].unionByName(ends[1]).groupBy("node").agg(F.max("doi").alias("doi"), F.max("pmid").alias("pmid"))
+    nodes = graph.checkpointed(known.join(found, "node"))
+    one = lambda c: F.coalesce(F.min(c) == F.max(c), F.lit(True))
+    agreed = nodes.groupBy("root").agg((one("doi") & one("pmid")).alias("agreed"), F.count(F.lit(1)).alias("n"))
+    judged = graph.checkpointed(graph.spread_join(nodes, agreed, "root", nodes.count()))
+    free = judged.where("agreed").select(F.col("node").alias("row_id"), F.col("root").alias("cluster"))
+    open_ = judged.where("not agreed").select("node", "doi", "pmid")
+    if open_.isEmpty():
+        return free
+    edges = merges.select("a", "b").join(open_.select(F.col("node").alias("a")), "a", "left_semi")
+    return free.unionByName(merged_in_order(open_, edges))
+
+
+#: Pairs of one cluster that one round of merged_in_order() takes up, at most; the next round takes the next.
+FIRST_PAIRS = 1_000
+
+
+def merged_in_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(row_id, cluster) of `nodes` (node, doi, pmid) as if the pairs `edges` (a, b) were merged one after another, in order.
+
+    In each round clusters that are each other's first pair merge at once, since no earlier pair can touch them; the
+    smaller of the two takes in others too, in order, as long as it is their first pair, comes before every other pair of
+    those already taken in, and no identifier conflicts. Pairs inside a cluster or in conflict are left out for good, as
+    clusters only grow. The first pair of all merges or goes in every round, so rounds end; a cluster's pairs are looked
+    at in order, FIRST_PAIRS in a round, never gathered.
     """
-    kind = dict(matches.dtypes)["a"]
-
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict = {}
-        ids: dict = {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                x = parent[x]
-            return x
-
-        for row in pdf.sort_values(["a", "b"]).itertuples():
-            for node, doi, pmid in ((row.a, row.l_id_doi, row.l_id_pmid), (row.b, row.r_id_doi, row.r_id_pmid)):
-                if node not in ids:
-                    ids[node] = [{doi} - {None}, {pmid} - {None}]
-            a, b = root(row.a), root(row.b)
-            if a == b:
-                continue
-            joined = [x | y for x, y in zip(ids[a], ids[b])]
-            if all(len(s) <= 1 for s in joined):
-                a, b = min(a, b), max(a, b)
-                parent[b], ids[a] = a, joined
-        nodes = list(parent)
-        return pd.DataFrame({"row_id": nodes, "cluster": [root(n) for n in nodes]})
-
-    merges = matches.where("verdict = 'merge'")
-    joined = merges.join(graph.components(merges.select("a", "b")), F.col("a") == F.col("node"))
-    return joined.drop("node").groupBy("root").applyInPandas(resolve, f"row_id {kind}, cluster {kind}")
+    state = graph.checkpointed(nodes.select(F.col("node").alias("row_id"), F.col("node").alias("cluster"), "doi", "pmid"))
+    live = graph.checkpointed(edges.select("a", "b").distinct())
+    while True:
+        side = lambda n, s: state.select(F.col("row_id").alias(n), F.col("cluster").alias(f"{s}c"), F.col("doi").alias(f"{s}doi"), F.col("pmid").alias(f"{s}pmid"))
+        met = live.join(side("a", "l"), "a").join(side("b", "r"), "b")
+        unlike = lambda c: F.coalesce(F.col(f"l{c}") != F.col(f"r{c}"), F.lit(False))
+        live = graph.checkpointed(met.where((F.col("lc") != F.col("rc")) & ~unlike("doi") & ~unlike("pmid")))
+        if live.isEmpty():
+            named = state.groupBy("cluster").agg(F.min("row_id").alias("least"), F.count(F.lit(1)).alias("n"))
+            return graph.spread_join(state.select("row_id", "cluster"), named, "cluster", state.count()).select("row_id", F.col("least").alias("cluster"))
+        # each pair of clusters once, by its first pair of records, seen from both sides
+        pairs = live.groupBy(F.least("lc", "rc").alias("lo"), F.greatest("lc", "rc").alias("hi")).agg(F.min(F.struct("a", "b", "lc", "ldoi", "lpmid", "rdoi", "rpmid")).alias("o"))
+        place = F.struct("o.a", "o.b").alias("place")
+        left_low = F.col("o.lc") == F.col("lo")
+        whose = lambda c, low: F.when(left_low == F.lit(low), F.col(f"o.l{c}")).otherwise(F.col(f"o.r{c}")).alias(f"its_{c}")
+        seen = [pairs.select(F.col(own).alias("own"), F.col(other).alias("other"), place, whose("doi", low), whose("pmid", low)) for own, other, low in (("lo", "hi", False), ("hi", "lo", True))]
+        seen = graph.checkpointed(seen[0].unionByName(seen[1]))
+        # a cluster's first pair, whose that is, and its next pair with another
+        two = seen.withColumn("k", F.row_number().over(Window.partitionBy("own").orderBy("place"))).where("k <= 2")
+        firsts = two.groupBy("own").agg(F.min_by("other", "k").alias("to"), F.min("place").alias("first"), F.max(F.when(F.col("k") == 2, F.col("place"))).alias("next"))
+        firsts = graph.checkpointed(firsts)
+        owners = firsts.alias("x").join(firsts.alias("y"), (F.col("x.to") == F.col("y.own")) & (F.col("y.to") == F.col("x.own")) & (F.col("x.own") < F.col("y.own"))).select("x.own")
+        listed = seen.join(owners, "own", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("own").orderBy("place"))).where(F.col("k") <= FIRST_PAIRS)
+        listed = listed.join(firsts.select(F.col("own").alias("other"), "to", "next"), "other")
+        listed = listed.join(state.where("row_id = cluster").select(F.col("cluster").alias("own"), "doi", "pmid"), "own")
+        so_far = Window.partitionBy("own").orderBy("k")
+        before = so_far.rowsBetween(Window.unboundedPreceding, -1)
+        held = lambda c: F.coalesce(F.col(c), F.first(f"its_{c}", ignorenulls=True).over(before))
+        fits = (F.col("to") == F.col("own")) & F.coalesce(F.col("place") < F.min("next").over(before), F.lit(True))
+        for c in ("doi", "pmid"):
+            fits = fits & F.coalesce(held(c) == F.col(f"its_{c}"), F.lit(True))
+        taken = listed.withColumn("fits", fits).withColumn("taken", F.every("fits").over(so_far)).where("taken")
+        taken = graph.checkpointed(taken.select("own", "other", "its_doi", "its_pmid", "k"))
+        gained = taken.groupBy("own").agg(F.max("its_doi").alias("new_doi"), F.max("its_pmid").alias("new_pmid"))
+        moved = state.join(taken.select(F.col("other").alias("cluster"), "own"), "cluster", "left").withColumn("cluster", F.coalesce("own", "cluster")).drop("own")
+        grown = moved.join(gained.withColumnRenamed("own", "cluster"), "cluster", "left")
+        own_ids = state.where("row_id = cluster").select("cluster", F.col("doi").alias("root_doi"), F.col("pmid").alias("root_pmid"))
+        grown = grown.join(own_ids, "cluster")
+        state = graph.checkpointed(grown.select("row_id", "cluster", F.coalesce("root_doi", "new_doi").alias("doi"), F.coalesce("root_pmid", "new_pmid").alias("pmid")))
+        live = live.select("a", "b")
 
 
 def deduplicate(records: DataFrame, largest_block: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

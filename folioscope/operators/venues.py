@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import similarity, text
+from folioscope.operators import candidates, graph
 
 # Fixed values.
 FUZZY_ACCEPT, FUZZY_REVIEW = 93.0, 85.0
@@ -52,17 +53,14 @@ def resolve(records: DataFrame, by_issn: DataFrame, by_key: DataFrame, venue: st
 
 
 def nearest_keys(unknown: DataFrame, by_key: DataFrame, least: float = FUZZY_REVIEW) -> DataFrame:
-    """(key, canonical, score): the likest known key from `least` on, ties by key. Native bounds come before the score.
-
-    A score of 85 leaves at most 15 per cent of the letters unmatched, so candidates are joined on lengths in that
-    range and then bounded by edit distance.
-    """
-    rate = least / (200 - least)
-    left = unknown.select("key", similarity.token_sorted(F.col("key")).alias("x")).withColumn("n", F.length("x"))
-    left = left.withColumn("near_n", F.explode(F.sequence(F.ceil(F.col("n") * rate).cast("int"), F.floor(F.col("n") / rate).cast("int"))))
-    right = by_key.select(F.col("key").alias("other"), "canonical", similarity.token_sorted(F.col("key")).alias("y")).withColumn("near_n", F.length("y"))
-    pairs = left.join(right, "near_n").where(similarity.sorted_may_reach(F.col("x"), F.col("y"), least))
-    scored = pairs.withColumn("score", similarity.sorted_ratio(F.col("x"), F.col("y"))).where(F.col("score") >= least)
+    """(key, canonical, score): the likest known key from `least` on, ties by key; keys meet through an index of their rarest grams."""
+    side = lambda df, known, canonical: df.select(F.concat(F.lit(f"{int(known)}"), "key").alias("row_id"), F.lit(0).alias("block"), similarity.token_sorted(F.col("key")).alias("x"), F.lit(known).alias("known"), "key", canonical.alias("canonical"))
+    both = graph.checkpointed(side(unknown, False, F.lit(None).cast("string")).unionByName(side(by_key, True, F.col("canonical"))))
+    pairs = candidates.indexed_pairs(both.select("row_id", "block", "x", "known"), least, F.col("l_known") != F.col("r_known"))
+    # an unknown key's row_id is the smaller one
+    left = both.where("not known").select(F.col("row_id").alias("l_row_id"), F.col("x").alias("l_x"), "key")
+    right = both.where("known").select(F.col("row_id").alias("r_row_id"), F.col("x").alias("r_x"), F.col("key").alias("other"), "canonical")
+    scored = candidates.scored(pairs.join(left, "l_row_id").join(right, "r_row_id"), least)
     best = scored.groupBy("key").agg(F.min_by(F.struct("canonical", "score"), F.struct(-F.col("score"), F.col("other"))).alias("x"))
     return best.select("key", "x.canonical", "x.score")
 

@@ -23,6 +23,65 @@ def frame(spark):
     return make
 
 
+def plain_merges(edges, ids):
+    """Clusters of pairs merged one after another; unlike identifiers refuse."""
+    parent, held = {}, {k: tuple({x} - {None} for x in v) for k, v in ids.items()}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in sorted(edges):
+        a, b = sorted((root(a), root(b)))
+        joined = tuple(x | y for x, y in zip(held[a], held[b]))
+        if a != b and all(len(x) <= 1 for x in joined):
+            parent[b], held[a] = a, joined
+    return {x: root(x) for e in edges for x in e}
+
+
+@pytest.mark.parametrize(("seed", "first"), [(1, 1000), (2, 2)])
+def test_merging_in_rounds_is_merging_in_order(spark, monkeypatch, seed, first):
+    """Hubs, chains and conflicts, also where a round takes up two pairs of a cluster only."""
+    import random
+
+    monkeypatch.setattr(linkage, "FIRST_PAIRS", first)
+    rng = random.Random(seed)
+    ids = {i: (rng.choice([None, None, "x", "y", "z"]), rng.choice([None, None, None, "1", "2"])) for i in range(18)}
+    pairs = [sorted((rng.choice([0, 1, rng.randrange(18)]), rng.randrange(18))) for _ in range(34)]
+    edges = {(a, b) for a, b in pairs if a < b and not any(p and q and p != q for p, q in zip(ids[a], ids[b]))}
+    rows = [(a, b, ids[a][0], ids[b][0], ids[a][1], ids[b][1], "merge") for a, b in edges]
+    matches = spark.createDataFrame(rows, "a long, b long, l_id_doi string, r_id_doi string, l_id_pmid string, r_id_pmid string, verdict string")
+    got = {r["row_id"]: r["cluster"] for r in linkage.fuzzy_clusters(matches).collect()}
+    assert got == plain_merges(edges, ids) and len(set(got.values())) > 3
+
+
+@pytest.mark.parametrize("least", [80.0, 85.0, 92.0])
+def test_the_index_finds_all_like_pairs(spark, monkeypatch, least):
+    """Against all pairs: short and long texts, repeated grams, equal texts, blocks met in cells and through the index."""
+    import random
+
+    from folioscope.operators import candidates
+
+    monkeypatch.setattr(candidates, "CELL", 30)
+    rng = random.Random(5)
+    bases = ["".join(rng.choice("aab c") for _ in range(rng.randint(1, 60))) for _ in range(40)] + ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(3)]
+    texts = []
+    for k in range(260):
+        x = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 2, len(x) // 6])):
+            x[rng.randrange(len(x)) : rng.randrange(len(x)) + 1] = rng.choice(["", "a", "bc"])
+            x = x or ["a"]
+        texts.append((k, k % 2 if k < 250 else 7, "".join(x)))
+    texts += [(900, 0, ""), (901, 0, "")]
+    own = spark.createDataFrame([*texts, (902, 1, None)], "row_id long, block int, title string")
+    got = {(r["l_row_id"], r["r_row_id"]): r["score"] for r in linkage.scored_pairs(own, least).collect()}
+    known = [(i, b, " ".join(sorted(x.split()))) for i, b, x in texts]
+    want = {(i, j): plain_ratio(x, y) for i, b, x in known for j, c, y in known if i < j and b == c and plain_ratio(x, y) >= least}
+    assert sorted(got.keys() ^ want.keys()) == []
+    assert all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
 def works(frame, *rows):
     out, review, report = linkage.deduplicate(frame(*rows))
     return [r.asDict(recursive=True) for r in out.collect()], review.collect(), report.first()
@@ -92,13 +151,10 @@ def test_large_blocks_are_compared_whole(frame):
     assert not {"x1", "x2"} <= {w["row_id"] for w in got}
 
 
-@pytest.fixture(params=[200_000, 0])
-def one_task(request, monkeypatch):
-    """Components by one task, and by rounds of joins."""
-    monkeypatch.setattr(graph, "ONE_TASK", request.param)
-
-
-def test_components(spark, one_task):
+@pytest.mark.parametrize("lot", [200_000, 3])
+def test_components(spark, monkeypatch, lot):
+    """Small lots leave the rounds of joins more to do."""
+    monkeypatch.setattr(graph, "LOT", lot)
     edges = [(1, 2), (2, 3), (10, 11), (11, 12), (12, 13), (13, 14), (20, 20)] + [(100, 101 + i) for i in range(50)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in (1, 2, 3)}, **{i: 10 for i in range(10, 15)}, **{100 + i: 100 for i in range(51)}}
