@@ -36,7 +36,7 @@ WINDOWS = (2, 14)
 #: Days ahead that a label looks, and minutes from an event's arrival until it may be used.
 LABEL_DAYS, DELAY_MINUTES = 7, 240
 #: Probes of a block, at least, and events of a block that one task takes beside the probes.
-BLOCK, CROWD = 4096, 100_000
+BLOCK, CROWD = 4096, 50_000
 #: Rows that a worker handles at once, about, and the slots of time in which the union of an item's intervals is taken.
 CHUNK, SLOT = 200_000, DAY // 4
 

@@ -153,13 +153,13 @@ def brute_components(fp, distance=4):
     return {i: root(i) for i in ids}
 
 
-@pytest.fixture(params=[200_000, 0])
-def one_task(request, monkeypatch):
-    """Components by one task, and by rounds of joins."""
-    monkeypatch.setattr(graph, "ONE_TASK", request.param)
+@pytest.fixture(params=[200_000, 2])
+def lot(request, monkeypatch):
+    """Components of which the edges are joined up in large and in small lots before rounds of joins."""
+    monkeypatch.setattr(graph, "LOT", request.param)
 
 
-def test_simhash(docs, corpus, empty, one_task):
+def test_simhash(docs, corpus, empty, lot):
     got = rows(simhash.near_duplicates(docs).withColumn("hex", simhash.hexadecimal(F.col("fp"))))
     fp = {i: brute_fingerprint(t) for i, t in corpus}
     assert {i: r["hex"] for i, r in got.items()} == {i: f"{x:016x}" for i, x in fp.items()}
@@ -231,8 +231,9 @@ def test_simhash_with_wider_keys(docs, corpus, monkeypatch, fill):
     assert {i: r["component_id"] for i, r in got.items()} == brute_components(fp)
 
 
-def test_hot_keys_are_dealt_out(spark):
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
     """A join of which one key holds most rows: no row is lost or doubled, and the key's rows lie in many partitions."""
+    monkeypatch.setattr(graph, "ROWS_A_TASK", 10_000)
     many = spark.range(60_000).select(F.when(F.col("id") < 40_000, 1).otherwise(F.col("id")).alias("k"), "id")
     one = many.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -254,7 +255,7 @@ def jaccard(a, b):
 
 
 @pytest.mark.parametrize("cell", [512, 3])
-def test_near_copies_against_all_pairs(spark, monkeypatch, cell, one_task):
+def test_near_copies_against_all_pairs(spark, monkeypatch, cell, lot):
     """Small cells force bands into parts that meet two by two."""
     monkeypatch.setattr(simhash, "CELL_TEXTS", cell)
     rng = random.Random(42)
