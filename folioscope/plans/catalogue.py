@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import numbers, similarity, text
-from folioscope.operators import enrich, graph, labels, linkage, metrics, model, quality, relational, release, screening, validation, venues
+from folioscope.operators import enrich, graph, labels, linear, linkage, metrics, model, quality, relational, release, screening, validation, venues
 from folioscope.plans import patterns
 from folioscope.sources import mappings
 
@@ -504,6 +504,48 @@ def dedupe_report(spark, d):
     return linkage.deduplicate(_part_records(spark, d))[2]
 
 
+_TITLED = f"""r AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_type) || CASE p_partkey % 3 WHEN 1 THEN 's' WHEN 2 THEN ' x' ELSE '' END AS title, CAST(1990 + p_size % 10 AS INTEGER) AS year, p_brand AS venue FROM part),
+w AS (SELECT min(id) AS id, title, year, venue, count(*) AS n FROM r GROUP BY title, year, venue),
+s AS (SELECT id, year || '|' || substring(split_part(title, ' ', 1), 1, 6) AS block, array_to_string(list_sort(string_split(title, ' ')), ' ') AS x, replace(lower(venue), 'brand#', '') || ' brand' AS v FROM w WHERE length(title) >= 15),
+p AS (SELECT l.block, l.id AS a, r.id AS b, l.x, r.x AS y, l.v AS lv, r.v AS rv FROM s l JOIN s r ON l.block = r.block AND l.id < r.id WHERE 200 * least(length(l.x), length(r.x)) >= 80 * (length(l.x) + length(r.x))),
+q AS (SELECT block, a, b, lv AS x, rv AS y, 100.0::DOUBLE * 2 * ({_LCS}) / (length(x) + length(y)) AS score FROM p),
+m AS (SELECT block, a, b, score, score >= 90 AND 100.0::DOUBLE * 2 * ({_LCS}) / (length(x) + length(y)) >= 88 AS merged FROM q WHERE score >= 80),
+u AS (SELECT a, b FROM m WHERE merged UNION SELECT b, a FROM m WHERE merged),
+reach AS (SELECT id AS node, id AS root FROM w UNION SELECT u.a, reach.root FROM reach JOIN u ON u.b = reach.node),
+c AS (SELECT node, min(root) AS root FROM reach GROUP BY node)"""
+
+
+def _titled_records(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as records without identifiers: titles that differ in a letter or a word, years that block them, brands as venues that confirm or don't."""
+    i = F.col("p_partkey")
+    tail = F.when(i % 3 == 1, "s").when(i % 3 == 2, " x").otherwise("")
+    none = F.lit(None).cast("string")
+    return table(spark, d, "part").select(
+        i.alias("row_id"), F.lit("pubmed").alias("source"), i.cast("string").alias("source_id"), F.concat(F.lower(F.concat_ws(" ", "p_name", "p_type")), tail).alias("title"), none.alias("doi"), none.alias("pmid"),
+        (F.col("p_size") % 10 + 1990).cast("int").alias("year"), F.col("p_brand").alias("journal_raw"), none.alias("issn_l"), F.lit(None).cast("array<struct<name:string>>").alias("authors"),
+    )
+
+
+@query(f"""WITH RECURSIVE {_TITLED} SELECT (SELECT count(*) FROM r) AS input_records, (SELECT count(DISTINCT root) FROM c) AS output_records, 0 AS doi_links, 0 AS pmid_links, (SELECT sum(n - 1)::BIGINT FROM w) AS sig_links, (SELECT count(*) FROM w) AS after_identifiers,
+  (SELECT count(*) FROM m WHERE NOT merged) AS review_pairs, (SELECT count(*) FROM r) - (SELECT count(DISTINCT root) FROM c) AS duplicates_removed, (SELECT count(*) FROM w) - (SELECT count(DISTINCT root) FROM c) AS fuzzy_merges""")
+def dedupe_fuzzy_report(spark, d):
+    """Counts of entity resolution where like titles merge if their venues agree, and are for people to judge if not."""
+    return linkage.deduplicate(_titled_records(spark, d))[2]
+
+
+@query(f"WITH RECURSIVE {_TITLED} SELECT block, a, b, score, CASE WHEN score >= 90 THEN 'title_match_without_corroboration' ELSE 'review_band' END AS reason FROM m WHERE NOT merged")
+def dedupe_review_pairs(spark, d):
+    """The pairs of records that entity resolution leaves to people, with their scores and reasons."""
+    return linkage.deduplicate(_titled_records(spark, d))[1]
+
+
+@query(f"WITH RECURSIVE {_TITLED} SELECT node AS row_id, root AS cluster FROM c WHERE node IN (SELECT a FROM u)")
+def fuzzy_merged_clusters(spark, d):
+    """Records that merge with others through like titles, and their clusters."""
+    first = linkage.survivors(_titled_records(spark, d).withColumn("cluster", F.concat_ws("|", "title", "year", "journal_raw"))).drop("cluster", "n_merged", "source_ids")
+    return linkage.fuzzy_clusters(linkage.fuzzy_matches(first))
+
+
 @query()
 def linkage_works(spark, d):
     """The whole of entity resolution over documents as records: each whole text a title with its provider."""
@@ -1023,16 +1065,48 @@ def provider_pubmed(spark, d):
 
 # --- the text model
 
+def _model_texts(spark: SparkSession, d: str) -> DataFrame:
+    return model.prepared(table(spark, d, "documents").withColumns({"title": F.lit(""), "abstract": F.col("text")}))
+
+
+_STOP_SQL = "['" + "', '".join(w.replace("'", "''") for w in linear.STOP_WORDS) + "']"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '\w\w+'), lambda w: NOT list_contains({_STOP_SQL}, w)) AS ws FROM documents),
+g AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM d), c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL), t AS (SELECT count(*) AS total FROM documents),
+v AS (SELECT gram, count(*) AS df FROM c, t GROUP BY gram, total HAVING count(*) >= 5 AND count(*) <= 0.6 * total ORDER BY sum(n) DESC, gram LIMIT 120000),
+w AS (SELECT doc_id, gram, (1 + ln(n)) * (ln((1.0 + total) / (1.0 + df)) + 1) AS w FROM c JOIN v USING (gram), t), l AS (SELECT doc_id, sqrt(sum(w * w)) AS len FROM w GROUP BY doc_id)
+SELECT doc_id, count(*) AS n_features, round(sum(w / len), 6) AS total_weight, arg_min(gram, row(-w / len, gram)) AS top_gram, round(max(w / len), 6) AS top_weight FROM w JOIN l USING (doc_id) GROUP BY doc_id""")
+def tfidf_weights(spark, d):
+    """The weights of each document's words and pairs in the bounded vocabulary, summed up."""
+    ready = _model_texts(spark, d)
+    counts = graph.checkpointed(linear.counted(ready, "doc_id"))
+    found = linear.weighed(counts, linear.vocabulary(counts, ready.count()), "doc_id")
+    top = F.min_by("gram", F.struct(-F.col("weight"), F.col("gram")))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_features"), F.round(F.sum("weight"), 6).alias("total_weight"), top.alias("top_gram"), F.round(F.max("weight"), 6).alias("top_weight"))
+
+
 @query()
 def distant_classifier(spark, d):
-    """A model of the labelled documents' quality, and what it says of every document."""
-    docs, marks = table(spark, d, "documents"), table(spark, d, "labels")
-    df = docs.join(marks, "doc_id", "left").select("doc_id", F.lit("").alias("title"), F.col("text").alias("abstract"), F.col("quality").cast("string").alias("label_quality"))
-    ready = model.prepared(df)
-    fitted = model.fit_stage(ready, "label_quality", hashed=True, max_iter=20)
+    """A model of the labelled documents' quality over the whole vocabulary, and what it says of every document."""
+    marks = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").cast("string").alias("label_quality"))
+    ready = _model_texts(spark, d).select("doc_id", "model_text").join(marks, "doc_id", "left")
+    fitted = linear.fit(ready, "doc_id", "label_quality", least=model.LEAST_PER_CLASS)
     if isinstance(fitted, str):  # too few labels: nobody is judged
-        return df.select("doc_id", F.lit(None).cast("string").alias("pred_quality"), F.lit(None).cast("double").alias("conf_quality"))
-    return model.predict_stage(ready, fitted, "quality").select("doc_id", "pred_quality", "conf_quality")
+        return ready.select("doc_id", F.lit(None).cast("string").alias("pred_quality"), F.lit(None).cast("double").alias("conf_quality"))
+    return linear.predict(ready, "doc_id", fitted).select("doc_id", F.col("pred").alias("pred_quality"), F.col("conf").alias("conf_quality"))
+
+
+@query()
+def model_folds_by_group(spark, d):
+    """Agreement of a model of several classes with the documents' languages, each fold of whole sources judged by the model without it."""
+    ready = _model_texts(spark, d).select("doc_id", "source", "model_text", F.col("lang").alias("label"))
+    ready = ready.join(validation.folds_by_group(ready, "source", 3), "source", "left")
+    fitted = linear.fit(ready, "doc_id", "label", "fold", 3, iterations=20)
+    if isinstance(fitted, str):
+        raise ValueError(fitted)
+    said = linear.predict(ready, "doc_id", fitted, "fold").join(ready.select("doc_id", "fold", "label"), "doc_id").where("label is not null and fold is not null")
+    return validation.agreement(said.select("fold", F.col("label").alias("a"), F.col("pred").alias("b")), by=["fold"])
 
 
 # --- windows of time over events
