@@ -7,6 +7,7 @@ for the tri-state empirical flag, priority for methodology; documents stand for
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,9 +203,11 @@ def dispersion_by_year(spark, d):
 
 @query(f"""WITH {PAPERS} SELECT count(*) AS n_records, count(DISTINCT venue) AS n_venues, count(*) FILTER (WHERE venue_tier = 'core_a') AS n_core_a, count(*) FILTER (WHERE venue_tier = 'adjacent_b') AS n_adjacent_b,
   count(*) FILTER (WHERE venue_tier = 'dispersed') AS n_dispersed, min(year) AS year_min, max(year) AS year_max, count(*) FILTER (WHERE year > {LAST}) AS n_partial_years,
-  round(100.0::DOUBLE * count(methodology) / count(*), 2) AS doi_coverage_pct, round(100.0::DOUBLE * count(cited_by_count) / count(*), 2) AS citation_coverage_pct FROM papers""")
+  round(100.0::DOUBLE * count(methodology) / count(*), 2) AS doi_coverage_pct, round(100.0::DOUBLE * count(cited_by_count) / count(*), 2) AS citation_coverage_pct,
+  array_to_string(list_sort(coalesce(list(DISTINCT year) FILTER (WHERE year > {LAST}), [])), ',') AS partial_years FROM papers""")
 def corpus_block(spark, d):
-    return metrics.corpus_block(papers(spark, d, venue=True), LAST, doi="methodology").drop("partial_years")
+    one = metrics.corpus_block(papers(spark, d, venue=True), LAST, doi="methodology")
+    return one.withColumn("partial_years", F.array_join(F.transform("partial_years", lambda y: y.cast("string")), ","))
 
 
 # --- labels on documents: patterns without word borders, on which engines differ beside accented letters
@@ -262,10 +265,12 @@ def source_overlap(spark, d):
   count(*) FILTER (WHERE n_chars < 100 OR n_chars > 20000) AS year_out_of_range, count(*) FILTER (WHERE coalesce(doc_id, 0) = 0) AS zero_author_records, count(*) FILTER (WHERE coalesce(doc_id, 0) > 200) AS implausible_author_count,
   count(*) FILTER (WHERE coalesce(doc_id, 0) < 0) AS negative_citations, count(DISTINCT source) AS n_unique_venues, min(n_chars) AS year_min, max(n_chars) AS year_max,
   round(100.0::DOUBLE * count(text) / count(*), 2) AS doi_coverage_pct, round(100.0::DOUBLE * count(*) FILTER (WHERE coalesce(length(text), 0) > 0) / count(*), 2) AS abstract_coverage_pct,
-  round(100.0::DOUBLE * count(doc_id) / count(*), 2) AS citation_coverage_pct FROM documents""")
+  round(100.0::DOUBLE * count(doc_id) / count(*), 2) AS citation_coverage_pct,
+  concat_ws(',', CASE WHEN count(*) > count(DISTINCT doc_id) THEN 'duplicate_record_ids' END, CASE WHEN count(*) FILTER (WHERE n_chars < 100 OR n_chars > 20000) > 0 THEN 'year_out_of_range' END,
+    CASE WHEN count(*) FILTER (WHERE doc_id < 0) > 0 THEN 'negative_citations' END) AS hard_failures FROM documents""")
 def qa_checks(spark, d):
     docs = table(spark, d, "documents").withColumn("digest", F.sha2("text", 256))
-    return quality.qa_checks(docs, key="doc_id", doi="digest", title="lang", abstract="text", year="n_chars", venue="source", n_authors="doc_id", cited="doc_id", years=(100, 20000)).drop("hard_failures")
+    return quality.qa_checks(docs, key="doc_id", doi="digest", title="lang", abstract="text", year="n_chars", venue="source", n_authors="doc_id", cited="doc_id", years=(100, 20000)).withColumn("hard_failures", F.array_join("hard_failures", ","))
 
 
 @query("SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")
@@ -618,6 +623,24 @@ def venue_nearest(spark, d):
     return venues.nearest_keys(unknown, known)
 
 
+_SPELLED = f"{_VENUE_SQL} || CASE WHEN p_partkey % 5 = 0 THEN 's' ELSE '' END"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_partkey % 11 AS k, {_SPELLED} AS raw FROM part), d AS (SELECT raw, {_key_sql('raw')} AS key FROM (SELECT DISTINCT raw FROM t)),
+s AS (SELECT key, raw, count(*) AS n FROM t JOIN d USING (raw) WHERE k < 3 AND key <> '' GROUP BY key, raw), o AS (SELECT key, raw, row_number() OVER (PARTITION BY key ORDER BY n DESC, length(raw) DESC, raw) AS k FROM s),
+by_key AS (SELECT key, raw AS canonical, array_to_string(list_sort(string_split(key, ' ')), ' ') AS y FROM o WHERE k = 1), un AS (SELECT DISTINCT key, array_to_string(list_sort(string_split(key, ' ')), ' ') AS x FROM d WHERE key <> '' AND key NOT IN (SELECT key FROM by_key)),
+p AS (SELECT un.key, by_key.key AS other, canonical, x, y FROM un, by_key WHERE abs(length(x) - length(y)) <= 0.15 * (length(x) + length(y)) + 1), q AS (SELECT key, other, canonical, 100.0::DOUBLE * 2 * ({_LCS}) / (length(x) + length(y)) AS score FROM p),
+near AS (SELECT key, canonical, score FROM q WHERE score >= 85 QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, other) = 1)
+SELECT p_partkey, coalesce(by_key.canonical, near.canonical, raw) AS journal_canonical, CASE WHEN by_key.canonical IS NOT NULL THEN 'exact_key' WHEN near.score >= 93 THEN 'fuzzy_auto' WHEN near.score IS NOT NULL THEN 'fuzzy_review' ELSE 'new' END AS venue_method, round(near.score, 1) AS venue_score
+FROM t JOIN d USING (raw) LEFT JOIN by_key ON d.key = by_key.key LEFT JOIN near ON d.key = near.key""")
+def venue_resolve_fuzzy(spark, d):
+    """Venue names learnt from some records and resolved for all, where keys that nothing knows take the likest known one."""
+    i = F.col("p_partkey")
+    named = table(spark, d, "part").select("p_partkey", F.concat(_venue(), F.when(i % 5 == 0, "s").otherwise("")).alias("journal_raw"), F.lit(None).cast("string").alias("issn_l"))
+    by_issn, by_key = venues.learn(named.where(i % 11 < 3))
+    return venues.resolve(named, by_issn, by_key).select("p_partkey", "journal_canonical", "venue_method", "venue_score")
+
+
 # --- screening and labels
 
 _CFG = {"exclusions": {"metaphorical_phrases": ["ththe", "Licensed under"], "keep_if_also": ["password", "@mail"], "min_abstract_chars": 400, "require_abstract": True}, "topic_pattern": "tion|ung"}
@@ -958,10 +981,10 @@ def paper_authors_link(spark, d):
     return relational.paper_authors(links, people).join(people.select("author_id", "normalized_name"), "author_id").select("record_id", "author_position", "normalized_name", "is_first")
 
 
-@query(f"SELECT doc_id AS record_id, unnest({_DOC_LABELS_SQL}) AS descriptor FROM documents")
+@query(f"SELECT record_id, descriptor, descriptor = major AS is_major_topic FROM (SELECT doc_id AS record_id, unnest({_DOC_LABELS_SQL}) AS descriptor, ({_DOC_LABELS_SQL})[1] AS major FROM documents)")
 def paper_terms_link(spark, d):
     docs = labelled_documents(spark, d).select(F.col("doc_id").alias("record_id"), F.col("topics").alias("mesh_terms"), F.slice("topics", 1, 1).alias("mesh_major_terms"))
-    return relational.paper_terms(docs).drop("is_major_topic")
+    return relational.paper_terms(docs)
 
 
 def _views(spark: SparkSession, d: str) -> None:
@@ -1063,6 +1086,32 @@ def provider_pubmed(spark, d):
     return mappings.reparsed(payloads).select(*(c for c in _RECORD if c != "cited_by_count"))
 
 
+# --- what people see, and what is held out
+
+@query("SELECT doc_id AS record_id, n_chars AS year, source AS journal_canonical, text AS abstract, " + ", ".join(f"NULL::VARCHAR AS {c}" for c in (*validation.FIELDS, "FLAG", "NOTES")) + " FROM documents")
+def coder_sheet(spark, d):
+    """The coders' sheet of all documents: what is shown, empty places for answers, and no model's opinion."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), F.col("n_chars").alias("year"), F.col("source").alias("journal_canonical"), F.col("text").alias("abstract"), F.col("lang").alias("model_lang"))
+    return validation.for_coders(docs)
+
+
+@query(f"{_COMPOSITE} SELECT doc_id, rule_is_scientific IS NOT NULL AS had_evidence, NULL::BOOLEAN AS meta_is_scientific, NULL::BOOLEAN AS label_is_empirical, NULL::VARCHAR AS rule_methodology, is_scientific FROM decided")
+def blinded_labels(spark, d):
+    """Decided documents with all evidence that came from labels taken away, and what was decided left."""
+    df = _decided(spark, d).withColumn("had_evidence", F.col("rule_is_scientific").isNotNull())
+    return validation.blinded(df).select("doc_id", "had_evidence", "meta_is_scientific", "label_is_empirical", "rule_methodology", "is_scientific")
+
+
+@query(f"""WITH {PAPERS}, y AS (SELECT *, CASE WHEN year < 1990 THEN '1989' WHEN year < 2000 THEN '1990s' ELSE '2000s' END AS decade FROM papers WHERE year IS NOT NULL), g AS (SELECT DISTINCT decade AS held_out FROM y)
+SELECT held_out, decade = held_out AS own, count(*) AS n, min(year) AS first_year FROM g, y GROUP BY ALL""")
+def decades_held_out(spark, d):
+    """Each decade held out in turn: how many papers are its own, and how many the rest."""
+    parts = []
+    for value, rest, own in validation.leave_one_out(validation.with_decades(papers(spark, d))):
+        parts += [x.agg(F.lit(value).alias("held_out"), F.lit(is_own).alias("own"), F.count(F.lit(1)).alias("n"), F.min("year").alias("first_year")) for x, is_own in ((rest, False), (own, True))]
+    return reduce(DataFrame.unionByName, parts).where("n > 0")
+
+
 # --- the text model
 
 def _model_texts(spark: SparkSession, d: str) -> DataFrame:
