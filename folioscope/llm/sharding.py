@@ -4,8 +4,8 @@ Rows are linked by what they have in common: a link is a value that two rows or
 a shard of its own rank, so shards begin even. In a round each row hears in which shards the rows of its links are, and
 wants to move where most of them are; ties fall by a hash of link and shard, so all rows of a link lean the same way.
 Wishes meet quotas: a shard takes in no more rows than it has seats free or gives up in the same round, and those with
-most to gain go first. A shard that had to refuse some is closed in the next round, so that links too large for one
-shard look for their second choice. Rounds end when no row moves. Rows without links fill the seats that are left.
+most to gain go first. A full shard that had to refuse some is closed until it has a seat again, so that links too large
+for one shard look for their second choice. Rounds end when no row moves. Rows without links fill the seats that are left.
 
 A link's rows are counted by shard (as many numbers as there are shards), never gathered, and a hot link's rows are dealt
 over tasks to meet these counts. The driver sees the number of wishes from shard to shard and nothing else.
@@ -33,6 +33,8 @@ def quotas(wishes: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[in
             if n > most:
                 over = True
                 met |= {k: c * most // n for k, c in coming.items()}
+                rest = sorted(coming, key=lambda k: (-(coming[k] * most % n), k))[: most - sum(met[k] for k in coming)]
+                met |= {k: met[k] + 1 for k in rest}
         if not over:
             return met
 
@@ -82,7 +84,7 @@ def propagate(linked: DataFrame, seats: list[int], rounds: int = ROUNDS) -> tupl
             for (i, j), n in met.items():
                 held[i], held[j] = held[i] - n, held[j] + n
         refused = {j for (i, j), n in wishes.items() if met[i, j] < n}
-        before, open_ = open_, {j for j in everywhere if held[j] < seats[j] or j not in refused}
+        before, open_ = open_, {j for j in everywhere if held[j] < seats[j] or (j in open_ and j not in refused)}
         if not any(met.values()) and open_ == before:
             break
     return labels, held

@@ -112,7 +112,7 @@ def test_copies_share_a_shard_and_a_hot_text_fills_whole_ones(spark):
         where[texts[r["doc_id"]]][r["shard"]] += 1
     split = [t for t, c in where.items() if len(c) > 1 and t != "hot"]
     assert len(split) <= 8, split  # of 120, with few seats to spare
-    assert len(where["hot"]) <= 8
+    assert len(where["hot"]) <= 11  # six at least; other links hold the seats between
 
 
 def test_labels_follow_several_links(spark):

@@ -436,7 +436,10 @@ def test_composition_of_long_marked_texts(spark):
     assert [r["i"] for r in df if r["c"] != canonical(texts[r["i"]])] == []
 
 
-def test_exact_groups(docs, corpus):
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_exact_groups(docs, corpus, monkeypatch, sent):
+    """Hashes of shared texts sent along, and met in a shuffle."""
+    monkeypatch.setattr(fingerprints, "MOST_SENT", sent)
     got = rows(fingerprints.exact_groups(docs))
     first = {}
     for i, t in corpus:
