@@ -192,7 +192,7 @@ def fingerprint(text: Column) -> Column:
 
 def alike(a: Column, fp_a: Column, b: Column, fp_b: Column) -> Column:
     """1 if two texts have one canonical form, else 0; bytes are compared only where the digests are equal."""
-    return F.when(fp_a != fp_b, F.lit(0.0)).when(a.eqNullSafe(b), F.lit(1.0)).otherwise((canonical(a) == canonical(b)).cast("double"))
+    return F.when(fp_a != fp_b, F.lit(0.0)).when(a.eqNullSafe(b), F.lit(1.0)).otherwise(_let(F.transform(F.array(a, b), canonical), lambda x: (F.get(x, F.lit(0)) == F.get(x, F.lit(1))).cast("double")))
 
 
 #: What names a row: its key (a null one apart) and 128 bits of its text. Rows equal in these are equal.
