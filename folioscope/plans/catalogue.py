@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import numbers, similarity, text
-from folioscope.operators import enrich, graph, labels, linear, linkage, metrics, model, quality, relational, release, screening, validation, venues
+from folioscope.operators import answers, enrich, graph, labels, linear, linkage, metrics, model, quality, relational, release, screening, validation, venues
 from folioscope.plans import patterns
 from folioscope.sources import mappings
 
@@ -791,6 +791,110 @@ def evidence_signals(spark, d):
     return _typed(spark, d).select("doc_id", labels.review_signal(F.col("doc_type_raw"), body).alias("review_type"), labels.structured_abstract_signal(body).alias("structure"))
 
 
+#: A seeded linear scorer of three counts for each class of a stage: weights of characters, vowels and spaces.
+_SCORER = {
+    "is_scientific": {"true": (4, 4, -9), "false": (4, -1, 3)},
+    "is_empirical": {"true": (-1, 9, -1), "false": (2, -3, 1)},
+    "methodology": {"qualitative": (1, 4, -6), "quantitative": (4, -2, -3), "review": (-1, 6, 2)},
+}
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    """With pred_ and conf_ of each stage by the scorer, over the whole abstract; a null text scores like an empty one, and every 13th record has no prediction."""
+    body = F.coalesce("abstract", F.lit(""))
+    counts = F.length(body), F.length(body) - F.length(F.translate(body, "aeiou", "")), F.length(body) - F.length(F.translate(body, " ", ""))
+    df = df.withColumns({f"_x{k}": c.cast("long") for k, c in enumerate(counts)})
+    for stage, classes in _SCORER.items():
+        marks = F.array(*(F.struct(-sum(w * F.col(f"_x{k}") for k, w in enumerate(ws)), F.lit(name).alias("name")) for name, ws in classes.items()))
+        own = F.array_sort(marks)
+        ahead = F.floor(125 * (own[1]["col1"] - own[0]["col1"]) / (F.col("_x0") + 1))
+        some = F.col("doc_id") % 13 != 0
+        df = df.withColumns({f"pred_{stage}": F.when(some, own[0]["name"]), f"conf_{stage}": F.when(some, (500 + F.least(ahead, F.lit(500))) / 1000)})
+    return df.drop("_x0", "_x1", "_x2")
+
+
+def _scorer_sql(stage: str) -> str:
+    classes = _SCORER[stage]
+    marks = "list_sort([" + ", ".join(f"{{'m': -({ws[0]} * x0 + {ws[1]} * x1 + {ws[2]} * x2), 'name': '{name}'}}" for name, ws in classes.items()) + "])"
+    return f"CASE WHEN doc_id % 13 <> 0 THEN {marks}[1].name END AS pred_{stage}, CASE WHEN doc_id % 13 <> 0 THEN (500 + least(125 * ({marks}[2].m - {marks}[1].m) // (x0 + 1), 500)) / 1000.0::DOUBLE END AS conf_{stage}"
+
+
+def _decide_sql(out: str, blind: bool) -> str:
+    """Common tables out_s, out_e and out: the decision of each stage as a struct of label, source and confidence; blinded ones see predictions alone."""
+    none = "NULL::VARCHAR"
+    label = lambda s: none if blind else f"CAST(label_{s} AS VARCHAR)"
+    source = lambda s: none if blind else f"label_source_{s}"
+    rule = "'true'" if blind else "CAST(coalesce(rule_is_scientific, true) AS VARCHAR)"
+    made = lambda lab, src, conf: f"{{'label': {lab}, 'source': '{src}', 'conf': CAST({conf} AS DOUBLE)}}"
+    human = lambda s: f"coalesce({source(s)} IN ('medline', 'medline_narrative_review', 'medline_systematic_review'), false) AND {label(s)} IS NOT NULL THEN {made(label(s), 'human_indexing', 1)}"
+    conf = lambda s: f"coalesce(conf_{s}, 0)"
+    sure = lambda s: f"{conf(s)} >= 0.55 AND pred_{s} IS NOT NULL THEN {made(f'pred_{s}', 'model', conf(s))}"
+    rest = lambda s: f"WHEN {label(s)} IS NOT NULL THEN {made(label(s), 'rule', conf(s))} ELSE {made(none, 'uncertain', conf(s))} END"
+    s, e, m = labels.STAGES
+    structured = f"coalesce({source(e)} = 'structured_abstract', false) AND {label(e)} IS NOT NULL THEN {made(label(e), 'structured_abstract', 0.95)}"
+    return f"""{out}_s AS (SELECT *, CASE WHEN {human(s)} WHEN {sure(s)} ELSE {made(rule, 'rule', conf(s))} END AS s FROM scored),
+{out}_e AS (SELECT *, CASE WHEN s.label <> 'true' THEN {made(none, 'na', 1)} WHEN {human(e)} WHEN {structured} WHEN {sure(e)} {rest(e)} AS e FROM {out}_s),
+{out} AS (SELECT *, CASE WHEN e.label IS DISTINCT FROM 'true' THEN {made(none, 'na', 1)} WHEN {human(m)} WHEN {sure(m)} {rest(m)} AS m FROM {out}_e)"""
+
+
+_PREDICTED = f"""{_COMPOSITE}, counted AS (SELECT lab.*, length(body) AS x0, length(body) - length(regexp_replace(body, '[aeiou]', '', 'g')) AS x1, length(body) - length(replace(body, ' ', '')) AS x2 FROM lab),
+scored AS (SELECT *, {", ".join(map(_scorer_sql, _SCORER))} FROM counted), {_decide_sql("seen", False)}, {_decide_sql("blind", True)}"""
+_OUTCOME = "doc_id, CAST(s.label AS BOOLEAN) AS is_scientific, CAST(e.label AS BOOLEAN) AS is_empirical, m.label AS methodology, 'scientific:' || s.source || '|empirical:' || e.source || '|method:' || m.source AS cls_backend, round(least(s.conf, e.conf, m.conf), 4) AS cls_confidence"
+_DECISION = ("doc_id", "is_scientific", "is_empirical", "methodology", "cls_backend", "cls_confidence")
+
+
+def _predicted(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(labels.composite_labels(labels.metadata_labels(labels.rule_labels(_typed(spark, d)))))
+
+
+@query(f"{_PREDICTED} SELECT {_OUTCOME} FROM seen")
+def decision_with_predictions(spark, d):
+    """The decision over all evidence with a scorer's predictions: confident ones, such as fall below the floor, and none."""
+    return labels.decide(_predicted(spark, d)).select(*_DECISION)
+
+
+@query(f"{_PREDICTED} SELECT {_OUTCOME} FROM blind")
+def decision_blinded(spark, d):
+    """The same with the evidence of labels taken away, as hold-out validation decides."""
+    return labels.decide(validation.blinded(_predicted(spark, d))).select(*_DECISION)
+
+
+@query(f"""{_PREDICTED}, t AS (SELECT doc_id, label_source_is_empirical LIKE 'medline%' AS known, label_is_empirical AS truth FROM lab)
+SELECT CAST(truth AS VARCHAR) AS truth, coalesce(CAST(CAST(e.label AS BOOLEAN) AS VARCHAR), 'none') AS said, count(*) AS n FROM blind JOIN t USING (doc_id) WHERE known AND truth IS NOT NULL GROUP BY ALL""")
+def holdout_confusion(spark, d):
+    """What people's indexing says of the empirical stage against the blinded decision, over the records that people indexed."""
+    df = _predicted(spark, d)
+    df = df.withColumn("truth", validation.truth(df, "is_empirical"))
+    said = labels.decide(validation.blinded(df)).where("truth is not null")
+    return said.groupBy("truth", F.coalesce(F.col("is_empirical").cast("string"), F.lit("none")).alias("said")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _oracle_of_texts(stage: str, asked: str) -> str:
+    """Stands for an answering model: what it says hangs on the prompt alone, amid prose, and is garbage now and then."""
+    n = len(asked) - len(stage)
+    said = [a for a, _ in answers.ANSWERS[stage]]
+    if (n + len(stage)) % 17 == 0:
+        return "I'd rather not {say"
+    return f'So: {{"label": "{said[n // len(stage) % len(said)]}", "confidence": {50 + n % 50}e-2}} - that is all.'
+
+
+def _answer_sql(stage: str) -> str:
+    """A stage's value and whether it was garbage, over n, the characters that the prompt adds to the stage's name."""
+    values = [v for _, v in answers.ANSWERS[stage]]
+    garbage = f"(n + {len(stage)}) % 17 = 0"
+    return f"{garbage} AS no_{stage}, CASE WHEN NOT {garbage} THEN list_extract({_quoted(values)}, CAST((n // {len(stage)}) % {len(values)} + 1 AS INTEGER)) END AS {stage}"
+
+
+@query(f"""WITH a AS (SELECT doc_id, 2 + length(coalesce(source, '')) + length(coalesce(text, '')) AS n FROM documents), b AS (SELECT *, {", ".join(map(_answer_sql, answers.ANSWERS))} FROM a),
+c AS (SELECT *, coalesce(is_scientific = 'true', false) AS sci, coalesce(is_scientific = 'true' AND is_empirical = 'true', false) AS emp FROM b)
+SELECT doc_id, sci AS is_scientific, CASE WHEN sci THEN is_empirical = 'true' END AS is_empirical, CASE WHEN emp THEN methodology END AS methodology, 'answers:by length' AS cls_backend,
+  CASE WHEN no_is_scientific OR sci AND no_is_empirical OR emp AND no_methodology THEN 0.0::DOUBLE ELSE round((50 + n % 50) / 100.0::DOUBLE, 4) END AS cls_confidence FROM c""")
+def answers_by_prompt(spark, d):
+    """Every document labelled by an answering model through a store of answers, stage after stage."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("abstract"))
+    return answers.answered(docs, _oracle_of_texts, graph.shared_dir(spark, "answers"), "by length", key="doc_id")
+
+
 _STAGED = "l AS (" + " UNION ALL ".join(f"SELECT '{s}' AS stage, label_source_{s} AS source, CAST(label_{s} AS VARCHAR) AS label FROM lab" for s in labels.STAGES) + ")"
 
 
