@@ -14,43 +14,44 @@ STRUCTURAL = ("structured_abstract",)
 CONFIDENCE_FLOOR = 0.55
 
 
-def match_all(text: Column, dictionary: dict[str, tuple[str, ...]], low: Column | None = None) -> Column:
-    """Every label whose pattern the text holds, in declared order. `low` is the text's lowered form, if it's at hand."""
-    return F.array_compact(F.array(*(F.when(P.holds(text, alts, low), F.lit(label)) for label, alts in dictionary.items())))
+def match_all(text: Column, dictionary: dict[str, tuple[str, ...]], low: Column | None = None, heads: Column | None = None) -> Column:
+    """Every label whose pattern the text holds, in declared order. `low` and `heads` are the text's lowered form and its words' heads, if they're at hand."""
+    return F.array_compact(F.array(*(F.when(P.holds(text, alts, low, heads), F.lit(label)) for label, alts in dictionary.items())))
 
 
-def match_first(text: Column, dictionary: dict[str, tuple[str, ...]], low: Column | None = None) -> Column:
+def match_first(text: Column, dictionary: dict[str, tuple[str, ...]], low: Column | None = None, heads: Column | None = None) -> Column:
     """The first label in declared order whose pattern the text holds, else null. Later patterns aren't tried."""
-    return F.coalesce(*(F.when(P.holds(text, alts, low), F.lit(label)) for label, alts in dictionary.items()))
+    return F.coalesce(*(F.when(P.holds(text, alts, low, heads), F.lit(label)) for label, alts in dictionary.items()))
 
 
-def methodology(text: Column, low: Column | None = None) -> Column:
+def methodology(text: Column, low: Column | None = None, heads: Column | None = None) -> Column:
     """review before mixed before the tradition with more hits; equal hits are mixed, none at all null."""
-    quant, qual = P.hits(text, P.QUANTITATIVE, low), P.hits(text, P.QUALITATIVE, low)
-    counts = F.when(qual > quant, "qualitative").when(quant > qual, "quantitative").when(quant > 0, "mixed")
-    return F.when(P.holds(text, P.REVIEW, low), "review").when(P.holds(text, P.MIXED, low), "mixed").otherwise(counts)
+    quant, qual = P.hits(text, P.QUANTITATIVE, low, heads), P.hits(text, P.QUALITATIVE, low, heads)
+    some = P.holds(text, P.QUANTITATIVE, low, heads) | P.holds(text, P.QUALITATIVE, low, heads)
+    # each is counted once, so one expression tells the three outcomes
+    counts = F.when(some, F.get(F.array(*map(F.lit, ("quantitative", "mixed", "qualitative"))), (F.signum(qual - quant) + 1).cast("int")))
+    return F.when(P.holds(text, P.REVIEW, low, heads), "review").when(P.holds(text, P.MIXED, low, heads), "mixed").otherwise(counts)
 
 
-def empirical(text: Column, low: Column | None = None) -> Column:
+def empirical(text: Column, low: Column | None = None, heads: Column | None = None) -> Column:
     """True by a marker of data, false by one of argument alone, else null."""
-    return F.when(P.holds(text, P.EMPIRICAL, low), True).when(P.holds(text, P.NON_EMPIRICAL, low), False)
+    return F.when(P.holds(text, P.EMPIRICAL, low, heads), True).when(P.holds(text, P.NON_EMPIRICAL, low, heads), False)
 
 
 def rule_labels(records: DataFrame, title: str = "title", abstract: str = "abstract") -> DataFrame:
     """With the rule_ columns and the six dictionaries' labels."""
     text = F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(". "), F.coalesce(F.col(abstract), F.lit("")))
-    df = records.withColumn("_text", text).withColumn("_low", P.lowered(F.col("_text")))
-    text, low = F.col("_text"), F.col("_low")
-    found = {"rule_is_scientific": ~P.holds(text, P.NON_SCIENTIFIC, low), "rule_is_empirical": empirical(text, low), "rule_methodology": methodology(text, low)}
+    df, (text, low, heads) = P.worded(records, text)
+    found = {"rule_is_scientific": ~P.holds(text, P.NON_SCIENTIFIC, low, heads), "rule_is_empirical": empirical(text, low, heads), "rule_methodology": methodology(text, low, heads)}
     for name, (dictionary, several, _) in P.DICTIONARIES.items():
-        found[name] = match_all(text, dictionary, low) if several else match_first(text, dictionary, low)
+        found[name] = match_all(text, dictionary, low, heads) if several else match_first(text, dictionary, low, heads)
     df = df.withColumns(found).withColumn("sdoh_focus", F.size("sdoh_domain") > 0)
     given = {
         name: F.when(F.size(name) == 0, F.array(F.lit(default))).otherwise(F.col(name)) if several else F.coalesce(name, F.lit(default))
         for name, (_, several, default) in P.DICTIONARIES.items()
         if default is not None
     }
-    return df.withColumns(given).drop("_text", "_low")
+    return df.withColumns(given).drop("_text", "_text_low", "_text_heads")
 
 
 def tags(doc_type: Column) -> Column:
@@ -76,16 +77,16 @@ def metadata_labels(records: DataFrame, doc_type: str = "doc_type_raw", mesh: st
     }).drop("_tags")
 
 
-def review_signal(doc_type: Column, abstract: Column) -> Column:
+def review_signal(doc_type: Column, abstract: Column, low: Column | None = None, heads: Column | None = None) -> Column:
     """systematic or narrative for what is tagged a review, else null."""
     own = tags(doc_type)
     systematic = F.arrays_overlap(own, _literals(P.SYSTEMATIC_TAGS))
-    return F.when(systematic, "systematic").when(F.array_contains(own, "review"), F.when(P.holds(F.coalesce(abstract, F.lit("")), P.SYSTEMATIC_TEXT), "systematic").otherwise("narrative"))
+    return F.when(systematic, "systematic").when(F.array_contains(own, "review"), F.when(P.holds(F.coalesce(abstract, F.lit("")), P.SYSTEMATIC_TEXT, low, heads), "systematic").otherwise("narrative"))
 
 
-def structured_abstract_signal(abstract: Column) -> Column:
+def structured_abstract_signal(abstract: Column, low: Column | None = None, heads: Column | None = None) -> Column:
     """empirical for an abstract of 150 characters or more with headings for methods and for results, else null."""
-    return F.when((F.length(abstract) >= 150) & P.holds(abstract, P.METHODS_HEADING) & P.holds(abstract, P.RESULTS_HEADING), "empirical")
+    return F.when((F.length(abstract) >= 150) & P.holds(abstract, P.METHODS_HEADING, low, heads) & P.holds(abstract, P.RESULTS_HEADING, low, heads), "empirical")
 
 
 def _first(*cases: tuple[Column, Column, str]) -> Column:
@@ -99,8 +100,8 @@ def _first(*cases: tuple[Column, Column, str]) -> Column:
 
 def composite_labels(records: DataFrame, abstract: str = "abstract", doc_type: str = "doc_type_raw") -> DataFrame:
     """With label_ and label_source_ columns for the three stages, and review_type. Needs the rule_ and meta_ columns."""
-    body = F.coalesce(F.col(abstract), F.lit(""))
-    df = records.withColumns({"review_type": review_signal(F.col(doc_type), body), "_structure": structured_abstract_signal(body), "_marker": P.holds(body, P.EMPIRICAL_MARKER)})
+    df, body = P.worded(records, F.coalesce(F.col(abstract), F.lit("")), "_body")
+    df = df.withColumns({"review_type": review_signal(F.col(doc_type), *body), "_structure": structured_abstract_signal(*body), "_marker": P.holds(body[0], P.EMPIRICAL_MARKER, *body[1:])}).drop("_body", "_body_low", "_body_heads")
     text = lambda c: F.col(c).cast("string")
     yes, no = F.lit("true"), F.lit("false")
     is_review = lambda kind: F.col("review_type").eqNullSafe(kind)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import cache, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Results depend on each of these patterns and on their order.
@@ -287,22 +287,98 @@ def lowered(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(t, "(?U)\\W+", " "), F.lit(" "))
 
 
-def holds(text: Column, alternatives: tuple[str, ...], low: Column | None = None) -> Column:
-    """Whether a pattern matches.
+#: Letters of a word's head.
+HEAD = 5
+
 
-    Each alternative with a telling literal meets the text only where a plain search finds that literal; the few
-    without one are a small pattern of their own.
+def head(literal: str) -> str:
+    """The head that some word of a text has wherever a literal stands in its lowered form; empty if none is certain.
+
+    A word of the literal counts if it begins at a border; one shorter than a head must end at one too.
     """
-    low = lowered(text) if low is None else low
+    words = literal.split(" ")
+    sure = [w for k, w in enumerate(words) if k and (len(w) >= HEAD or w and k < len(words) - 1)]
+    return max(sure, key=len, default="")[:HEAD]
+
+
+@cache
+def known_heads() -> tuple[str, ...]:
+    """The heads of all literals of this module's patterns."""
+    stages = (NON_SCIENTIFIC, EMPIRICAL, NON_EMPIRICAL, QUANTITATIVE, QUALITATIVE, MIXED, REVIEW, SYSTEMATIC_TEXT, METHODS_HEADING, RESULTS_HEADING, EMPIRICAL_MARKER)
+    every = [*stages, *(alternatives for dictionary, _, _ in DICTIONARIES.values() for alternatives in dictionary.values())]
+    return tuple(sorted({h for alternatives in every for literal in _gated(alternatives) if (h := head(literal))}))
+
+
+def heads(low: Column) -> Column:
+    """Which known heads the words of a lowered text have: one pass over its words in place of a search for each literal."""
+    return F.array_intersect(F.transform(F.split(low, " "), lambda w: F.substring(w, 1, HEAD)), F.array(*map(F.lit, known_heads())))
+
+
+def worded(df: DataFrame, text: Column, name: str = "_text") -> tuple[DataFrame, tuple[Column, Column, Column]]:
+    """With a text, its lowered form and its heads as columns, which are also returned; the patterns of many rules share them."""
+    df = df.withColumn(name, text)
+    df = df.withColumn(f"{name}_low", lowered(F.col(name)))
+    df = df.withColumn(f"{name}_heads", heads(F.col(f"{name}_low")))
+    return df, (F.col(name), F.col(f"{name}_low"), F.col(f"{name}_heads"))
+
+
+def spelled_out(branch: str) -> list[str]:
+    """A pattern that is one group between borders as a pattern for each of the group's alternatives; else the pattern itself."""
+    found = re.fullmatch(r"(\\b)?\(\?:(.*)\)([^()?*+{][^()]*)?", branch)
+    if not found:
+        return [branch]
+    depth = 0
+    for c in found[2]:
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            return [branch]
+    return [f"{found[1] or ''}{b}{found[3] or ''}" for b in branches(found[2])]
+
+
+def required_signs(branch: str) -> str:
+    """Signs of which every match of a pattern holds one; empty if none is certain."""
+    if "(" in branch:
+        return ""
+    found = re.search(r"\[([<>=]+)\](?![?*{])", branch) or re.search(r"([<>=:])(?![?*{])", re.sub(r"\[[^]]*\]", "", branch))
+    return found[1] if found else ""
+
+
+def _gated(alternatives: tuple[str, ...]) -> dict[str, list[str]]:
+    """Patterns by the literal that each needs; those without a telling one under the empty text."""
     gated: dict[str, list[str]] = {}
     for branch in (b for a in alternatives for b in branches(a)):
-        literal = required_literal(branch)
-        gated.setdefault(literal if len(literal) >= 3 else "", []).append(branch)
-    always = gated.pop("", None)
-    tests = [low.contains(literal) & text.rlike(pattern(tuple(own))) for literal, own in gated.items()]
-    return reduce(lambda x, y: x | y, [*tests, *([text.rlike(pattern(tuple(always)))] if always else [])])
+        for part in [branch] if len(required_literal(branch)) >= 3 else spelled_out(branch):
+            literal = required_literal(part)
+            gated.setdefault(literal if len(literal) >= 3 else "", []).append(part)
+    return gated
+
+
+def holds(text: Column, alternatives: tuple[str, ...], low: Column | None = None, heads: Column | None = None) -> Column:
+    """Whether a pattern matches.
+
+    Each alternative with a telling literal meets the text only where a plain search finds that literal, which is only
+    looked for where the text's `heads`, if they're at hand, have its head; the few without one ask for a sign, if they
+    need one, and are small patterns of their own.
+    """
+    return reduce(lambda x, y: x | y, [may & text.rlike(pattern(tuple(own))) for may, own in _asked(text, alternatives, lowered(text) if low is None else low, heads)])
 
 
-def hits(text: Column, alternatives: tuple[str, ...], low: Column | None = None) -> Column:
-    """How many matches there are, from left to right without overlap."""
-    return F.when(holds(text, alternatives, low), F.regexp_count(text, F.lit(pattern(alternatives)))).otherwise(0)
+def _asked(text: Column, alternatives: tuple[str, ...], low: Column, heads: Column | None) -> list[tuple[Column, list[str]]]:
+    """Patterns with what a text must show for them to match."""
+    gated = _gated(alternatives)
+    always: dict[str, list[str]] = {}
+    for branch in gated.pop("", []):
+        always.setdefault(required_signs(branch), []).append(branch)
+    out = []
+    for literal, own in gated.items():
+        known = head(literal)
+        out.append((low.contains(literal) if heads is None or known not in known_heads() else F.array_contains(heads, known) & low.contains(literal), own))
+    return [*out, *((reduce(lambda x, y: x | y, [text.contains(c) for c in signs]) if signs else F.lit(True), own) for signs, own in always.items())]
+
+
+def hits(text: Column, alternatives: tuple[str, ...], low: Column | None = None, heads: Column | None = None) -> Column:
+    """How many matches there are, from left to right without overlap. Alternatives that can't match are left out of a text's pattern, which changes no match."""
+    low = lowered(text) if low is None else low
+    may = {a: reduce(lambda x, y: x | y, [m for m, _ in _asked(text, (a,), low, heads)]) for a in alternatives}
+    own = F.concat_ws("|", *(F.when(m, F.lit(a)) for a, m in may.items()))
+    return F.when(own != "", F.regexp_count(text, F.concat(F.lit(pattern(("",))), own))).otherwise(0)

@@ -63,6 +63,23 @@ def test_literals_are_needed(spark):
         assert not [groups[k] for k in range(len(groups)) if row[f"g{k}"]["a"] != row[f"g{k}"]["b"]], row["t"]
 
 
+def test_heads_and_signs_leave_nothing_out(spark):
+    """Rules that look at heads and signs first say the same as patterns alone; few searches are left for a text that says nothing."""
+    assert patterns.head(" self harm ") == "self" and patterns.head("structured interview") == "inter" and patterns.head(" obituar") == "obitu" and patterns.head(" gun") == patterns.head("poisoning ") == ""
+    assert patterns.spelled_out(r"\b(?:a|b(?:c|d)e)\b") == [r"\ba\b", r"\bb(?:c|d)e\b"] and patterns.spelled_out("(?:a)(?:b)") == ["(?:a)(?:b)"]
+    assert [patterns.required_signs(b) for b in (r"\bn\s*=\s*\d", r"p\s*[<>=]\s*0?", "a=?", "a(?:b)", "x[<>=]*")] == ["=", "<>=", "", "", ""]
+    groups = [*[alts for d, _, _ in patterns.DICTIONARIES.values() for alts in d.values()], patterns.EMPIRICAL, patterns.QUANTITATIVE, patterns.METHODS_HEADING, patterns.RESULTS_HEADING, patterns.EMPIRICAL_MARKER, patterns.SYSTEMATIC_TEXT]
+    words = sorted({w for g in groups for a in g for b in patterns.branches(a) for w in patterns.required_literal(b).split()})
+    texts = [" ".join(words[k : k + 3]) for k in range(0, len(words), 2)] + [w.upper() + "s, x" for w in words] + ["n = 12", "N=3", "p<.05", "p > 0.1", "p 0.1", "Methods: x", "METHOD :", "Findings:", "CBT", "dbt.", "gun-law", "(guns)", "self-harm", "selfharm", "ſelf-harm", "nonbinary", "logistic regression, odds ratio; cox regression; randomized control group and p < .05", "in-depth interviews, a case study, focus groups, IPA", "", "plain words alone"]
+    df, (t, low, heads) = patterns.worded(spark.createDataFrame([(x,) for x in texts], "t string"), F.col("t"))
+    pairs = [F.struct(patterns.holds(t, g, low, heads).alias("a"), F.col("t").rlike(patterns.pattern(g)).alias("b")).alias(f"g{k}") for k, g in enumerate(groups)]
+    rows = df.select("t", "_text_heads", *pairs).collect()
+    counts = df.select("t", *(F.struct(patterns.hits(t, g, low, heads).alias("a"), F.regexp_count(t, F.lit(patterns.pattern(g))).alias("b")).alias(f"g{k}") for k, g in enumerate((patterns.QUANTITATIVE, patterns.QUALITATIVE))))
+    assert not [r for r in counts.collect() for k in range(2) if r[f"g{k}"]["a"] != r[f"g{k}"]["b"]]
+    assert not [(r["t"], groups[k]) for r in rows for k in range(len(groups)) if r[f"g{k}"]["a"] != r[f"g{k}"]["b"]]
+    assert [r["_text_heads"] for r in rows if r["t"] == "plain words alone"] == [[]]
+
+
 def evidence(spark, doc_type, abstract="", mesh=None):
     df = spark.createDataFrame([("", abstract, doc_type, mesh)], "title string, abstract string, doc_type_raw string, mesh_terms array<string>")
     return labels.composite_labels(labels.metadata_labels(labels.rule_labels(df)))
