@@ -271,3 +271,33 @@ def test_deduplicate_against_a_plain_version(frame, seed):
     got, _, _ = works(frame, *(paper(**r) for r in records))
     want = plain_works([{"authors": None, **r} for r in records])
     assert sorted((w["row_id"], w["doi"], w["pmid"]) for w in got) == want and len(want) < 80
+
+
+def test_stars_need_no_rounds(spark, monkeypatch):
+    """Edges of a single identifier are stars already, so no round of joins begins; edges that touch still take them."""
+    from folioscope.operators import graph
+
+    stars = spark.createDataFrame([(k - k % 10, k) for k in range(200) if k % 10], "a long, b long").repartition(7)
+    chain = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long").repartition(7)
+    rounds = []
+    monkeypatch.setattr(graph, "_met", lambda many, one, key, total: rounds.append(key) or many.join(one.drop("n"), key))
+    assert {tuple(r) for r in graph.components(stars).collect()} == {(k, k - k % 10) for k in range(200)} and not rounds
+    assert {tuple(r) for r in graph.components(chain).collect()} == {(k, 0) for k in range(21)} and rounds
+
+
+def test_copies_are_compared_and_keyed_once(spark, tmp_path):
+    """Copies of part names are met as one name, and every pair of rows still comes out; an index of words is cut from a text without a shuffle."""
+    from folioscope.plans import catalogue
+
+    names = ["steel bolt", "steel bolts", "brass pipe", "steel bolt"] * 4
+    spark.createDataFrame([(k, x, k % 3) for k, x in enumerate(names)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {tuple(r) for r in catalogue.blocked_candidates(spark, str(tmp_path)).collect()}
+    edits = {frozenset(("steel bolt", "steel bolts")): 1}
+    want = {(i, j, 0 if x == y else edits[frozenset((x, y))]) for i, x in enumerate(names) for j, y in enumerate(names) if i < j and i % 3 == j % 3 and (x == y or frozenset((x, y)) in edits)}
+    assert got == want
+    spark.createDataFrame([(1, "b a  b"), (2, None), (3, " x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    index = catalogue.inverted_index_text(spark, str(tmp_path))
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    import hashlib
+
+    assert {tuple(r) for r in index.collect()} == {(1, hashlib.sha256(b"b a  b").hexdigest(), 3), (3, hashlib.sha256(b" x").hexdigest(), 2)}
