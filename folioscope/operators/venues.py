@@ -38,18 +38,22 @@ def resolve(records: DataFrame, by_issn: DataFrame, by_key: DataFrame, venue: st
     A title whose key is empty stays as it is.
     """
     raw = F.trim(F.coalesce(F.col(venue), F.lit("")))
-    df = records.withColumns({"_raw": raw, "_issn": F.nullif(F.trim(F.col(issn)), F.lit("")), "_key": text.title_key(raw)})
+    df = records.withColumns({"_raw": raw, "_issn": F.nullif(F.trim(F.col(issn)), F.lit(""))})
     df = df.join(by_issn.select(F.col("issn").alias("_issn"), F.col("canonical").alias("_by_issn")), "_issn", "left")
-    df = df.join(by_key.select(F.col("key").alias("_key"), F.col("canonical").alias("_by_key")), "_key", "left")
+    # each different title is keyed and looked up once
+    names = df.groupBy("_raw").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("_by_issn").isNull()).alias("_open")).withColumn("_key", text.title_key(F.col("_raw")))
+    names = graph.checkpointed(names.join(by_key.select(F.col("key").alias("_key"), F.col("canonical").alias("_by_key")), "_key", "left"))
+    total = names.agg(F.sum("n")).first()[0] or 0
     if fuzzy:
-        unknown = df.where("_by_issn is null and _by_key is null and _key <> ''").select("_key").distinct()
+        unknown = names.where("_open and _by_key is null and _key <> ''").select("_key").distinct()
         near = nearest_keys(unknown.select(F.col("_key").alias("key")), by_key)
-        df = df.join(near.select(F.col("key").alias("_key"), F.col("canonical").alias("_near"), F.col("score").alias("_score")), "_key", "left")
+        names = names.join(near.select(F.col("key").alias("_key"), F.col("canonical").alias("_near"), F.col("score").alias("_score")), "_key", "left")
     else:
-        df = df.withColumns({"_near": F.lit(None).cast("string"), "_score": F.lit(None).cast("double")})
+        names = names.withColumns({"_near": F.lit(None).cast("string"), "_score": F.lit(None).cast("double")})
+    df = graph.spread_join(df, names.drop("_open", "_key"), "_raw", total)
     chain = F.when(F.col("_by_issn").isNotNull(), "issn").when(F.col("_raw") == "", "unresolved").when(F.col("_by_key").isNotNull(), "exact_key")
     method = chain.when(F.col("_score") >= FUZZY_ACCEPT, "fuzzy_auto").when(F.col("_score").isNotNull(), "fuzzy_review").otherwise("new")
-    return df.withColumns({"journal_canonical": F.coalesce("_by_issn", "_by_key", "_near", "_raw"), "venue_method": method, "venue_score": F.when(method.startswith("fuzzy"), F.round("_score", 1))}).drop("_raw", "_issn", "_key", "_by_issn", "_by_key", "_near", "_score")
+    return df.withColumns({"journal_canonical": F.coalesce("_by_issn", "_by_key", "_near", "_raw"), "venue_method": method, "venue_score": F.when(method.startswith("fuzzy"), F.round("_score", 1))}).drop("_raw", "_issn", "_by_issn", "_by_key", "_near", "_score")
 
 
 def nearest_keys(unknown: DataFrame, by_key: DataFrame, least: float = FUZZY_REVIEW) -> DataFrame:
