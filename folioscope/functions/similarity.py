@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +26,28 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def lcs_lengths(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """lcs_length() of letters `a` with each of `others`, which stand side by side in one row of bits.
+
+    Letters are numbers from 0. A bit that stays 0 parts two neighbours, so no carry passes from one to the next.
+    """
+    sizes = np.array([len(b) for b in others], np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    whole = np.full(int(sizes.sum()) + len(sizes), -1, np.int64)
+    inner = np.ones(len(whole), bool)
+    inner[starts + sizes] = False
+    whole[inner] = np.concatenate(others)
+    bits = lambda of: int.from_bytes(np.packbits(of, bitorder="little").tobytes(), "little")
+    places = {c: bits(whole == c) for c in np.unique(a).tolist()}
+    full = row = bits(inner)
+    for c in a.tolist():
+        hit = row & places[c]
+        if hit:
+            row = ((row + hit) | (row ^ hit)) & full
+    left = np.unpackbits(np.frombuffer(row.to_bytes((len(whole) + 7) // 8, "little"), np.uint8), count=len(whole), bitorder="little")
+    return sizes - np.add.reduceat(left, starts, dtype=np.int64)
+
+
 def indel_ratio(a: str, b: str) -> float:
     """100 for equal strings, 0 without a common letter; two empty strings are equal."""
     both = len(a) + len(b)

@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import graph, linkage, venues
+from folioscope.functions import similarity, text
+from folioscope.operators import candidates, graph, linkage, venues
 from folioscope.schema import PAPER
 
 
@@ -301,3 +306,75 @@ def test_copies_are_compared_and_keyed_once(spark, tmp_path):
     import hashlib
 
     assert {tuple(r) for r in index.collect()} == {(1, hashlib.sha256(b"b a  b").hexdigest(), 3), (3, hashlib.sha256(b" x").hexdigest(), 2)}
+
+
+# --- long texts
+
+
+def long_texts(n=90):
+    """(row_id, block, x): made words in order, of lengths from 300 to 900, every third text a changed copy of an earlier one."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("aaeeiinorstlmkwzéя") for _ in range(rnd.randint(2, 9))) for _ in range(600)]
+    texts = []
+    for i in range(n):
+        own = rnd.choices(words, k=rnd.randint(60, 150)) if i % 3 or not texts else list(texts[rnd.randrange(len(texts))])
+        for _ in range(i % 7 * 2 if i % 3 == 0 else 0):
+            own[rnd.randrange(len(own))] = rnd.choice(words)
+        texts.append(own)
+    return [(i, i % 9 // 8, " ".join(sorted(t))) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("least", [80.0, 90.0])
+@pytest.mark.parametrize("side", [(1_000, 2_000_000), (4, 2_000_000), (1_000, 2_500)])
+def test_long_pairs(spark, monkeypatch, least, side):
+    """The same pairs and scores as by all pairs, also where classes of lengths are cut into parts."""
+    monkeypatch.setattr(candidates, "SIDE_ROWS", side[0])
+    monkeypatch.setattr(candidates, "SIDE_LETTERS", side[1])
+    rows = long_texts()
+    plain = {(a[0], b[0]): similarity.indel_ratio(a[2], b[2]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] != b[2]}
+    plain = {k: v for k, v in plain.items() if v >= least}
+    assert len(plain) > 10
+    firsts = {x: i for i, _, x in reversed(rows)}
+    df = spark.createDataFrame([r for r in rows if firsts[r[2]] == r[0]], "row_id long, block int, x string")
+    got = candidates.like_pairs(df, least).collect()
+    kept = {r[0] for r in df.collect()}
+    assert len(got) == len({(r["l_row_id"], r["r_row_id"]) for r in got})
+    assert {(r["l_row_id"], r["r_row_id"]): r["score"] for r in got} == {k: v for k, v in plain.items() if set(k) <= kept}
+
+
+def test_long_unlike_texts_are_ruled_out_by_few_letters(monkeypatch):
+    """Texts of one language that share no wording: under a tenth of the work of meeting all pairs whole."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("eeeeaaaoooiiitttnnnsssrrrhhlldducmfpgwybvkxjqz") for _ in range(rnd.randint(3, 9))) for _ in range(3000)]
+    texts = [" ".join(sorted(rnd.choices(words, k=200))) for _ in range(30)]
+    work = []
+    real = similarity.lcs_lengths
+    monkeypatch.setattr(similarity, "lcs_lengths", lambda a, others: work.append(len(a) * sum(map(len, others))) or real(a, others))
+    cell = pa.table({"row_id": list(range(30)), "block": ["b"] * 30, "x": texts, "p": [0] * 30, "q": [0] * 30, "high": [False] * 30})
+    assert candidates._like_in_cell(90.0)(cell).num_rows == 0
+    assert sum(work) < 0.1 * sum(len(a) * len(b) for i, a in enumerate(texts) for b in texts[:i])
+
+
+def test_lcs_lengths():
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice("abcd ") for _ in range(k)) for k in (0, 1, 64, 63, 200, 7, 0)]
+    coded = [np.array([ord(c) for c in t], np.int32) for t in texts]
+    for a, t in zip(coded, texts):
+        assert similarity.lcs_lengths(a, coded).tolist() == [similarity.lcs_length(t, u) for u in texts]
+
+
+def test_works_need_only_pairs_that_merge(frame):
+    rows = [paper(f"r{i:02d}", doi=f"10.1/{i}" if i % 5 == 0 else None, title="Study of the many causes of one effect" + " in some detail"[: i * 2 % 16]) for i in range(12)]
+    whole, _, _ = linkage.deduplicate(frame(*rows))
+    some, review, _ = linkage.deduplicate(frame(*rows), least=linkage.AUTO_ACCEPT)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, some.collect()))
+    assert review.where("score < 90").isEmpty()
+
+
+def test_title_norm_of_every_character(spark):
+    """The table of ASCII and the pattern for the rest do what one pattern does."""
+    rows = [(i, f" <b>A{chr(i)}</b>  {chr(i)}{chr(i)}& <") for i in [*range(0x3100), 0xFFFD, 0x1F600, 0x1D400] if not 0xD800 <= i < 0xE000]
+    t = F.lower(text.fold_accents(F.col("t")))
+    t = F.replace(F.regexp_replace(t, "<[^>]+>", " "), F.lit("&"), F.lit(" and "))
+    once = text.squeeze(F.regexp_replace(t, "[^a-z0-9\\s]", " "))
+    assert spark.createDataFrame(rows, "i int, t string").where(text.title_norm(F.col("t")) != once).count() == 0
