@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -322,6 +323,24 @@ def test_index_of_empty_texts_and_repeated_ids(spark, tmp_path):
         assert got == set(con.sql(f"SELECT doc_id, linear_sha256, n_entries FROM ({catalogue.SQL['inverted_index_text']})").fetchall()) and len(got) == (3 if name == "once" else 6)
 
 
+def test_pairs_of_copies_are_made_in_many_tasks(spark, monkeypatch):
+    """Rows of few texts have many pairs: they come out whole, with all columns, from lots that are dealt over tasks, however little is shuffled."""
+    monkeypatch.setattr(candidates, "COPIES", 20, raising=False)
+    texts = ["a", "b", "c", "d"]
+    rows = [(f"r{k:03d}", texts[k % 4] if k % 10 else "alone" + str(k), k % 2, k * 7) for k in range(300)]
+    own = spark.createDataFrame([(i, f"block{x in 'abcd'}", v) for i, x, _, v in rows], "row_id string, block string, value int")
+    firsts = {x: min(i for i, y, _, _ in rows if x == y) for x in {r[1] for r in rows}}
+    first = spark.createDataFrame([(i, firsts[x]) for i, x, _, _ in rows], "row_id string, first string")
+    near = {("a", "b"): 3, ("d", "b"): 5}
+    like = spark.createDataFrame([("blockTrue", *sorted((firsts[x], firsts[y])), n) for (x, y), n in near.items()], "block string, l_row_id string, r_row_id string, score int")
+    pairs = candidates.of_rows(own, like, first, equal=1).withColumn("task", F.spark_partition_id()).collect()
+    score = lambda x, y: 1 if x == y else near.get((x, y), near.get((y, x)))
+    want = {(a[0], b[0], a[3], b[3], float(score(a[1], b[1]))) for a in rows for b in rows if a[0] < b[0] and score(a[1], b[1])}
+    assert sorted((r["l_row_id"], r["r_row_id"], r["l_value"], r["r_value"], r["score"]) for r in pairs) == sorted(want)
+    share = Counter(r["task"] for r in pairs)
+    assert len(share) >= 8 and max(share.values()) < 0.4 * len(pairs)
+
+
 # --- long texts
 
 
